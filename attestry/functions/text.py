@@ -1,7 +1,5 @@
 """Text cleaning as column expressions."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +86,6 @@ def safe_number(c: Column, fallback: float) -> Column:
 def string_list(c: Column) -> Column:
     """Cleaned non-blank strings of an array; NULL array gives an empty one."""
     return F.coalesce(
-        F.filter(F.transform(c, clean_text), lambda s: s != ""),
+        F.filter(F.transform(c, lambda s: clean_text(s)), lambda s: s != ""),
         F.array().cast("array<string>"),
     )

@@ -1,7 +1,5 @@
 """URL parts, site keys, links, robots and sitemap bodies as column expressions."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from attestry import constants as K
 from attestry.functions.contact import address_key, phone_key
 from attestry.operators.directory import Directory
-from attestry.session import cut_lineage
+from attestry.session import cut_lineage, stored
 
 SHARED = ("located_at", "reachable_at")
 # A subset of an organisation's shared keys is counted once per subset; beyond
@@ -25,6 +25,10 @@ class Graph:
     nodes: DataFrame   # id, kind, name, value
     edges: DataFrame   # src, dst, rel - directed from the owner to the owned
 
+    def saved(self) -> Graph:
+        """Both tables written once to the shared folder; every later pass scans them."""
+        return Graph(stored(self.nodes, "nodes"), stored(self.edges, "edges"))
+
 
 def node_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), key.cast("string"))
@@ -206,10 +210,8 @@ def propagate(g: Graph, seeds: DataFrame, hops: int = 2, decay: float = 0.5) ->
     frontier = seeds.select("id").distinct()
     reached = None
     for hop in range(1, hops + 1):
-        frontier = (step.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi")
-                    .select(F.col("dst").alias("id")).distinct())
-        if hop > 2:
-            frontier = cut_lineage(frontier)
+        frontier = stored(step.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi")
+                          .select(F.col("dst").alias("id")).distinct(), "frontier")
         layer = frontier.withColumn("dist", F.lit(hop))
         reached = layer if reached is None else reached.unionByName(layer)
     return reached.groupBy("id").agg(F.min("dist").alias("dist")).withColumn(
@@ -222,13 +224,12 @@ def propagate_incremental(g: Graph, seeds: DataFrame, hops: int = 2,
     step = both_ways(g.edges).filter(kind_of(F.col("dst")).isin("org", "service"))
     walk = seeds.select("id").distinct().withColumn("dist", F.lit(0))
     best = None
-    for hop in range(1, hops + 1):
-        walk = (step.join(walk.withColumnRenamed("id", "src"), "src")
-                .groupBy(F.col("dst").alias("id")).agg((F.min("dist") + 1).alias("dist")))
+    for _ in range(hops):
+        walk = stored(step.join(walk.withColumnRenamed("id", "src"), "src")
+                      .groupBy(F.col("dst").alias("id")).agg((F.min("dist") + 1).alias("dist")),
+                      "walk")
         best = walk if best is None else (
             best.unionByName(walk).groupBy("id").agg(F.min("dist").alias("dist")))
-        if hop > 2:
-            walk = cut_lineage(walk)
     return best.withColumn("score", F.pow(F.lit(decay), F.col("dist")))
 
 

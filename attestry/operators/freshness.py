@@ -105,8 +105,8 @@ def rollup(scored: DataFrame) -> DataFrame:
 
     total = weighted(lambda f: F.col(f)["score"] * K.WEIGHT[f])
     weight = weighted(lambda f: F.lit(K.WEIGHT[f]))
-    fresh = F.when(weight > 0, F.bround(total / weight, 1)).otherwise(F.lit(0.0))
-    out = scored.select("id", "name", fresh.alias("freshness"),
+    exact = F.when(weight > 0, total / weight).otherwise(F.lit(0.0))
+    out = scored.select("id", "name", exact.alias("exact"), F.bround(exact, 1).alias("freshness"),
                         F.bround(weight, 2).alias("coverage"),
                         next_action().alias("next"), *FIELDS)
     return out.withColumn("band", band(F.col("freshness")))
@@ -126,17 +126,24 @@ def next_action() -> Column:
 
 
 def long_rollup(fields: DataFrame) -> DataFrame:
-    """Roll up (listing_id, field, evidence, score) rows with partial sums."""
-    w = choose(F.col("field"), K.WEIGHT, 0.0)
-    counted = F.col("evidence") != "none"
-    sums = fields.groupBy("listing_id").agg(
-        F.sum(F.when(counted, F.col("score") * w)).alias("total"),
-        F.sum(F.when(counted, w)).alias("weight"))
-    fresh = F.when(F.col("weight") > 0, F.bround(F.col("total") / F.col("weight"), 1)
-                   ).otherwise(F.lit(0.0))
-    return sums.select("listing_id", fresh.alias("freshness"),
-                       F.bround(F.coalesce("weight", F.lit(0.0)), 2).alias("coverage")
-                       ).withColumn("band", band(F.col("freshness")))
+    """Roll up (listing_id, field, evidence, score) rows, one per listing and field.
+
+    One column per field keeps the sums partial and adds them in weight order.
+    """
+    stated = F.col("evidence") != "none"
+    wide = fields.groupBy("listing_id").agg(*[
+        F.sum(F.when(stated & (F.col("field") == f), F.col("score"))).alias(f) for f in FIELDS])
+
+    def weighted(value) -> Column:
+        return reduce(lambda a, f: a + F.when(F.col(f).isNotNull(), value(f)).otherwise(
+            F.lit(0.0)), FIELDS, F.lit(0.0))
+
+    raw = weighted(lambda f: F.col(f) * K.WEIGHT[f])
+    weight = weighted(lambda f: F.lit(K.WEIGHT[f]))
+    exact = F.when(weight > 0, raw / weight).otherwise(F.lit(0.0))
+    return wide.select("listing_id", exact.alias("exact"), F.bround(weight, 2).alias("coverage")
+                       ).withColumn("freshness", F.bround("exact", 1)).withColumn(
+        "band", band(F.col("freshness")))
 
 
 def report(listing_scores: DataFrame) -> DataFrame:

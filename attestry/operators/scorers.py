@@ -4,8 +4,6 @@ Each takes a plain pandas function. Without one the deterministic default
 applies. A missing score is NULL and leads to abstention, never to a guess.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame

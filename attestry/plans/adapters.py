@@ -227,20 +227,36 @@ SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS website,
          PARTITION BY regexp_extract(url, '^(https?://[^/?#]+)', 1))
        THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) ELSE url END AS url, html
 FROM {pages}"""),
-    # Scored rows for calibration: does the quality label follow a text score?
-    "scored": (("documents", "labels"), """
-SELECT d.doc_id AS row_id, d.source AS org_id, b.quality = 1 AS truth,
+    # Scored rows for calibration: does a label follow a score? Several scorers, long.
+    "scored": (("documents", "labels", "lineitem"), f"""
+SELECT 'letters' AS scorer, 'd' || CAST(d.doc_id AS STRING) AS row_key, d.source AS org_id,
+  CASE b.toxic WHEN 1 THEN 'address' ELSE 'phone' END AS field,
+  CAST(length(replace(d.text, ' ', '')) AS DOUBLE) / length(d.text) AS support,
+  1.0 / (1.0 + CAST(d.n_chars AS DOUBLE) / 1000.0) AS contradict, b.quality = 1 AS truth
+FROM {{documents}} d JOIN {{labels}} b ON d.doc_id = b.doc_id
+UNION ALL
+SELECT 'coarse' AS scorer, 'd' || CAST(d.doc_id AS STRING) AS row_key, d.source AS org_id,
   CASE b.toxic WHEN 1 THEN 'address' ELSE 'phone' END AS field,
-  CAST(length(replace(d.text, ' ', '')) AS DOUBLE) / length(d.text) AS s_letters,
-  1.0 / (1.0 + CAST(d.n_chars AS DOUBLE) / 1000.0) AS s_short,
   CAST(round(100.0 * length(replace(lower(d.text), 'e', '')) / length(d.text)) AS DOUBLE) / 100.0
-    AS s_coarse
-FROM {documents} d JOIN {labels} b ON d.doc_id = b.doc_id"""),
+    AS support,
+  CAST(round(100.0 * length(replace(d.text, 'a', '')) / length(d.text)) AS DOUBLE) / 100.0
+    AS contradict, b.quality = 1 AS truth
+FROM {{documents}} d JOIN {{labels}} b ON d.doc_id = b.doc_id
+UNION ALL
+SELECT 'quantity' AS scorer, 'l' || CAST(l.l_orderkey AS STRING) || '/' || {_PAGE_ID} AS row_key,
+  'sup' || CAST(l.l_suppkey AS STRING) AS org_id, l.l_linestatus AS field,
+  l.l_quantity / 50.0 AS support, CAST({_TAX} AS DOUBLE) / 8.0 AS contradict,
+  CASE WHEN l.l_returnflag = 'R' AND {_DISC} = 0 THEN NULL ELSE l.l_quantity > 30
+    AND l.l_returnflag <> 'N' END AS truth
+FROM {{lineitem}} l
+UNION ALL
+SELECT 'discount' AS scorer, 'l' || CAST(l.l_orderkey AS STRING) || '/' || {_PAGE_ID} AS row_key,
+  'sup' || CAST(l.l_suppkey AS STRING) AS org_id, l.l_linestatus AS field,
+  CASE WHEN {_TAX} = 8 THEN NULL ELSE CAST({_DISC} AS DOUBLE) / 10.0 END AS support,
+  l.l_quantity / 50.0 AS contradict, {_DISC} > 6 OR l.l_returnflag = 'A' AS truth
+FROM {{lineitem}} l"""),
 }
 
-SCORERS = ("s_letters", "s_short", "s_coarse")
-
-
 class Tables:
     """The test tables and the views over them, read lazily."""
 

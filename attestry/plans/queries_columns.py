@@ -49,7 +49,7 @@ def sql_addr_key(p: str = "") -> str:
 def sql_domain(x: str) -> str:
     host = (f"lower(regexp_replace(regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)'"
             ", 1), ':[0-9]*$', ''))")
-    return f"array_to_string(list_slice(string_split({host}, '.'), -2, NULL), '.')"
+    return f"array_to_string(string_split({host}, '.')[-2:], '.')"
 
 
 def sql_path(x: str) -> str:
@@ -207,7 +207,7 @@ def p36(t):
 SELECT event_id, CAST(coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE), -1)
     AS DOUBLE) AS k,
   array_to_string(list_filter(list_transform([event_type, ' ', props, NULL],
-    x -> trim(coalesce(x, ''))), x -> x <> ''), ' | ') AS items,
+    lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), ' | ') AS items,
   CASE WHEN event_type = 'view' THEN 'HTTP://a.example/' || user_id ELSE '' END AS link
 FROM events""")
 def p37(t):
@@ -284,8 +284,8 @@ def p10(t):
 check_view("sitemap_entry", "sitemap_body", """
 SELECT listing_id, website, url AS sitemap,
   regexp_matches(body, '(?i)<sitemap>') AS is_index, regexp_matches(body, '(?i)<url>') AS is_set,
-  unnest(range(len(regexp_extract_all(body, '(?is)<loc>(.*?)</loc>', 1)))) AS at,
-  unnest(list_transform(regexp_extract_all(body, '(?is)<loc>(.*?)</loc>', 1), x ->
+  unnest(range(len(regexp_extract_all(body, '(?is)<loc>(.*?)</loc>', 1)))) AS ix,
+  unnest(list_transform(regexp_extract_all(body, '(?is)<loc>(.*?)</loc>', 1), lambda x:
     trim(regexp_replace(regexp_replace(x, '^\\s*<!\\[CDATA\\[', ''), '\\]\\]>\\s*$', '')))) AS loc,
   nullif(regexp_extract(body, '<lastmod>([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS day
 FROM sitemap_body""")
@@ -293,7 +293,7 @@ FROM sitemap_body""")
 
 @query("p11", "Sitemap body to children and dated pages", "sitemap_entry", """
 SELECT sitemap, CASE WHEN is_index THEN 'child' ELSE 'page' END AS role, loc AS url,
-  CASE WHEN is_set AND at = 0 THEN day END AS lastmod FROM sitemap_entry""")
+  CASE WHEN is_set AND ix = 0 THEN day END AS lastmod FROM sitemap_entry""")
 def p11(t):
     parsed = t.sitemap_body.select(c("url").alias("sitemap"),
                                    U.parse_sitemap(c("body")).alias("s"))
@@ -308,7 +308,7 @@ def p11(t):
 
 @query("p12", "Slug words of a path", "page", f"""
 SELECT listing_id, url, array_to_string(list_filter(regexp_split_to_array(
-  lower({sql_path('url')}), '[/\\-_.]+'), x -> x <> ''), ' ') AS words FROM page""")
+  lower({sql_path('url')}), '[/\\-_.]+'), lambda x: x <> ''), ' ') AS words FROM page""")
 def p12(t):
     return t.page.select("listing_id", "url", F.array_join(
         U.slug_words(U.url_path(c("url"))), " ").alias("words"))
@@ -321,11 +321,11 @@ def sql_links(pattern: str, cut: str) -> str:
     """Ordered distinct absolute links for root-relative and absolute hrefs."""
     every = f"regexp_extract_all(html, {q(pattern)}, 1)"
     return f"""
-SELECT page_id, count(*) AS n_links, string_agg(u, ' ' ORDER BY at) AS links FROM (
-  SELECT page_id, u, min(at) AS at FROM (
-    SELECT page_id, at, {cut.format(u="CASE WHEN starts_with(h, '/') THEN o || h ELSE h END")} AS u
+SELECT page_id, count(*) AS n_links, string_agg(u, ' ' ORDER BY ix) AS links FROM (
+  SELECT page_id, u, min(ix) AS ix FROM (
+    SELECT page_id, ix, {cut.format(u="CASE WHEN starts_with(h, '/') THEN o || h ELSE h END")} AS u
     FROM (SELECT page_id, {_ORIGIN} AS o, unnest({every}) AS h,
-            unnest(range(len({every}))) AS at FROM pages)
+            unnest(range(len({every}))) AS ix FROM pages)
     WHERE NOT regexp_matches(lower(h), '^(mailto:|tel:|javascript:|data:|#)'))
   GROUP BY page_id, u) GROUP BY page_id"""
 
@@ -342,10 +342,10 @@ def p13(t):
 
 
 @query("p14", "Markdown links", "", """
-SELECT page_id, count(*) AS n_links, string_agg(h, ' ' ORDER BY at) AS links FROM (
-  SELECT page_id, h, min(at) AS at FROM (
+SELECT page_id, count(*) AS n_links, string_agg(h, ' ' ORDER BY ix) AS links FROM (
+  SELECT page_id, h, min(ix) AS ix FROM (
     SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^")\\s]+)">', 1)) AS p,
-      unnest(range(len(regexp_extract_all(html, '<a href="(/[^")\\s]+)">', 1)))) AS at FROM pages),
+      unnest(range(len(regexp_extract_all(html, '<a href="(/[^")\\s]+)">', 1)))) AS ix FROM pages),
     LATERAL (SELECT 'https://site.example' || p AS h) GROUP BY page_id, h) GROUP BY page_id""")
 def p14(t):
     markdown = F.regexp_replace("html", r'<a href="(/[^")\s]+)">([^<]*)</a>',
@@ -465,18 +465,18 @@ check_view("has", _CHILDREN, " UNION ALL ".join(
 
 
 def evidence_view(name: str, confirmed: bool) -> None:
-    conf = ("LEFT JOIN (SELECT listing_id, field, max(confirmed_at) AS at FROM confirmation "
+    conf = ("LEFT JOIN (SELECT listing_id, field, max(confirmed_at) AS cat FROM confirmation "
             "GROUP BY 1, 2) k ON h.listing_id = k.listing_id AND h.field = k.field"
-            if confirmed else "CROSS JOIN (SELECT NULL AS at) k")
+            if confirmed else "CROSS JOIN (SELECT NULL AS cat) k")
     check_view(name, "has" + (" confirmation" if confirmed else ""), f"""
 SELECT listing_id, field, fpos, evidence, age_days,
   {sql_score('field', 'evidence', 'age_days')} AS score
 FROM (SELECT h.listing_id, h.field, h.fpos,
   CASE WHEN {sql_age('human')} IS NOT NULL THEN 'human_verified'
-       WHEN {sql_age('k.at')} IS NOT NULL THEN 'source_agreement'
+       WHEN {sql_age('k.cat')} IS NOT NULL THEN 'source_agreement'
        WHEN present THEN 'structural_ok' ELSE 'none' END AS evidence,
   CASE WHEN {sql_age('human')} IS NOT NULL THEN {sql_age('human')}
-       WHEN {sql_age('k.at')} IS NOT NULL THEN {sql_age('k.at')}
+       WHEN {sql_age('k.cat')} IS NOT NULL THEN {sql_age('k.cat')}
        WHEN present THEN {sql_age('updated_at')} END AS age_days
 FROM has h {conf})""")
 
@@ -495,9 +495,10 @@ def rollup_view(name: str, source: str) -> None:
                                   for f, w in K.WEIGHT.items()])
     weight = " + ".join(["0.0"] + [arm(f, f"CAST({w} AS DOUBLE)") for f, w in K.WEIGHT.items()])
     check_view(name, source, f"""
-SELECT listing_id, freshness, coverage, {sql_band('freshness')} AS band FROM (
-SELECT listing_id, CASE WHEN {weight} > 0 THEN round_even(({total}) / ({weight}), 1) ELSE 0.0 END
-  AS freshness, round_even({weight}, 2) AS coverage FROM {source} GROUP BY listing_id)""")
+SELECT listing_id, exact, freshness, coverage, {sql_band('freshness')} AS band FROM (
+SELECT listing_id, exact, round_even(exact, 1) AS freshness, coverage FROM (
+SELECT listing_id, CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) ELSE 0.0 END AS exact,
+  round_even({weight}, 2) AS coverage FROM {source} GROUP BY listing_id))""")
 
 
 rollup_view("fresh", "evid")
@@ -554,9 +555,9 @@ def sql_addr_on_page(stored: str, page: str) -> str:
     num = f"nullif(regexp_extract({head}, '^(\\d+)\\s+.+', 1), '')"
     stop = "[" + ", ".join(q(w) for w in K.STREET_STOP_WORDS) + "]"
     words = (f"list_filter(regexp_extract_all(lower(regexp_extract({head}, '^\\d+\\s+(.+)', 1)), "
-             f"'[a-z]+'), w -> length(w) > 2 AND NOT list_contains({stop}, w))")
+             f"'[a-z]+'), lambda w: length(w) > 2 AND NOT list_contains({stop}, w))")
     return (f"CASE WHEN {num} IS NULL OR len({words}) = 0 THEN NULL ELSE contains({page}, {num}) "
-            f"AND len(list_filter({words}, w -> contains(lower({page}), w))) > 0 END")
+            f"AND len(list_filter({words}, lambda w: contains(lower({page}), w))) > 0 END")
 
 
 @query("p30", "Phone oracle", "claim_page", f"""

@@ -50,12 +50,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, eager: bool = True):
+def cut_lineage(df):
     """Reliable checkpoint in the shared folder, so a lost executor costs a re-read only."""
     spark = df.sparkSession
     if spark.conf.get("attestry.scratch", None) is None:
         shared_dir(spark)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
+
+
+def stored(df, name: str = "stage"):
+    """Write a table to the shared folder and read it back: a columnar lineage cut.
+
+    For tables that several later passes scan, each pass reads only its columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def env_cores(default: int = 8) -> int:
