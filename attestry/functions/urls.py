@@ -56,7 +56,7 @@ def day_of(c: Column) -> Column:
 
 
 def slug_words(path: Column) -> Column:
-    return F.filter(F.split(F.lower(path), K.SLUG_SPLIT_RE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(path), K.SLUG_SPLIT_RE), "")
 
 
 def join_urls(base: Column, hrefs: Column, drop_fragment: bool = False) -> Column:

@@ -176,7 +176,7 @@ def hint_score(words: Column, field: str) -> Column:
     expr = None
     for i, hint in enumerate(K.SLUG_HINTS.get(field, ())):
         parts = [p for p in hint.split("-") if p]
-        hit = F.arrays_overlap(words, F.array(F.lit(parts[0])))
+        hit = F.array_contains(words, parts[0])
         for p in parts[1:]:
             hit = hit & F.array_contains(words, p)
         points = F.lit(float(12 - min(i, 6)))
@@ -184,14 +184,13 @@ def hint_score(words: Column, field: str) -> Column:
     return F.lit(0.0) if expr is None else expr.otherwise(0.0)
 
 
-def page_score(path: Column, words: Column, lastmod: Column, field: str, as_of) -> Column:
-    """How likely a page answers about a field; recency is a weak term on purpose."""
-    depth = F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
+def base_score(path: Column, lastmod: Column, as_of) -> Column:
+    """The part of a page's score that no field changes; recency is a weak term on purpose."""
+    depth = F.size(F.array_remove(F.split(path, "/"), ""))
     age = (F.unix_seconds(moment(as_of)) - F.unix_seconds(
         lastmod.try_cast("date").cast("timestamp"))) / 86400.0
     return (
-        hint_score(words, field)
-        + F.when(depth == 0, 5.0).when(depth == 1, 1.0).otherwise(0.0)
+        F.when(depth == 0, 5.0).when(depth == 1, 1.0).otherwise(0.0)
         - 1.5 * F.greatest(F.lit(0), depth - 2)
         - F.when(path.rlike(K.NOISE_RE), 7.0).otherwise(0.0)
         + F.when(age < 180, 3.0).when(age < 730, 1.5).otherwise(0.0)
@@ -202,11 +201,11 @@ def rank_pages(pages: DataFrame, fields, as_of, limit: int = K.RANK_LIMIT,
                key: str = "website") -> DataFrame:
     """Top pages per (site, field): (key, field, rank, url, lastmod, score)."""
     prepared = pages.select(key, "url", "lastmod", F.lower(U.url_path(F.col("url"))).alias("path"))
-    prepared = prepared.withColumn("words", U.slug_words(F.col("path")))
-    scored = prepared.select(key, "url", "lastmod", F.explode(F.array(*[
+    based = prepared.select(key, "url", "lastmod", U.slug_words(F.col("path")).alias("words"),
+                            base_score(F.col("path"), F.col("lastmod"), as_of).alias("base"))
+    scored = based.select(key, "url", "lastmod", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"),
-                 page_score(F.col("path"), F.col("words"), F.col("lastmod"), f, as_of)
-                 .alias("score"))
+                 (F.col("base") + hint_score(F.col("words"), f)).alias("score"))
         for f in fields])).alias("s")).select(key, "url", "lastmod", "s.field", "s.score")
     w = Window.partitionBy(key, "field").orderBy(F.desc("score"), "url")
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

@@ -10,45 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import constants as K
-from attestry.functions.contact import oracle, phone_on_page
+from attestry.functions.contact import oracle, raw_digits
 from attestry.functions.text import stripped
 from attestry.operators.evidence import closure_hits
 
 CHUNK = 64
 
 
-def default_scores(field: Column, stored: Column, text: Column, page: Column) -> Column:
-    """struct(support, contradict) from string evidence alone.
+def page_features(pages: DataFrame) -> DataFrame:
+    """What the default judge needs from a page, worked out once per page."""
+    return pages.withColumns({
+        "page_digits": raw_digits(F.col("text")),
+        "page_lower": F.lower("text"),
+        "page_number": F.col("text").rlike(K.PHONE_RE),
+        "page_closed": F.size(closure_hits(F.col("text"))) > 0,
+        "page_open": F.col("text").rlike(K.HOURS_RE),
+    })
+
+
+def default_scores(field: Column, stored: Column, claim: Column) -> Column:
+    """struct(support, contradict) from string evidence alone, over page_features().
 
     Undecidable is NULL. A page only contradicts a phone by showing another
     number, and a status by a closure notice.
     """
-    on_page = oracle(field, stored, page)
-    other_number = page.rlike(K.PHONE_RE)
-    closed = F.size(closure_hits(page)) > 0
-    open_words = page.rlike(K.HOURS_RE)
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"),
+    on_page = oracle(field, stored, F.col("text"), F.col("page_digits"), F.col("page_lower"))
+    words = F.array_distinct(F.filter(F.split(F.lower(claim), r"[^a-z0-9]+"),
                                       lambda w: F.length(w) > 3))
-    low = F.lower(page)
-    overlap = F.size(F.filter(words, lambda w: F.contains(low, w))) / F.greatest(
+    overlap = F.size(F.filter(words, lambda w: F.contains(F.col("page_lower"), w))) / F.greatest(
         F.size(words), F.lit(1))
 
     def pair(s, c) -> Column:
         return F.struct(F.lit(s).cast("double").alias("support"),
                         F.lit(c).cast("double").alias("contradict"))
 
-    return (
-        F.when((field == "phone") & on_page, pair(0.97, 0.01))
-        .when((field == "phone") & other_number, pair(0.02, 0.99))
-        .when(field == "phone", pair(0.02, 0.01))
-        .when((field == "address") & on_page.isNull(), F.lit(None))
-        .when((field == "address") & on_page, pair(0.95, 0.02))
-        .when(field == "address", pair(0.02, 0.02))
-        .when((field == "status") & closed, pair(0.01, 0.995))
-        .when((field == "status") & open_words, pair(0.75, 0.02))
-        .when(field == "status", pair(0.4, 0.2))
-        .otherwise(F.struct(overlap.alias("support"), F.lit(0.0).alias("contradict")))
-    )
+    phone = (F.when(on_page, pair(0.97, 0.01)).when(F.col("page_number"), pair(0.02, 0.99))
+             .otherwise(pair(0.02, 0.01)))
+    address = F.when(on_page, pair(0.95, 0.02)).when(~on_page, pair(0.02, 0.02))
+    status = (F.when(F.col("page_closed"), pair(0.01, 0.995))
+              .when(F.col("page_open"), pair(0.75, 0.02)).otherwise(pair(0.4, 0.2)))
+    return (F.when(field == "phone", phone).when(field == "address", address)
+            .when(field == "status", status)
+            .otherwise(F.struct(overlap.alias("support"), F.lit(0.0).alias("contradict"))))
 
 
 def question(form: str, claim: Column, levels: int = K.ORDINAL_LEVELS) -> Column:
@@ -94,15 +97,17 @@ def judge_pages(claims: DataFrame, pages: DataFrame,
                 scorer: Callable | None = None) -> DataFrame:
     """Every claim against every selected page of its listing.
 
-    claims: listing_id, key, field, text, stored; pages: listing_id, pos, url,
+    claims: listing_id, key, field, text, stored, ord; pages: listing_id, pos, url,
     text and lastmod. Returns listing_id, key, field, stored, url, pos, lastmod,
-    support, contradict. The default stays in the JVM; a scorer gets one row per
-    page with that page's claims as an array, so a page's text travels once.
+    support, contradict. The default stays in the JVM. A scorer is called as
+    scorer(page_text, claims) with a list of dicts and returns one (support,
+    contradict) pair per claim; a page's text travels to Python once.
     """
     if scorer is None:
         scored = claims.select("listing_id", "key", "field", "stored",
-                               F.col("text").alias("claim")).join(pages, "listing_id")
-        s = default_scores(F.col("field"), F.col("stored"), F.col("claim"), F.col("text"))
+                               F.col("text").alias("claim")).join(
+            page_features(pages), "listing_id")
+        s = default_scores(F.col("field"), F.col("stored"), F.col("claim"))
         return scored.select("listing_id", "key", "field", "stored", "url", "pos", "lastmod",
                              s.alias("s")).filter(F.col("s").isNotNull()).select(
             "listing_id", "key", "field", "stored", "url", "pos", "lastmod", "s.support",
@@ -129,23 +134,22 @@ def _page_caller(scorer: Callable):
     def run(batches):
         import pandas as pd
 
+        def answer(row):
+            claims = [dict(c) for c in row.claims]
+            try:
+                return claims, list(scorer(row.text, claims))
+            except Exception:  # a failed page costs one page
+                return claims, [(None, None)] * len(claims)
+
+        columns = ("listing_id", "key", "field", "stored", "url", "pos", "lastmod", "support",
+                   "contradict")
         for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
-                asked = pd.DataFrame([dict(c) for c in row.claims])
-                try:
-                    scores = scorer(row.text, asked)
-                    asked["support"] = pd.to_numeric(scores["support"], errors="coerce")
-                    asked["contradict"] = pd.to_numeric(scores["contradict"], errors="coerce")
-                except Exception:  # a failed page costs one page
-                    asked["support"] = asked["contradict"] = float("nan")
-                yield pd.DataFrame({
-                    "listing_id": row.listing_id, "key": asked["key"], "field": asked["field"],
-                    "stored": asked["stored"], "url": row.url, "pos": row.pos,
-                    "lastmod": row.lastmod,
-                    "support": asked["support"].astype(object).where(
-                        asked["support"].notna(), None),
-                    "contradict": asked["contradict"].astype(object).where(
-                        asked["contradict"].notna(), None)})
+                for claim, (support, contradict) in zip(*answer(row)):
+                    out.append((row.listing_id, claim["key"], claim["field"], claim["stored"],
+                                row.url, row.pos, row.lastmod, support, contradict))
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -212,7 +216,3 @@ def support_variants(claim: Column) -> dict[str, Column]:
         "score": question("ordinal", claim),
         "noul_pair": F.concat_ws("\n", question("support", claim), question("contradict", claim)),
     }
-
-
-__all__ = ["default_scores", "judge_pages", "adjudicate", "map_text", "question",
-           "option_question", "picked_pages", "spans", "support_variants", "phone_on_page"]

@@ -16,10 +16,11 @@ from attestry.operators import inventory as I
 from attestry.operators import review_queue as R
 from attestry.operators import structural as S
 from attestry.plans.adapters import AS_OF, Tables
+from attestry.session import stored
 
 
 class DirectoryRun:
-    """Stages of one directory run; each is a plan, nothing runs until it is used."""
+    """Stages of one directory run. Pages chosen for reading are written once and re-read."""
 
     def __init__(self, t: Tables, as_of: str = AS_OF):
         self.t, self.d, self.as_of = t, t.directory, as_of
@@ -48,7 +49,9 @@ class DirectoryRun:
             F.col("id").alias("listing_id"), "website")
         wanted = I.candidate_pages(listed, phone)
         texts = self.site_pages.select("listing_id", "url", "text")
-        return I.gather_evidence(wanted.join(texts, ["listing_id", "url"], "left"))
+        # Phone, closure and address evidence each scan these few pages per listing.
+        return stored(I.gather_evidence(wanted.join(texts, ["listing_id", "url"], "left")),
+                      "gathered")
 
     @cached_property
     def structural(self) -> DataFrame:
@@ -86,8 +89,8 @@ class DirectoryRun:
             F.col("id").alias("listing_id"), U.origin(F.col("website")).alias("origin"))
         chosen = I.select_pages(listed, C.claim_fields(self.claims), self.ranked)
         texts = E.audit_pages(self.t.capture, ["listing_id", "url"])
-        return chosen.join(texts, ["listing_id", "url"]).select(
-            "listing_id", "pos", "url", "lastmod", "text", "method")
+        return stored(chosen.join(texts, ["listing_id", "url"]).select(
+            "listing_id", "pos", "url", "lastmod", "text", "method"), "audit-pages")
 
     @cached_property
     def anchors(self) -> DataFrame:
