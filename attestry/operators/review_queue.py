@@ -70,8 +70,8 @@ def normalise(raw: DataFrame, kind: Column) -> DataFrame:
 
     fields = F.coalesce(F.col("fields"), F.array().cast(raw.schema["fields"].dataType))
     marked = F.get(F.filter(fields, lambda f: F.coalesce(f["structural"], F.lit(False))), F.lit(0))
-    staged = raw.select("*", kind.alias("asked"), marked.alias("sf"),
-                        F.coalesce(marked, F.get(fields, F.lit(0))).alias("ff"))
+    staged = raw.withColumns({"asked": kind, "sf": marked,
+                              "ff": F.coalesce(marked, F.get(fields, F.lit(0)))})
     has_sf, cr, sf, ff = F.col("sf").isNotNull(), "change_request", F.col("sf"), F.col("ff")
     field = F.when(has_sf, t(sf["field"])).otherwise(either(
         t(f"{cr}.field"), t(ff["field"]),
@@ -79,7 +79,7 @@ def normalise(raw: DataFrame, kind: Column) -> DataFrame:
     stored = F.when(has_sf, t(sf["stored"])).otherwise(
         either(t(f"{cr}.current"), t(ff["stored"])))
     live = F.when(has_sf, t(sf["live"])).otherwise(either(t(f"{cr}.proposed"), t(ff["live"])))
-    first = staged.select("*", field.alias("field"), stored.alias("stored"), live.alias("live0"))
+    first = staged.withColumns({"field": field, "stored": stored, "live0": live})
     said = F.when((F.col("stored") != "") & (F.col("live0") == F.col("stored")), "").otherwise(
         F.col("live0"))
     structural = (has_sf | F.coalesce("structural", F.lit(False))
