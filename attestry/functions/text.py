@@ -68,7 +68,13 @@ def snippet(text: Column, pattern: str, pad: int = 60) -> Column:
 def clean_text(c: Column, fallback: str = "") -> Column:
     """Control characters to spaces, whitespace collapsed, trimmed; blank gives the fallback."""
     s = collapse(F.regexp_replace(c.cast("string"), K.CONTROL_RE, " "))
-    return F.coalesce(blank_to_null(s), F.lit(fallback))
+    return F.coalesce(s if fallback == "" else blank_to_null(s), F.lit(fallback))
+
+
+def first_filled(*choices: Column) -> Column:
+    """First non-empty text, '' when there is none; each choice is evaluated once."""
+    filled = F.filter(F.array(*choices), lambda s: s != "")
+    return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
 def http_url(c: Column) -> Column:

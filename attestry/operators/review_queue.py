@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from attestry import constants as K
 from attestry.functions.review import outcome_of
 from attestry.functions.scoring import priority, triage_score
-from attestry.functions.text import clean_text, http_url
+from attestry.functions.text import clean_text, first_filled, http_url
 
 
 def triage(listing: DataFrame, as_of, budget: int | None = None,
@@ -65,20 +65,17 @@ def normalise(raw: DataFrame, kind: Column) -> DataFrame:
     def t(c) -> Column:
         return clean_text(F.col(c) if isinstance(c, str) else c)
 
-    def either(*cols: Column) -> Column:
-        return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
-
     fields = F.coalesce(F.col("fields"), F.array().cast(raw.schema["fields"].dataType))
     marked = F.get(F.filter(fields, lambda f: F.coalesce(f["structural"], F.lit(False))), F.lit(0))
     staged = raw.withColumns({"asked": kind, "sf": marked,
                               "ff": F.coalesce(marked, F.get(fields, F.lit(0)))})
     has_sf, cr, sf, ff = F.col("sf").isNotNull(), "change_request", F.col("sf"), F.col("ff")
-    field = F.when(has_sf, t(sf["field"])).otherwise(either(
+    field = F.when(has_sf, t(sf["field"])).otherwise(first_filled(
         t(f"{cr}.field"), t(ff["field"]),
         F.when(F.col("asked") == "abstention", "listing").otherwise("")))
     stored = F.when(has_sf, t(sf["stored"])).otherwise(
-        either(t(f"{cr}.current"), t(ff["stored"])))
-    live = F.when(has_sf, t(sf["live"])).otherwise(either(t(f"{cr}.proposed"), t(ff["live"])))
+        first_filled(t(f"{cr}.current"), t(ff["stored"])))
+    live = F.when(has_sf, t(sf["live"])).otherwise(first_filled(t(f"{cr}.proposed"), t(ff["live"])))
     first = staged.withColumns({"field": field, "stored": stored, "live0": live})
     said = F.when((F.col("stored") != "") & (F.col("live0") == F.col("stored")), "").otherwise(
         F.col("live0"))
@@ -89,19 +86,19 @@ def normalise(raw: DataFrame, kind: Column) -> DataFrame:
         "kind", F.when(F.col("is_structural"), "structural")
         .when((F.col("asked") == "discrepancy") & (F.col("said") == ""), "abstention")
         .otherwise(F.col("asked")))
-    org = either(http_url(F.col("org_website")), http_url(F.col(f"{cr}.org_website")))
-    page = either(http_url(F.col("listing_url")), http_url(F.col(f"{cr}.listing_url")))
-    edit = either(http_url(F.col("listing_edit_url")), http_url(F.col(f"{cr}.listing_edit_url")))
-    somewhere = either(org, http_url(F.col("listing_url")), F.col("stored"))
+    org = first_filled(http_url(F.col("org_website")), http_url(F.col(f"{cr}.org_website")))
+    page = first_filled(http_url(F.col("listing_url")), http_url(F.col(f"{cr}.listing_url")))
+    edit = first_filled(http_url(F.col("listing_edit_url")), http_url(F.col(f"{cr}.listing_edit_url")))
+    somewhere = first_filled(org, http_url(F.col("listing_url")), F.col("stored"))
     usable = (
         (t("resource_id") != "") & (F.col("field") != "")
         & ~((F.col("kind") == "structural") & (F.col("stored") == ""))
         & ~((F.col("kind") == "abstention") & (somewhere == ""))
     )
     source = F.when(has_sf, http_url(sf["evidence_url"])).otherwise(
-        either(http_url(F.col(f"{cr}.source_url")), http_url(ff["evidence_url"])))
+        first_filled(http_url(F.col(f"{cr}.source_url")), http_url(ff["evidence_url"])))
     quote = F.when(has_sf, "").otherwise(
-        either(t(f"{cr}.source_quote"), t(ff["evidence_quote"])))
+        first_filled(t(f"{cr}.source_quote"), t(ff["evidence_quote"])))
     items = second.filter(usable).select(
         t("resource_id").alias("resource_id"), "kind",
         clean_text(F.col("name"), "Unknown organisation").alias("name"), "field", "stored",
@@ -109,14 +106,14 @@ def normalise(raw: DataFrame, kind: Column) -> DataFrame:
         F.when(F.col("is_structural"), F.col("said")).otherwise("").alias("defect"),
         source.alias("source_url"), quote.alias("source_quote"), page.alias("listing_url"),
         edit.alias("listing_edit_url"), org.alias("org_website"),
-        F.coalesce(F.nullif(t("verdict"), F.lit("")), F.col("kind")).alias("verdict"),
+        first_filled(t("verdict"), F.col("kind")).alias("verdict"),
         t("reason").alias("reason"), "confidence",
         F.coalesce("blast_size", F.size(F.coalesce(
             "blast_services", F.array().cast("array<string>"))).cast("bigint"))
         .alias("blast_size"),
         F.coalesce("priority", F.lit(0.0)).alias("priority"),
-        F.coalesce(F.nullif(t(f"{cr}.submitted_by"), F.lit("")), F.lit(
-            "attestry (human review required)")).alias("submitted_by"))
+        first_filled(t(f"{cr}.submitted_by"), F.lit("attestry (human review required)"))
+        .alias("submitted_by"))
     return items.withColumn("proposes", F.col("kind") == "discrepancy")
 
 

@@ -15,6 +15,7 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+SPREAD_FROM, SPREAD_BELOW = 400_000, 128 * 1024 * 1024
 AS_OF = "2002-01-01T00:00:00Z"
 EVENTS_AS_OF = "2024-02-01T00:00:00Z"
 
@@ -270,7 +271,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = self._read(name)
             elif name in VIEWS:
                 deps, sql = VIEWS[name]
                 self._cache[name] = self.spark.sql(sql, **{d: getattr(self, d) for d in deps})
@@ -278,6 +279,20 @@ class Tables:
                 raise AttributeError(name)
         return self._cache[name]
 
+    def _read(self, name: str) -> DataFrame:
+        """A table; a file that fits one scan task is spread over the cores.
+
+        Larger files split by themselves and are read as they are.
+        """
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if SPREAD_FROM <= fs.getContentSummary(where).getLength() < SPREAD_BELOW:
+            return df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
+
     @cached_property
     def directory(self):
         from attestry.operators.directory import Directory

@@ -564,15 +564,23 @@ def sql_addr_on_page(stored: str, page: str) -> str:
 SELECT listing_id, key, url, {sql_on_page('stored', 'text')} AS on_page FROM claim_page
 WHERE field = 'phone'""")
 def p30(t):
-    return _claims_by_page(t, "phone").select("listing_id", "key", "url", C.phone_on_page(
-        c("stored"), c("text")).alias("on_page"))
+    return _claims_by_page(t, "phone").select("listing_id", "key", "url", C.phone_in_digits(
+        c("stored"), c("digits")).alias("on_page"))
 
 
 def _claims_by_page(t, field=None):
     claims = CL.template_claims(t.directory).select("listing_id", "key", "field", "stored")
     if field:
         claims = claims.filter(c("field") == field)
-    return claims.join(t.page.select("listing_id", "url", "text"), "listing_id")
+    # Digits and lower case belong to the page, so they are worked out before the join.
+    pages = t.page.select("listing_id", "url", "text", C.raw_digits(c("text")).alias("digits"),
+                          F.lower("text").alias("low"))
+    return claims.join(pages, "listing_id")
+
+
+def oracle_truth():
+    """The oracle over rows of _claims_by_page()."""
+    return C.oracle(c("field"), c("stored"), c("text"), c("digits"), c("low"))
 
 
 @query("p31", "Address oracle, three-valued", "claim_page", f"""
@@ -580,7 +588,7 @@ SELECT listing_id, key, url, {sql_addr_on_page('stored', 'text')} AS on_page FRO
 WHERE field = 'address'""")
 def p31(t):
     return _claims_by_page(t, "address").select("listing_id", "key", "url", C.address_on_page(
-        c("stored"), c("text")).alias("on_page"))
+        c("stored"), c("text"), c("low")).alias("on_page"))
 
 
 check_view("oracle_row", "claim_page", f"""
@@ -593,8 +601,7 @@ SELECT listing_id, key, field, stored, url, CASE field WHEN 'phone' THEN
 SELECT field, truth, count(*) AS n FROM oracle_row GROUP BY field, truth""")
 def p32(t):
     rows = _claims_by_page(t)
-    return rows.select("field", C.oracle(c("field"), c("stored"), c("text")).alias("truth")
-                       ).groupBy("field", "truth").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("field", oracle_truth().alias("truth")).groupBy("field", "truth").agg(F.count(F.lit(1)).alias("n"))
 
 
 def answers(t):

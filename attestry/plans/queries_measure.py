@@ -13,6 +13,7 @@ from attestry.plans.adapters import AS_OF, EVENTS_AS_OF
 from attestry.plans.catalog import check_view, query
 from attestry.plans.queries_columns import (
     _claims_by_page,
+    oracle_truth,
     rollup_view,
     sql_age,
     sql_band,
@@ -180,10 +181,7 @@ SELECT 'oracle ' || field AS part, count(*) AS n FROM oracle_row WHERE truth IS
 GROUP BY field
 UNION ALL SELECT 'scorer ' || scorer, count(*) FROM decided GROUP BY scorer""")
 def f06(t):
-    from attestry.functions.contact import oracle
-
-    judged = _claims_by_page(t).select(
-        "field", oracle(c("field"), c("stored"), c("text")).alias("truth")).dropna(
+    judged = _claims_by_page(t).select("field", oracle_truth().alias("truth")).dropna(
         subset=["truth"])
     a = judged.groupBy(F.concat(F.lit("oracle "), "field").alias("part")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from attestry import schemas as S
 from attestry.functions.text import blank_to_null, stripped
@@ -56,7 +57,7 @@ def _unwrapped(raw: DataFrame) -> DataFrame:
 def read_listings(spark: SparkSession, path: str, approved_only: bool = False,
                   listing_id: int | None = None) -> DataFrame:
     """Listing documents, one object or one array per file; wrapped or bare; corrupt skipped."""
-    raw = (spark.read.schema(S.LANDED[len("struct<"):-1]).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(DataType.fromDDL(S.LANDED)).option("mode", "PERMISSIVE")
            .option("multiLine", True).json(path))
     docs = _unwrapped(raw).filter(F.col("name").isNotNull() & F.col("id").isNotNull())
     if approved_only:
@@ -66,17 +67,11 @@ def read_listings(spark: SparkSession, path: str, approved_only: bool = False,
 
 def read_listing_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same documents as one JSON object per line, which splits across tasks."""
-    raw = (spark.read.schema(S.LANDED[len("struct<"):-1]).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(DataType.fromDDL(S.LANDED)).option("mode", "PERMISSIVE")
            .json(path))
     return _unwrapped(raw).filter(F.col("name").isNotNull() & F.col("id").isNotNull())
 
 
-def corrupt_records(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.schema("resource_id string,_corrupt_record string")
-            .option("mode", "PERMISSIVE").json(path).cache()
-            .filter(F.col("_corrupt_record").isNotNull()))
-
-
 def missing_ids(index: DataFrame, landed: DataFrame, limit: int = 0) -> DataFrame:
     """Work-list ids not landed yet; a positive limit first keeps the lowest ids."""
     ids = index.select("resource_id").distinct()
