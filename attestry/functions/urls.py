@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 from attestry import constants as K
 from attestry.functions.text import all_matches, blank_to_null, first_match, stripped
 
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+# A host after an optional scheme; text with a later // has no host of its own.
+_HOST = (r"^\s*(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//|(?!.*//))"
+         r"(?:[^/?#]*@)?([^/?#:\s]*)")
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
 def hostname(url: Column) -> Column:
     """Lower-case host without user info or port; '' when there is none."""
-    netloc = F.regexp_extract(url, _AUTHORITY, 1)
-    host = F.regexp_replace(F.regexp_replace(netloc, r"^.*@", ""), r":\d*$", "")
-    return F.lower(host)
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
 
 
 def url_path(url: Column) -> Column:
@@ -28,10 +28,7 @@ def origin(url: Column) -> Column:
 
 def registered_domain(url: Column) -> Column:
     """Last two host labels; '' when there is no host."""
-    s = stripped(F.coalesce(url, F.lit("")))
-    s = F.when(F.contains(s, F.lit("//")), s).otherwise(F.concat(F.lit("//"), s))
-    host = F.btrim(hostname(s), F.lit("."))
-    return F.when(host == "", "").otherwise(F.substring_index(host, ".", -2))
+    return F.substring_index(F.btrim(hostname(url), F.lit(".")), ".", -2)
 
 
 def same_site(url: Column, website: Column) -> Column:
@@ -41,7 +38,7 @@ def same_site(url: Column, website: Column) -> Column:
 
 def display_host(url: Column) -> Column:
     """Host for display, a leading www. removed."""
-    return F.regexp_replace(hostname(F.coalesce(url, F.lit(""))), r"^www\.", "")
+    return F.regexp_replace(hostname(url), r"^www\.", "")
 
 
 def unwrap_cdata(c: Column) -> Column:
@@ -146,8 +143,10 @@ def parse_robots(body: Column) -> Column:
 
 
 def robots_allow(url: Column, disallow: Column) -> Column:
-    path = url_path(url)
-    return ~F.coalesce(F.exists(disallow, lambda r: F.startswith(path, r)), F.lit(False))
+    # The one-element array makes the path a variable, worked out once for all rules.
+    blocked = F.exists(F.array(url_path(url)), lambda path: F.exists(
+        disallow, lambda rule: F.startswith(path, rule)))
+    return ~F.coalesce(blocked, F.lit(False))
 
 
 def parse_sitemap(body: Column) -> Column:

@@ -15,7 +15,13 @@ class Query:
     name: str
     title: str
     run: Callable[[Tables], DataFrame]
-    sql: str | None
+    reads: str
+    check: str | None
+
+    @property
+    def sql(self) -> str | None:
+        """The whole SQL check, the views it reads written out in front."""
+        return None if self.check is None else with_views(self.reads, self.check)
 
 
 REGISTRY: dict[str, Query] = {}
@@ -28,7 +34,7 @@ def query(name: str, title: str, reads: str = "", sql: str | None = None):
     def keep(fn):
         if name in REGISTRY:
             raise ValueError(f"{name} registered twice")
-        REGISTRY[name] = Query(name, title, fn, None if sql is None else with_views(reads, sql))
+        REGISTRY[name] = Query(name, title, fn, reads, sql)
         return fn
 
     return keep
@@ -46,7 +52,7 @@ def with_views(reads: str, sql: str) -> str:
 
     def visit(name: str) -> None:
         if name not in VIEWS and name not in CHECK_VIEWS:
-            return
+            return  # a test table
         for dep in deps(name):
             visit(dep)
         if name not in order:

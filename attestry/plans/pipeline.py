@@ -43,8 +43,8 @@ class DirectoryRun:
     @cached_property
     def gathered(self) -> DataFrame:
         """Pages read for the rule check, in order, until enough was seen."""
-        phone = I.rank_pages(self.site_pages, ("phone",), self.as_of, K.MAX_FETCHES + 2,
-                             key="listing_id")
+        phone = stored(I.rank_pages(self.site_pages, ("phone",), self.as_of, K.MAX_FETCHES + 2,
+                                    key="listing_id"), "ranked")
         listed = self.d.listing.filter(F.col("website").isNotNull()).select(
             F.col("id").alias("listing_id"), "website")
         wanted = I.candidate_pages(listed, phone)
