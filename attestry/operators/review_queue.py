@@ -171,22 +171,25 @@ def session_counts(log: DataFrame) -> DataFrame:
         F.count_if(F.col("action") != "skip").alias("answered"))
 
 
-def open_positions(items: DataFrame, settled: DataFrame, skipped: DataFrame,
-                   buckets: int = 1000) -> DataFrame:
+def open_positions(items: DataFrame, settled: DataFrame, skipped: DataFrame) -> DataFrame:
     """(resource_id, position, is_next): the queue order and the next open review.
 
-    A position is the rows in better priority classes plus the rank inside the
-    class, so no single task orders the whole queue.
+    A position is the rows of better priorities, plus those of earlier id
+    prefixes at the same priority, plus the rank inside the prefix. Priorities
+    carry three decimals, so their table is small, and a priority shared by a
+    third of the queue still spreads over its prefixes.
     """
-    classed = items.select("resource_id", "priority",
-                           (-F.floor(F.col("priority") * buckets)).alias("cls"))
-    sizes = classed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("cls", (F.sum("n").over(Window.orderBy("cls")) - F.col("n"))
-                          .alias("before"))
-    inside = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("priority"),
-                                                                   "resource_id"))
-    placed = classed.withColumn("inside", inside).join(before, "cls").select(
-        "resource_id", (F.col("before") + F.col("inside")).alias("position"))
+    keyed = items.select("resource_id", "priority", F.left("resource_id", F.lit(3)).alias("p"))
+    parts = keyed.groupBy("priority", "p").agg(F.count(F.lit(1)).alias("n"))
+    totals = parts.groupBy("priority").agg(F.sum("n").alias("n"))
+    better = totals.select("priority", (F.sum("n").over(Window.orderBy(F.desc("priority")))
+                                        - F.col("n")).alias("better"))
+    earlier = parts.select("priority", "p", (F.sum("n").over(
+        Window.partitionBy("priority").orderBy("p")) - F.col("n")).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("priority", "p").orderBy("resource_id"))
+    placed = (keyed.withColumn("inside", inside).join(earlier, ["priority", "p"])
+              .join(better, "priority").select("resource_id", (
+                  F.col("better") + F.col("earlier") + F.col("inside")).alias("position")))
     busy = settled.select("resource_id").unionByName(skipped.select("resource_id")).distinct()
     free = placed.join(busy, "resource_id", "left_anti")
     nxt = free.agg(F.min("position").alias("next_position"))

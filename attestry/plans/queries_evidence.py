@@ -25,11 +25,8 @@ c = F.col
 
 
 def _with_pos(t):
-    """All captured pages of a listing, in URL order."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("listing_id").orderBy("url")
-    return t.page.select("listing_id", "url", "text", F.row_number().over(w).alias("pos"))
+    """All captured pages of a listing; the URL itself is the reading order."""
+    return t.page.select("listing_id", "url", "text", c("url").alias("pos"))
 
 
 check_view("placed", "page", """
