@@ -155,7 +155,8 @@ def sibling_counts(g: Graph, max_keys: int = MAX_SUBSET_KEYS) -> DataFrame:
     """
     held = g.edges.filter(F.col("rel").isin(*SHARED)).select("src", "dst")
     shared_keys = held.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    linked = held.join(shared_keys.select("dst"), "dst", "left_semi")
+    # Five passes read the linked pairs, so they are worked out once.
+    linked = stored(held.join(shared_keys.select("dst"), "dst", "left_semi"), "linked")
     width = linked.groupBy("src").agg(F.count(F.lit(1)).alias("m"))
     small = linked.join(width.filter(F.col("m") <= max_keys).select("src"), "src", "left_semi")
     big = linked.join(width.filter(F.col("m") > max_keys).select("src"), "src", "left_semi")

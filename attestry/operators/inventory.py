@@ -12,11 +12,16 @@ from attestry.functions.scoring import moment
 from attestry.session import cut_lineage
 
 
-def first_per(df: DataFrame, keys: list[str], order: Column, limit: int | Column,
-              name: str = "rn") -> DataFrame:
-    """The first rows per key; Spark prunes to the limit before the shuffle."""
+def first_per(df: DataFrame, keys: list[str], order: Column, limit: int,
+              room: Column | None = None, name: str = "rn") -> DataFrame:
+    """The first rows per key, optionally fewer where a key has less room left.
+
+    The literal limit lets Spark prune before the shuffle, so one key with very
+    many rows sends only its first ones.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
+    kept = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
+    return kept if room is None else kept.filter(F.col(name) <= room)
 
 
 # ---------------------------------------------------------------- sites and sitemaps
@@ -58,7 +63,7 @@ def crawl_sitemaps(rules: DataFrame, bodies: DataFrame, max_sitemaps: int = K.MA
             fresh = (fresh.join(seen.select("website", "url"), ["website", "url"], "left_anti")
                      .join(taken, "website", "left"))
         level = cut_lineage(
-            first_per(fresh, ["website"], F.col("o"),
+            first_per(fresh, ["website"], F.col("o"), max_sitemaps,
                       F.lit(max_sitemaps) - F.coalesce("before", F.lit(0)))
             .select("website", "domain", "url",
                     (F.coalesce("before", F.lit(0)) + F.col("rn")).alias("ord")))
@@ -124,7 +129,8 @@ def crawl_link_graph(rules: DataFrame, bodies: DataFrame, max_pages: int = K.MAX
                  .join(out.select("website", "url"), ["website", "url"], "left_anti")
                  .join(out.groupBy("website").agg(F.count(F.lit(1)).cast("int").alias("before")),
                        "website"))
-        level = first_per(fresh, ["website"], F.col("o"), F.lit(max_pages) - F.col("before"))
+        level = first_per(fresh, ["website"], F.col("o"), max_pages,
+                          F.lit(max_pages) - F.col("before"))
         out = cut_lineage(out.unionByName(level.select(
             "website", "domain", "disallow", "url", (F.col("before") + F.col("rn")).alias("ord"),
             F.lit(depth).alias("depth"))))
@@ -243,7 +249,7 @@ def select_pages(listings: DataFrame, claim_fields: DataFrame, ranked: DataFrame
                      zero.alias("r")).alias("o")))
     first = every.groupBy("listing_id", "url").agg(
         F.min("o").alias("o"), F.min_by(F.struct("lastmod"), "o").alias("l"))
-    return first_per(first, ["listing_id"], F.col("o"), budget, "pos").select(
+    return first_per(first, ["listing_id"], F.col("o"), budget, name="pos").select(
         "listing_id", "pos", "url", F.col("l.lastmod").alias("lastmod"))
 
 
