@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry import constants as K
-from attestry.functions.scoring import age_days, band, choose, field_score, half_life
+from attestry.functions.scoring import age_days, band, field_score, half_life
 from attestry.functions.text import blank_to_null, present
 from attestry.operators.directory import Directory
 

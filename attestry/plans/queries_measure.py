@@ -16,7 +16,6 @@ from attestry.plans.queries_columns import (
     oracle_truth,
     rollup_view,
     sql_age,
-    sql_band,
     sql_case,
     sql_score,
 )
