@@ -59,8 +59,8 @@ WITH RECURSIVE w AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(
-      range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(
+      [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)])
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
 shared AS (
