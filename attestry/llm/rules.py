@@ -22,7 +22,7 @@ from attestry.llm import stats
 from attestry.llm.common import crc_fold
 from attestry.session import stored
 
-SAMPLE_ROWS = 50_000
+SAMPLE_ROWS = 20_000
 CUTS = 64
 MAX_RULES = 24
 MAX_CONDITIONS = 5
