@@ -18,7 +18,8 @@ partition of the hash range into H + 1 segments.
    edited copies. Each such set is compared with one hub of the signature, the set with most
    dear segments. Sets that the links so far leave outside their hub's component are then
    held against all members of the hub, in blocks, by the bound that the two known overlaps
-   with the hub put on theirs; pairs that pass are candidates.
+   with the hub put on theirs; pairs that pass are candidates. A neighbourhood signature
+   that very many sets share is treated in the same way.
 4. Every candidate is verified on its texts. Components follow from the links.
 
 No bucket is capped, no member dropped. Shingles are compared as 64-bit hashes, classes as
@@ -340,35 +341,49 @@ def allocation(dear: DataFrame, percent: int) -> DataFrame:
             F.least("m", F.coalesce("most", F.lit(0)))).cast("int").alias("publish"))
 
 
-def neighbour_pairs(records: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose published segments differ by one token."""
+def neighbours(records: DataFrame, texts: DataFrame, width: int, percent: int, light: int
+               ) -> tuple[DataFrame, DataFrame]:
+    """Sets whose published segments differ by one token: pairs (a, b), and (c64, hub).
+
+    A signature is cheap while whole subsets times neighbourhoods stay within light squared;
+    the holders of a dear one are compared with its hub.
+    """
     rows = records.filter("publish > 0").join(texts, "c64").select(
-        "c64", "g", "m", "publish", "n", "text")
+        "c64", "g", "m", "publish", "n", "k", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                c64, g, m, publish, n = (c.to_pylist() for c in part.columns[:5])
-                sets = [s for t in chunks(part.column(5)) for s in shingle_sets(t, width)]
+                c64, g, m, publish, n, dear = (c.to_pylist() for c in part.columns[:6])
+                sets = [s for t in chunks(part.column(6)) for s in shingle_sets(t, width)]
                 for i, s in enumerate(sets):
                     whole, without = deletions(s, g[i], m[i], publish[i])
-                    k = len(whole) + len(without)
+                    size = len(whole) + len(without)
                     yield pa.RecordBatch.from_arrays(
                         [_long(np.concatenate([whole, without])),
-                         pa.array(np.full(k, c64[i], np.int64)),
-                         pa.array(np.full(k, n[i], np.int64)),
-                         pa.array(np.arange(k) < len(whole))],
-                        names=["sig", "c64", "n", "whole"])
-
-    published = stored(rows.mapInArrow(run, "sig bigint, c64 bigint, n bigint, whole boolean"),
-                       "published")
-    x = published.filter("whole").select("sig", F.col("c64").alias("x"), F.col("n").alias("nx"))
-    y = published.filter("NOT whole").select("sig", F.col("c64").alias("y"), F.col("n").alias("ny"))
-    return x.join(y, "sig").filter(
+                         *[pa.array(np.full(size, x[i], np.int64)) for x in (c64, n, dear)],
+                         pa.array(np.arange(size) < len(whole))],
+                        names=["sig", "c64", "n", "k", "whole"])
+
+    published = stored(rows.mapInArrow(
+        run, "sig bigint, c64 bigint, n bigint, k bigint, whole boolean"), "published")
+    met = published.groupBy("sig").agg(
+        F.count(F.when(F.col("whole"), 1)).alias("wholes"),
+        F.count(F.when(~F.col("whole"), 1)).alias("parts"),
+        F.max(F.struct("k", "c64")).alias("h")).filter("wholes > 0 AND parts > 0").select(
+        "sig", (F.col("wholes") * F.col("parts") <= light * light).alias("cheap"),
+        F.col("h.c64").alias("hub"))
+    held = stored(published.join(met, "sig").select("sig", "c64", "n", "whole", "cheap", "hub"),
+                  "held")
+    x = held.filter("cheap AND whole").select("sig", F.col("c64").alias("x"), F.col("n").alias("nx"))
+    y = held.filter("cheap AND NOT whole").select(
+        "sig", F.col("c64").alias("y"), F.col("n").alias("ny"))
+    pairs = x.join(y, "sig").filter(
         (F.col("x") != F.col("y"))
         & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs, held.filter("NOT cheap AND c64 <> hub").select("c64", "hub").distinct()
 
 
 def hub_pairs(dear: DataFrame, records: DataFrame) -> DataFrame:
@@ -436,8 +451,9 @@ def links(docs: DataFrame, known: DataFrame, width: int = WIDTH, percent: int =
     want = pairs.select(F.col("a").alias("c64")).unionAll(
         pairs.select(F.col("b").alias("c64"))).unionAll(dear.select("c64")).distinct()
     texts = stored(class_texts(docs, stored(want, "want"), known, width), "texts")
-    hubs = stored(hub_pairs(dear, records), "hubs")
-    pairs = pairs.unionAll(neighbour_pairs(records, texts, width, percent)).unionAll(
+    near, near_hubs = neighbours(records, texts, width, percent, light)
+    hubs = stored(hub_pairs(dear, records).unionAll(near_hubs).distinct(), "hubs")
+    pairs = pairs.unionAll(near).unionAll(
         hubs.select(F.least("c64", "hub").alias("a"), F.greatest("c64", "hub").alias("b"))).distinct()
     checked = stored(verified(pairs, texts, width, percent), "checked")
     out = checked.filter(linked(percent)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))

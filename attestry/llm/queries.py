@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from attestry.llm import jaccard, mixing, packing, qda, rules, tries
+from pyspark.sql import functions as F
+
+from attestry.llm import (
+    jaccard,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    qda,
+    rules,
+    tries,
+    url_filter,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +31,61 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+# The test tables hold pages but no archive, so each page is taken as a capture of its
+# section of the site; every fourth one is a revisit. The same SELECT feeds the SQL check.
+RECORDS = r"""
+SELECT page_id AS record_id,
+  CASE WHEN page_id % 4 = 3 THEN 'revisit' ELSE 'response' END AS warc_type,
+  CASE WHEN page_id % 4 = 3 THEN 304 WHEN page_id % 11 = 5 THEN 404 ELSE 200 END AS status,
+  regexp_extract(url, '^(.*?://[^/?#]*(/[a-z]+)?)', 1) AS target_uri,
+  1704067200 + (page_id * 7919) % 2592000 AS seconds,
+  CASE WHEN page_id % 5 = 0 THEN NULL
+       ELSE 'W/"v' || CAST(page_id % 3 AS STRING) || '"' END AS etag,
+  CASE WHEN page_id % 7 = 0 THEN NULL
+       ELSE 'Mon, 0' || CAST(page_id % 2 + 1 AS STRING) || ' Jan 2024 00:00:00 GMT' END AS modified,
+  CAST(length(html) AS STRING) AS size, md5(html) AS digest
+FROM {pages}"""
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records made from the pages table."""
+    rows = spark.sql(RECORDS, pages=_table(spark, sf_dir, "pages"))
+    headers = F.map_filter(F.create_map(
+        F.lit("ETag"), "etag", F.lit("Last-Modified"), "modified", F.lit("Content-Length"), "size",
+        F.lit("X-Record"), F.col("record_id").cast("string")), lambda _, v: v.isNotNull())
+    return rows.select(
+        "record_id", "warc_type", "status", "target_uri",
+        F.timestamp_seconds("seconds").alias("captured_at"), headers.alias("headers"),
+        F.col("digest").alias("payload_digest"))
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(archive(spark, sf_dir))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(
+        e["key"], F.lit(": "), e["value"])))
+    return found.select(
+        "record_id", "url", "outcome", "response_id", "checked_by",
+        F.when(F.col("headers").isNotNull(), F.concat_ws("; ", entries)).alias("headers"))
+
+
+LISTED = r"(^|[.-])(adult|bets|casino|spam)([.-]|$)"
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs of pages on hosts with one of four words in their name."""
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED)).select("url")
+    return url_filter.judge(pages, listed)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -34,6 +97,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "rule")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(_table(spark, sf_dir, "documents"))
 
@@ -49,10 +116,70 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_best_fit_packing, op4_quality_classifier, op6_source_mixing,
-    op7_quality_rules, op9_ngram_jaccard_join, op10_exact_dedup, pipeline)}
+    op1_best_fit_packing, op2_warc_revisits, op3_url_filter, op4_quality_classifier,
+    op5_personal_data, op6_source_mixing, op7_quality_rules, op8_line_dedup,
+    op9_ngram_jaccard_join, op10_exact_dedup, pipeline)}
+
+_CANONICAL = r"""
+part AS (
+  SELECT *, translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+    [p FOR p IN string_split(regexp_extract({url}, '^.*?://[^/?#]*[^?#]*\?([^#]*)', 1, 's'), '&')
+     IF length(p) > 0 AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')] AS query
+  FROM {table}),
+named AS (
+  SELECT *, CASE WHEN length(bare) > 0 THEN bare || regexp_replace(path, '/$', '')
+      || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END
+    END AS canonical
+  FROM (SELECT *, regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':[0-9]+$', '') AS bare
+        FROM part))"""
 
 SQL = {
+    "op2_warc_revisits": "WITH rec AS (" + RECORDS.replace("{pages}", "pages") + "),"
+    + _CANONICAL.format(url="target_uri", table="rec") + r""",
+hit AS (
+  SELECT r.record_id, r.canonical AS url, r.etag, r.modified, r.size, r.digest,
+    p.record_id AS response_id, p.etag AS old_etag, p.modified AS old_modified,
+    p.size AS old_size, p.digest AS old_digest,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY p.seconds DESC NULLS LAST,
+                       p.record_id DESC) AS k
+  FROM named r LEFT JOIN named p ON p.canonical = r.canonical AND p.seconds < r.seconds
+    AND p.warc_type = 'response' AND p.status = 200
+  WHERE r.warc_type = 'revisit'),
+checked AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN NULL
+      WHEN etag IS NOT NULL AND old_etag IS NOT NULL THEN 'etag'
+      WHEN modified IS NOT NULL AND old_modified IS NOT NULL THEN 'last-modified'
+      ELSE 'digest' END AS checked_by FROM hit WHERE k = 1),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+      WHEN (checked_by = 'etag' AND etag <> old_etag)
+        OR (checked_by = 'last-modified' AND modified <> old_modified)
+        OR (checked_by = 'digest' AND digest <> old_digest) THEN 'changed'
+      ELSE 'resolved' END AS outcome FROM checked)
+SELECT record_id, url, outcome, response_id, checked_by,
+  CASE WHEN outcome = 'resolved' THEN concat_ws('; ', 'content-length: ' || old_size,
+    'etag: ' || coalesce(etag, old_etag), 'last-modified: ' || coalesce(modified, old_modified),
+    'x-record: ' || CAST(record_id AS STRING)) END AS headers
+FROM judged""",
+    "op3_url_filter": "WITH" + _CANONICAL.format(url="coalesce(url, '')", table="pages") + r""",
+ruled AS (
+  SELECT page_id, host, path, canonical,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%'
+        THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%'
+        THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM named),
+listed AS (SELECT DISTINCT canonical FROM named
+  WHERE regexp_matches(host, '(^|[.-])(adult|bets|casino|spam)([.-]|$)') AND canonical IS NOT NULL)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict,
+  canonical, rule IS NULL AND coalesce(canonical IN (SELECT canonical FROM listed), false) AS listed
+FROM ruled""",
     "op9_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
