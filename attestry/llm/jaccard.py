@@ -16,11 +16,11 @@ partition of the hash range into H + 1 segments.
    more than half of their segments keep them.
 3. Dear signatures that remain belong to sets alike in most segments, such as thousands of
    edited copies. Each such set is compared with one hub of the signature, the set with most
-   dear segments. Sets that the links so far leave outside their hub's component are then
-   held against all members of the hub, in blocks, by the bound that the two known overlaps
-   with the hub put on theirs; pairs that pass are candidates. A neighbourhood signature
-   that very many sets share is treated in the same way.
-4. Every candidate is verified on its texts. Components follow from the links.
+   dear segments, and keeps the tokens in which it differs from it. Sets that the links so
+   far leave outside their hub's component are then held against all members of the hub, in
+   blocks: two sets differ in the tokens in which those differences differ, which decides
+   exactly. A neighbourhood signature that very many sets share is treated in the same way.
+4. Every other candidate is verified on its texts. Components follow from the links.
 
 No bucket is capped, no member dropped. Shingles are compared as 64-bit hashes, classes as
 128-bit hashes of their sets. Null and empty texts have no shingles and link with nothing.
@@ -299,29 +299,37 @@ def class_texts(docs: DataFrame, want: DataFrame, known: DataFrame, width: int)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) pairs of c64 to (a, b, ca, cb, na, nb, shared) where sizes allow a link."""
+    """(a, b, hub) pairs of c64 to (a, b, ca, cb, na, nb, shared, delta).
+
+    Pairs whose sizes allow no link are left out unless one side is the other's hub; then
+    delta holds the tokens in which the two sets differ.
+    """
     a = texts.select(F.col("c64").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"),
                      F.col("text").alias("ta"))
     b = texts.select(F.col("c64").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"),
                      F.col("text").alias("tb"))
     sized = pairs.join(texts.select(F.col("c64").alias("a"), F.col("n").alias("na")), "a").join(
         texts.select(F.col("c64").alias("b"), F.col("n").alias("nb")), "b").filter(
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    both = sized.join(a, "a").join(b, "b").select("a", "b", "ca", "cb", "na", "nb", "ta", "tb")
+        F.col("hub") | (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).groupBy(
+        "a", "b").agg(F.max("hub").alias("hub"))
+    both = sized.join(a, "a").join(b, "b").select(
+        "a", "b", "ca", "cb", "na", "nb", "hub", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = [[s for t in chunks(part.column(k)) for s in shingle_sets(t, width)]
-                        for k in (6, 7)]
+                        for k in (7, 8)]
                 shared = [overlap(x, y) for x, y in zip(*sets, strict=True)]
+                delta = [np.setxor1d(x, y, assume_unique=True).tobytes() if hub else None
+                         for x, y, hub in zip(*sets, part.column(6).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:6], pa.array(shared, pa.int64())],
-                    names=["a", "b", "ca", "cb", "na", "nb", "shared"])
+                    [*part.columns[:6], pa.array(shared, pa.int64()), pa.array(delta, pa.binary())],
+                    names=["a", "b", "ca", "cb", "na", "nb", "shared", "delta"])
 
     return both.mapInArrow(run, "a bigint, b bigint, ca binary, cb binary, na bigint, nb bigint, "
-                                "shared bigint")
+                                "shared bigint, delta binary")
 
 
 def linked(percent: int):
@@ -396,41 +404,52 @@ def hub_pairs(dear: DataFrame, records: DataFrame) -> DataFrame:
         "c64", "hub").distinct()
 
 
-def outside_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a hub's members in different components that the known overlaps allow.
+def outside_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a hub that lie in different components.
 
-    `members` is (hub, hub_root, c64, root, n, shared); one side of a pair is outside the
-    hub's component. Blocks of outsiders meet blocks of members, each pair of blocks in a
-    task of its own.
+    `members` is (hub, hub_root, c, root, n, delta); one side of a link is outside the hub's
+    component. Two sets differ in just those tokens in which one of their deltas differs
+    from the other, so deltas decide. Blocks of outsiders meet blocks of members, each pair
+    of blocks in a task of its own; an outsider names one link into each component.
     """
-    outside = F.when(F.col("root") != F.col("hub_root"), 1).otherwise(0)
+    outside = F.col("root") != F.col("hub_root")
     size = members.groupBy("hub").agg(
-        F.ceil(F.sum(outside) / REST_BLOCK).cast("int").alias("rests"),
+        F.ceil(F.count(F.when(outside, 1)) / REST_BLOCK).cast("int").alias("rests"),
         F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("blocks")).filter("rests > 0")
-    m = members.join(size, "hub").withColumn("at", F.xxhash64("c64", F.lit(3)))
+    m = members.join(size, "hub").withColumn("at", F.xxhash64("c", F.lit(3)))
+    kept = ("c", "root", "n", "delta")
     all_ = m.select("hub", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"),
-                    F.pmod("at", "blocks").cast("int").alias("j"), "c64", "root", "n", "shared",
+                    F.pmod("at", "blocks").cast("int").alias("j"), *kept,
                     F.lit(False).alias("rest"))
-    some = m.filter(F.col("root") != F.col("hub_root")).select(
+    some = m.filter(outside).select(
         "hub", F.pmod(F.shiftright("at", 20), F.col("rests")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
-        "c64", "root", "n", "shared", F.lit(True).alias("rest"))
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), *kept,
+        F.lit(True).alias("rest"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = pdf[pdf["rest"]], pdf[~pdf["rest"]]
+        root = pd.factorize(pdf["root"])[0]
+        is_rest = pdf["rest"].to_numpy()
+        u, v = pdf[is_rest], pdf[~is_rest]
+        deltas = [np.frombuffer(d, np.uint64) for d in v["delta"]]
+        length = np.array([len(d) for d in deltas], np.int64)
+        tokens = np.concatenate([*deltas, np.zeros(0, np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(v)), length)[order]
+        n_v, root_v, name_v = v["n"].to_numpy(), root[~is_rest], v["c"].to_numpy()
         found = []
-        names, sizes, common = v["c64"].to_numpy(), v["n"].to_numpy(), v["shared"].to_numpy()
-        roots = pd.factorize(pdf["root"])[0]
-        root_u, root_v = roots[pdf["rest"].to_numpy()], roots[~pdf["rest"].to_numpy()]
-        for c, r, n, s in zip(u["c64"], root_u, u["n"], u["shared"], strict=True):
-            most = np.minimum(common, s) + np.minimum(sizes - common, n - s)
-            ok = (root_v != r) & (100 * most >= percent * (sizes + n - most))
-            found.append(np.column_stack([np.minimum(names[ok], c), np.maximum(names[ok], c)]))
-        return pd.DataFrame(np.concatenate([*found, np.zeros((0, 2), np.int64)]).astype(np.int64),
-                            columns=["a", "b"])
+        for c, r, n, d in zip(u["c"], root[is_rest], u["n"], u["delta"], strict=True):
+            own = np.frombuffer(d, np.uint64)
+            low, high = (np.searchsorted(tokens, own, side) for side in ("left", "right"))
+            meets = np.concatenate([*[owner[x:y] for x, y in zip(low, high, strict=True)],
+                                    np.zeros(0, np.int64)]).astype(np.int64)
+            common = np.bincount(meets, minlength=len(v))
+            shared = (n + n_v - (len(own) + length - 2 * common)) // 2
+            ok = np.flatnonzero((root_v != r) & (100 * shared >= percent * (n + n_v - shared)))
+            for k in ok[np.unique(root_v[ok], return_index=True)[1]]:
+                found.append((c, name_v[k]))
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    return all_.unionAll(some).groupBy("hub", "i", "j").applyInPandas(
-        run, "a bigint, b bigint").distinct()
+    return all_.unionAll(some).groupBy("hub", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
 def links(docs: DataFrame, known: DataFrame, width: int = WIDTH, percent: int = PERCENT,
@@ -453,28 +472,28 @@ def links(docs: DataFrame, known: DataFrame, width: int = WIDTH, percent: int =
     texts = stored(class_texts(docs, stored(want, "want"), known, width), "texts")
     near, near_hubs = neighbours(records, texts, width, percent, light)
     hubs = stored(hub_pairs(dear, records).unionAll(near_hubs).distinct(), "hubs")
-    pairs = pairs.unionAll(near).unionAll(
-        hubs.select(F.least("c64", "hub").alias("a"), F.greatest("c64", "hub").alias("b"))).distinct()
-    checked = stored(verified(pairs, texts, width, percent), "checked")
+    plain = pairs.unionAll(near).withColumn("hub", F.lit(False))
+    with_hub = hubs.select(F.least("c64", "hub").alias("a"), F.greatest("c64", "hub").alias("b"),
+                           F.lit(True).alias("hub"))
+    checked = stored(verified(plain.unionAll(with_hub), texts, width, percent), "checked")
     out = checked.filter(linked(percent)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     if hubs.isEmpty():
         return out
     root = components(out)
-    named = stored(texts.select("c64", "c").join(
-        root.withColumnRenamed("node", "c"), "c", "left").select(
-        "c64", F.coalesce("root", "c").alias("root")), "named")
-    both = checked.select("a", "b", F.col("na").alias("n"), F.col("shared")).unionAll(
-        checked.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("n"),
-                       F.col("shared")))
-    members = hubs.alias("h").join(both.alias("p"), (F.col("p.a") == F.col("h.c64"))
-                                   & (F.col("p.b") == F.col("h.hub"))).select(
-        "h.hub", "h.c64", "p.n", "p.shared")
-    members = members.join(named, "c64").join(
-        named.select(F.col("c64").alias("hub"), F.col("root").alias("hub_root")), "hub")
-    more = stored(outside_pairs(stored(members, "members"), percent), "outside")
-    late = verified(more, texts, width, percent).filter(linked(percent)).select(
-        F.col("ca").alias("a"), F.col("cb").alias("b"))
-    return out.unionAll(late)
+    known_pair = checked.filter("delta IS NOT NULL").alias("p")
+    is_a = F.col("p.a") == F.col("h.c64")
+    members = hubs.alias("h").join(
+        known_pair, (F.col("p.a") == F.least("h.c64", "h.hub"))
+        & (F.col("p.b") == F.greatest("h.c64", "h.hub"))).select(
+        F.when(is_a, F.col("p.cb")).otherwise(F.col("p.ca")).alias("hub"),
+        F.when(is_a, F.col("p.ca")).otherwise(F.col("p.cb")).alias("c"),
+        F.when(is_a, F.col("p.na")).otherwise(F.col("p.nb")).alias("n"), "p.delta")
+    hub_root = root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    members = members.join(root.withColumnRenamed("node", "c"), "c", "left").join(
+        hub_root, "hub", "left").select(
+        "hub", F.coalesce("hub_root", "hub").alias("hub_root"), "c",
+        F.coalesce("root", "c").alias("root"), "n", "delta")
+    return out.unionAll(outside_links(stored(members, "members"), percent))
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
