@@ -98,7 +98,8 @@ def fit(known: dict[int, tuple[int, np.ndarray, np.ndarray]], to_pooled: float =
     factors, log_dets = [], []
     for cov in own:
         shrunk = (1 - to_pooled) * cov + to_pooled * pooled
-        eye = np.eye(len(centre)) * np.trace(shrunk) / len(centre)
+        # A class without any spread still gets a ball around its mean.
+        eye = np.eye(len(centre)) * max(np.trace(shrunk) / len(centre), FLOOR)
         shrunk = (1 - to_identity) * shrunk + to_identity * eye
         lower = np.linalg.cholesky(shrunk)
         factors.append(np.linalg.inv(lower))
