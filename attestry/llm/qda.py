@@ -87,8 +87,8 @@ def fit(known: dict[int, tuple[int, np.ndarray, np.ndarray]], to_pooled: float =
     total = known[0][1] + known[1][1]
     centre = total / n.sum()
     spread = np.diag(known[0][2] + known[1][2]) / n.sum() - centre ** 2
-    scale = np.sqrt(np.maximum(spread, 1e-12))
-    scale[scale < 1e-6] = 1.0
+    # What is left of a constant column is rounding, not spread.
+    scale = np.sqrt(np.where(spread > 1e-9 * (1 + centre ** 2), spread, 1.0))
     means = np.array([(known[c][1] / n[c] - centre) / scale for c in (0, 1)])
     own = []
     for c in (0, 1):
