@@ -83,17 +83,21 @@ def _fetchable(urls: Column) -> Column:
     return F.array_distinct(F.filter(urls, lambda u: u.rlike(r"^https?://")))
 
 
-def html_links(html: Column, base: Column, limit: int = K.MAX_LINKS) -> Column:
-    """Absolute anchor targets in page order, first occurrence kept."""
+def _first(links: Column, limit: int | None) -> Column:
+    return links if limit is None else F.slice(links, 1, limit)
+
+
+def html_links(html: Column, base: Column, limit: int | None = None) -> Column:
+    """Absolute anchor targets in page order, first occurrence kept; all unless limited."""
     hrefs = F.filter(
         all_matches(html, K.ANCHOR_HREF_RE, 1),
         lambda h: ~F.lower(h).rlike(r"^(mailto:|tel:|javascript:|data:)"),
     )
-    return F.slice(_fetchable(join_urls(base, hrefs)), 1, limit)
+    return _first(_fetchable(join_urls(base, hrefs)), limit)
 
 
-def markdown_links(text: Column, limit: int = K.MAX_LINKS) -> Column:
-    return F.slice(F.array_distinct(all_matches(text, K.MARKDOWN_LINK_RE, 1)), 1, limit)
+def markdown_links(text: Column, limit: int | None = None) -> Column:
+    return _first(F.array_distinct(all_matches(text, K.MARKDOWN_LINK_RE, 1)), limit)
 
 
 def crawl_links(html: Column, base: Column) -> Column:

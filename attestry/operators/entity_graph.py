@@ -58,8 +58,8 @@ def build(d: Directory) -> Graph:
     org = node_id("org", F.col("listing_id"))
     svc = node_id("svc", F.col("service_id"))
     cat = node_id("cat", F.col("category_id"))
-    used = d.service.select("service_id").distinct()
-    in_use = d.service_category.join(used, "service_id", "left_semi")
+    used = d.service.groupBy("service_id").agg(F.min("listing_id").alias("listing_id"))
+    in_use = d.service_category.join(used, "service_id")
     contacts = contact_edges(d)
     edges = reduce(DataFrame.unionByName, [
         d.service.select(org.alias("src"), svc.alias("dst"), F.lit("offers").alias("rel")),
@@ -76,9 +76,10 @@ def build(d: Directory) -> Graph:
         F.min_by("name", "listing_id").alias("name")).select(
         "id", F.lit("service").alias("kind"), "name", none.alias("value"))
     categories = (
-        in_use.select(cat.alias("id"), "name")
-        .unionByName(d.listing_category.select(cat.alias("id"), "name"))
-        .groupBy("id").agg(F.min("name").alias("name"))
+        in_use.select(cat.alias("id"), "name", "listing_id", F.lit(1).alias("k"))
+        .unionByName(d.listing_category.select(cat.alias("id"), "name", "listing_id",
+                                               F.lit(0).alias("k")))
+        .groupBy("id").agg(F.min_by("name", F.struct("listing_id", "k", "name")).alias("name"))
         .select("id", F.lit("category").alias("kind"), "name", none.alias("value")))
     keys = contacts.select("dst").distinct().select(
         F.col("dst").alias("id"), kind_of(F.col("dst")).alias("kind"), none.alias("name"),

@@ -46,7 +46,10 @@ def best_capture(captures: DataFrame, keys: list[str], reader: bool = True,
     direct text. longest=True prefers the rendered text whenever it is longer.
     """
     def tier(method: str, column: str) -> Column:
-        return F.max(F.when(F.col("method") == method, F.col(column)))
+        mine = F.col("method") == method
+        if "at" in captures.columns:  # a page captured again: the newest counts
+            return F.max_by(F.col(column), F.when(mine, F.struct("at", column)))
+        return F.max(F.when(mine, F.col(column)))
 
     t = captures.groupBy(*keys).agg(
         tier("direct", "text").alias("d"), tier("reader", "text").alias("r"),
@@ -69,10 +72,8 @@ def best_capture(captures: DataFrame, keys: list[str], reader: bool = True,
 
 
 def audit_pages(captures: DataFrame, keys: list[str]) -> DataFrame:
-    """Best captures long enough to judge, to the audited text length."""
-    return (best_capture(captures, keys)
-            .withColumn("text", F.left("text", F.lit(K.PAGE_CHARS)))
-            .filter(F.length("text") >= K.MIN_USEFUL_CHARS))
+    """Best captures long enough to judge, with their whole text."""
+    return best_capture(captures, keys).filter(F.length("text") >= K.MIN_USEFUL_CHARS)
 
 
 # ---------------------------------------------------------------- rule findings
@@ -232,11 +233,11 @@ def rule_verdict(closure: Column, phone: Column, address: Column) -> Column:
 
     return (
         F.when(closed, out("discrepancy", F.concat(
-            F.lit('Live site language suggests closure/relocation: "'),
+            F.lit('The site itself speaks of closing or moving: "'),
             closure["evidence_quote"], F.lit('"')), 0.7))
         .when(F.coalesce(wrong, F.lit(False)), out("discrepancy", F.concat(
-            F.lit("Stored phone "), phone["stored"], F.lit(" not found on site; live number "),
-            phone["live"], F.lit(" shown instead.")), 0.55))
+            F.lit("No page shows the stored phone "), phone["stored"], F.lit("; the site gives "),
+            phone["live"], F.lit(".")), 0.55))
         .when(agrees, out("match", F.lit(K.REASON_MATCH), 0.6))
         .otherwise(out("abstain", F.lit(K.REASON_ABSTAIN), 0.3))
     )
@@ -291,8 +292,8 @@ def verify(listing: DataFrame, phone: DataFrame, address: DataFrame, pages: Data
         F.when(early & defect, F.col("structural_f.stored"))
         .when(no_site, K.REASON_NO_WEBSITE).when(early, K.REASON_NO_TEXT)
         .when(empty, F.concat(F.lit(
-            "Adjudicator flagged a problem but no gathered field actually differs, so there is "
-            "nothing to act on. Original note: "), F.col("reason")))
+            "A problem was reported, but every gathered field agrees, so no change can be "
+            "proposed. What was reported: "), F.col("reason")))
         .otherwise(F.col("reason")))
     confidence = (F.when(early & defect, 0.95).when(no_site, 1.0).when(early, 0.2)
                   .when(empty, F.least(F.col("confidence"), F.lit(0.3)))

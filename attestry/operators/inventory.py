@@ -234,18 +234,19 @@ def select_pages(listings: DataFrame, claim_fields: DataFrame, ranked: DataFrame
     zero = F.lit(0)
     home = listings.filter(F.col("origin") != "").select(
         "listing_id", F.concat(F.regexp_replace("origin", "/+$", ""), F.lit("/")).alias("url"),
-        none.alias("lastmod"), F.struct(zero.alias("t"), zero.alias("f"), zero.alias("r"))
-        .alias("o"))
+        none.alias("lastmod"), F.struct(
+            zero.alias("t"), F.struct(zero.alias("t"), zero.alias("p")).alias("f"),
+            zero.alias("r")).alias("o"))
     tops = ranked.filter(F.col("rank") <= K.TOP_UP_PER_FIELD).join(
         claim_fields, ["listing_id", "field"]).select(
         "listing_id", "url", "lastmod",
-        F.struct(F.lit(2).alias("t"), F.col("field_pos").cast("int").alias("f"),
+        F.struct(F.lit(2).alias("t"), F.col("field_pos").alias("f"),
                  F.col("rank").cast("int").alias("r")).alias("o"))
     every = home.unionByName(tops)
     if picks is not None:
         every = every.unionByName(picks.join(claim_fields, ["listing_id", "field"]).select(
             "listing_id", "url", "lastmod",
-            F.struct(F.lit(1).alias("t"), F.col("field_pos").cast("int").alias("f"),
+            F.struct(F.lit(1).alias("t"), F.col("field_pos").alias("f"),
                      zero.alias("r")).alias("o")))
     first = every.groupBy("listing_id", "url").agg(
         F.min("o").alias("o"), F.min_by(F.struct("lastmod"), "o").alias("l"))

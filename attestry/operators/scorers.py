@@ -13,6 +13,7 @@ from attestry import constants as K
 from attestry.functions.contact import oracle, raw_digits
 from attestry.functions.text import stripped
 from attestry.operators.evidence import closure_hits
+from attestry.session import stored
 
 CHUNK = 64
 
@@ -85,8 +86,8 @@ def option_question(claim: Column, options: Column, prefix: str) -> Column:
 
 
 def state_column(form: str, page: Column, org: Column, url: Column,
-                 limit: int = K.PAGE_CHARS) -> Column:
-    text = F.left(page, F.lit(limit))
+                 limit: int | None = None) -> Column:
+    text = page if limit is None else F.left(page, F.lit(limit))
     if form == "text":
         return text
     return F.to_json(F.struct(org.alias("organisation"), url.alias("page_url"),
@@ -120,14 +121,17 @@ def judge_pages(claims: DataFrame, pages: DataFrame,
         F.floor(F.col("ord.p") / CHUNK).alias("chunk")).agg(
         F.collect_list(F.struct("key", "field", "stored", F.col("text").alias("claim")))
         .alias("claims")).select("listing_id", "claims")
-    requests = pages.select("listing_id", "pos", "url", "lastmod",
-                            F.left("text", F.lit(K.MAX_STATE_CHARS)).alias("text")).join(
+    requests = pages.select("listing_id", "pos", "url", "lastmod", "text").join(
         chunked, "listing_id")
-    answered = requests.mapInPandas(
+    answered = stored(requests.mapInPandas(
         _page_caller(scorer),
         "listing_id bigint, key string, field string, stored string, url string, pos int, "
-        "lastmod string, support double, contradict double")
-    return answered.filter(F.col("support").isNotNull() & F.col("contradict").isNotNull())
+        "lastmod string, support double, contradict double, failed boolean"), "answers")
+    # The page that failed might have held the support that others lack, so its listing
+    # is left without verdicts.
+    failed = answered.filter("failed").select("listing_id").distinct()
+    return answered.filter(F.col("support").isNotNull() & F.col("contradict").isNotNull()).join(
+        failed, "listing_id", "left_anti").drop("failed")
 
 
 def _page_caller(scorer: Callable):
@@ -137,33 +141,43 @@ def _page_caller(scorer: Callable):
         def answer(row):
             claims = [dict(c) for c in row.claims]
             try:
-                return claims, list(scorer(row.text, claims))
-            except Exception:  # a failed page costs one page
-                return claims, [(None, None)] * len(claims)
+                return claims, list(scorer(row.text, claims)), False
+            except Exception:
+                return claims, [(None, None)] * len(claims), True
 
         columns = ("listing_id", "key", "field", "stored", "url", "pos", "lastmod", "support",
-                   "contradict")
+                   "contradict", "failed")
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                for claim, (support, contradict) in zip(*answer(row)):
+                claims, scores, failed = answer(row)
+                for claim, (support, contradict) in zip(claims, scores):
                     out.append((row.listing_id, claim["key"], claim["field"], claim["stored"],
-                                row.url, row.pos, row.lastmod, support, contradict))
+                                row.url, row.pos, row.lastmod, support, contradict, failed))
             yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
 def map_text(df: DataFrame, column: str, fn: Callable, out: str = "reply") -> DataFrame:
-    """Run a series-to-series text function (an extractor) in Arrow batches; failures are NULL."""
+    """Run a series-to-series text function (an extractor) in Arrow batches.
+
+    A batch that fails is tried again row by row; only a row that fails is NULL.
+    """
     import pandas as pd
 
     @F.pandas_udf("string")
     def call(texts: pd.Series) -> pd.Series:
+        def alone(text):
+            try:
+                return fn(pd.Series([text])).iloc[0]
+            except Exception:
+                return None
+
         try:
             return fn(texts)
         except Exception:
-            return pd.Series([None] * len(texts))
+            return pd.Series([alone(t) for t in texts], dtype=object)
 
     return df.withColumn(out, call(F.col(column)))
 
@@ -201,10 +215,11 @@ def picked_pages(shortlist: DataFrame, answers: DataFrame) -> DataFrame:
             .select("listing_id", "field", "url", "lastmod"))
 
 
-def spans(text: Column, width: int = 300) -> Column:
-    """Numbered sentence spans of a page for a span picker."""
+def spans(text: Column, width: int | None = None) -> Column:
+    """Numbered sentence spans of a page for a span picker, whole unless a width is given."""
     return F.transform(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: stripped(s) != ""),
-                       lambda s, i: F.struct(i.alias("i"), F.left(s, F.lit(width)).alias("span")))
+                       lambda s, i: F.struct(i.alias("i"), (
+                           s if width is None else F.left(s, F.lit(width))).alias("span")))
 
 
 def support_variants(claim: Column) -> dict[str, Column]:

@@ -25,12 +25,17 @@ class DirectoryRun:
     def __init__(self, t: Tables, as_of: str = AS_OF):
         self.t, self.d, self.as_of = t, t.directory, as_of
 
+    @cached_property
+    def _rules(self) -> DataFrame:
+        """One row per site, also where several listings share it and its robots text."""
+        return I.site_rules(self.t.robots_body).groupBy("website").agg(
+            F.max("disallow").alias("disallow"))
+
     @cached_property
     def site_pages(self) -> DataFrame:
         """Pages of each listing's own site that its robots rules allow."""
-        rules = I.site_rules(self.t.robots_body).select("website", "disallow")
+        rules = self._rules
         own = self.t.page.filter(U.same_site(F.col("url"), F.col("website")))
-        # A site has one rule row, so this stays a one-to-many join on the site.
         return (own.join(rules, "website", "left")
                 .filter(U.robots_allow(F.col("url"), F.col("disallow")))
                 .select("listing_id", "website", "url", "lastmod", "text"))
@@ -48,9 +53,10 @@ class DirectoryRun:
         listed = self.d.listing.filter(F.col("website").isNotNull()).select(
             F.col("id").alias("listing_id"), "website")
         wanted = I.candidate_pages(listed, phone)
+        # Only the pages that will be read bring their text.
         texts = self.site_pages.select("listing_id", "url", "text")
         # Phone, closure and address evidence each scan these few pages per listing.
-        return stored(I.gather_evidence(wanted.join(texts, ["listing_id", "url"], "left")),
+        return stored(I.gather_evidence(wanted.filter(F.col("pos") <= K.MAX_FETCHES).join(texts, ["listing_id", "url"], "left")),
                       "gathered")
 
     @cached_property
@@ -97,8 +103,8 @@ class DirectoryRun:
         return E.identity_anchors(self.d.phone, self.d.address)
 
     def audited(self, scorer=None, available: bool = True):
-        rules = I.site_rules(self.t.robots_body)
-        sizes = self.site_pages.groupBy("website").agg(F.count(F.lit(1)).alias("pages"))
+        rules = self._rules
+        sizes = self.site_pages.groupBy("website").agg(F.count_distinct("url").alias("pages"))
         inv = (self.d.listing.select(F.col("id").alias("listing_id"), "website")
                .join(rules.select("website", F.array_contains("disallow", "/").alias("denied")),
                      "website", "left").join(sizes, "website", "left")

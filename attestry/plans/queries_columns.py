@@ -113,11 +113,11 @@ SELECT * FROM (SELECT listing_id, pos, phone_id,
        WHEN length({sql_digits('number')}) > 11 THEN 'run_together'
        WHEN coalesce(country_code, '') NOT IN ('', 'US') THEN 'foreign' END AS kind,
   CASE WHEN trim(coalesce(number, '')) = '' THEN 'no number stored' || coalesce(
-         ' - but the label reads ''' || {_RECOVERED} || ''', typed into the wrong field', '')
+         '; its label holds ''' || {_RECOVERED} || ''' and belongs there', '')
        WHEN length({sql_digits('number')}) > 11 THEN CAST(length({sql_digits('number')}) AS VARCHAR)
-         || ' digits - two values run into one field'
-       ELSE 'stored with country_code ' || country_code
-         || ' - parsed as a foreign number, so it renders and dials wrong' END AS why,
+         || ' digits, as if two numbers had been joined'
+       ELSE 'country_code is ' || country_code
+         || ', so the number is shown and dialled as a foreign one' END AS why,
   CASE WHEN trim(coalesce(number, '')) = '' THEN {_RECOVERED} END AS proposed
 FROM phone) WHERE kind IS NOT NULL""")
 check_view("defect", "issue", """

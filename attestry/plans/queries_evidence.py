@@ -178,9 +178,9 @@ check_view("ruled", "found", f"""
 SELECT *, CASE WHEN k IS NOT NULL OR (has_p AND p_field = 'phone' AND NOT p_match)
     THEN 'discrepancy' WHEN (has_p AND p_match) OR a IS NOT NULL THEN 'match' ELSE 'abstain' END
     AS rule_verdict,
-  CASE WHEN k IS NOT NULL THEN 'Live site language suggests closure/relocation: "' || k.quote || '"'
-    WHEN has_p AND p_field = 'phone' AND NOT p_match THEN 'Stored phone ' || p_stored
-      || ' not found on site; live number ' || p_live || ' shown instead.'
+  CASE WHEN k IS NOT NULL THEN 'The site itself speaks of closing or moving: "' || k.quote || '"'
+    WHEN has_p AND p_field = 'phone' AND NOT p_match THEN 'No page shows the stored phone '
+      || p_stored || '; the site gives ' || p_live || '.'
     WHEN (has_p AND p_match) OR a IS NOT NULL THEN {q(K.REASON_MATCH)}
     ELSE {q(K.REASON_ABSTAIN)} END AS rule_reason,
   CASE WHEN k IS NOT NULL THEN 0.7 WHEN has_p AND p_field = 'phone' AND NOT p_match THEN 0.55
@@ -194,8 +194,8 @@ SELECT id AS resource_id, name, website AS org_website,
   CASE WHEN early AND s IS NOT NULL THEN 'discrepancy' WHEN early OR empty THEN 'abstain'
     ELSE rule_verdict END AS verdict,
   CASE WHEN early AND s IS NOT NULL THEN s.stored WHEN website IS NULL THEN {q(K.REASON_NO_WEBSITE)}
-    WHEN early THEN {q(K.REASON_NO_TEXT)} WHEN empty THEN 'Adjudicator flagged a problem but no '
-      || 'gathered field actually differs, so there is nothing to act on. Original note: '
+    WHEN early THEN {q(K.REASON_NO_TEXT)} WHEN empty THEN 'A problem was reported, but every '
+      || 'gathered field agrees, so no change can be proposed. What was reported: '
       || rule_reason ELSE rule_reason END AS reason,
   CAST(CASE WHEN early AND s IS NOT NULL THEN 0.95 WHEN website IS NULL THEN 1.0 WHEN early THEN 0.2
     WHEN empty THEN least(rule_confidence, 0.3) ELSE rule_confidence END AS DOUBLE) AS confidence,
@@ -556,18 +556,17 @@ def listing_documents(t):
 
 
 check_view("rendered", "listing phone address listing_category", """
-SELECT l.id AS listing_id, left(concat_ws(chr(10), 'ORGANISATION: ' || trim(coalesce(l.name, '')),
+SELECT l.id AS listing_id, concat_ws(chr(10), 'ORGANISATION: ' || trim(coalesce(l.name, '')),
   'WEBSITE: ' || l.website,
   (SELECT string_agg('PHONE (' || coalesce(nullif(p.service_type, ''), 'Voice') || '): '
     || trim(p.number), chr(10) ORDER BY p.pos) FROM phone p WHERE p.listing_id = l.id
     AND trim(coalesce(p.number, '')) <> ''),
   'ADDRESS: ' || nullif(concat_ws(', ', nullif(trim(a.address_1), ''), nullif(trim(a.city), ''),
     nullif(trim(a.state_province), ''), nullif(trim(a.postal_code), '')), ''),
-  'LONG_DESCRIPTION: ' || left(nullif(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)), ''),
-    1500),
+  'LONG_DESCRIPTION: ' || nullif(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)), ''),
   chr(10) || 'SERVICE: Desk ' || l.id, '  ELIGIBILITY: Adults',
-  '  LONG_DESCRIPTION: ' || left(nullif(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)), ''),
-    1200), '  SHORT_DESCRIPTION: ' || l.category_names), 20000) AS text
+  '  LONG_DESCRIPTION: ' || nullif(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)), ''),
+  '  SHORT_DESCRIPTION: ' || l.category_names) AS text
 FROM listing l JOIN address a ON a.listing_id = l.id LEFT JOIN documents d ON d.doc_id = l.id""")
 
 
@@ -599,12 +598,12 @@ check_view("extracted", "", """
 SELECT listing_id, row_number() OVER (PARTITION BY listing_id ORDER BY n) - 1 AS pos, field, text,
   stored, source FROM (
 SELECT conv_id * 100 + turn AS listing_id, 1 AS n, 'eligibility' AS field,
-  left(trim('The ' || text, chr(32) || chr(9) || chr(10) || chr(13)), 400) AS text,
-  left(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), 200) AS stored, 'fee' AS source,
+  trim('The ' || text, chr(32) || chr(9) || chr(10) || chr(13)) AS text,
+  trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS stored, 'fee' AS source,
   length(trim('The ' || text, chr(32) || chr(9) || chr(10) || chr(13))) AS size
   FROM conversations WHERE role = 'user'
-UNION ALL SELECT conv_id * 100 + turn, 2, 'services', left(trim('THE ' || text,
-  chr(32) || chr(9) || chr(10) || chr(13)), 400), '', 'language',
+UNION ALL SELECT conv_id * 100 + turn, 2, 'services', trim('THE ' || text,
+  chr(32) || chr(9) || chr(10) || chr(13)), '', 'language',
   length(trim('The ' || text, chr(32) || chr(9) || chr(10) || chr(13)))
   FROM conversations WHERE role = 'assistant'
 UNION ALL SELECT conv_id * 100 + turn, 3, 'services', 'This desk serves ' || role, role, 'wait', 99
@@ -722,7 +721,7 @@ def x03(t):
 
 @query("x05", "Span picker: the first span that carries a number", "page", f"""
 SELECT listing_id, url, ix AS i, span FROM (
-  SELECT listing_id, url, ix, left(s, 300) AS span, row_number() OVER (PARTITION BY listing_id, url
+  SELECT listing_id, url, ix, s AS span, row_number() OVER (PARTITION BY listing_id, url
     ORDER BY ix) AS r FROM (SELECT listing_id, url, unnest(l) AS s, unnest(range(len(l))) AS ix
     FROM (SELECT listing_id, url, list_filter(string_split(regexp_replace(text, '([.!?])\\s+',
       '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM page))

@@ -24,10 +24,11 @@ _BLOCKED = f"len(list_filter(r.disallow, lambda d: starts_with({sql_path('p.url'
 
 
 @query("f01", "Pages the robots rules allow", "page rule", f"""
-SELECT p.listing_id, p.url FROM page p JOIN rule r ON p.website = r.website WHERE NOT {_BLOCKED}""")
+SELECT p.listing_id, p.url FROM page p LEFT JOIN rule r ON p.website = r.website
+WHERE NOT coalesce({_BLOCKED}, FALSE)""")
 def f01(t):
     rules = I.site_rules(t.robots_body).select("website", "disallow")
-    return t.page.join(rules, "website").filter(
+    return t.page.join(rules, "website", "left").filter(
         U.robots_allow(c("url"), c("disallow"))).select("listing_id", "url")
 
 
@@ -192,14 +193,14 @@ AND NOT {_BLOCKED}""")
 check_view("ranked", "site_page", sql_rank("site_page", ("phone", "address", "status"),
                                            K.RANK_LIMIT))
 check_view("claim_field", "tclaim", """
-SELECT listing_id, field, min(t * 100000 + p) AS field_pos FROM tclaim GROUP BY 1, 2""")
+SELECT listing_id, field, min((t, p)) AS field_pos FROM tclaim GROUP BY 1, 2""")
 
 
 def sql_selected(picks: str = "") -> str:
     return f"""
 SELECT listing_id, row_number() OVER (PARTITION BY listing_id ORDER BY o) AS pos, url, lastmod
 FROM (SELECT listing_id, url, min(o) AS o, arg_min(coalesce(lastmod, ''), o) AS lastmod FROM (
-  SELECT id AS listing_id, website AS url, NULL AS lastmod, (0, 0, 0) AS o FROM listing
+  SELECT id AS listing_id, website AS url, NULL AS lastmod, (0, (0, 0), 0) AS o FROM listing
     WHERE website IS NOT NULL
   UNION ALL SELECT r.listing_id, r.url, r.lastmod, (2, f.field_pos, r.rank) FROM ranked r
     JOIN claim_field f ON r.listing_id = f.listing_id AND r.field = f.field WHERE r.rank <= 3

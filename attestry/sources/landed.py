@@ -10,18 +10,26 @@ from attestry import schemas as S
 from attestry.functions.text import blank_to_null, stripped
 
 
-def read_work_list(spark: SparkSession, path: str) -> DataFrame:
+def read_work_list(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Header CSV, every column text; a byte-order mark on the first name is removed.
 
-    Columns are taken by name, missing ones are NULL. row_no follows file order.
+    Quotes inside a quoted value are doubled, and it may hold line breaks; such a file is
+    read by one task, so give line_breaks=False for files known to have none. Columns are
+    taken by name, missing ones are NULL. Rows are in the order of (file, row_no).
     """
-    raw = (spark.read.option("header", True).option("multiLine", False)
-           .option("mode", "PERMISSIVE").csv(path))
-    named = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
+    raw = (spark.read.option("header", True).option("multiLine", line_breaks)
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    named = raw.select("*", F.col("_metadata.file_path").alias("_file")).toDF(
+        *[c.replace("﻿", "").strip() for c in raw.columns], "file")
     have = set(named.columns)
     return named.select(
         *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in S.WORK_LIST],
-        F.monotonically_increasing_id().alias("row_no"))
+        "file", F.monotonically_increasing_id().alias("row_no"))
+
+
+def _place(work: DataFrame):
+    """Where a row stands: its file and its place there, as far as the table knows."""
+    return F.struct(*[c for c in ("file", "row_no") if c in work.columns])
 
 
 def numeric_rows(work: DataFrame) -> DataFrame:
@@ -35,7 +43,7 @@ def work_list_index(work: DataFrame) -> DataFrame:
     url = blank_to_null(stripped(F.coalesce("service_edit_url", F.lit(""))))
     name = blank_to_null(stripped(F.coalesce("service_name", F.lit(""))))
     return numeric_rows(work).groupBy(F.col("rid").alias("resource_id")).agg(
-        F.min_by(url, F.when(url.isNotNull(), F.col("row_no"))).alias("service_edit_url"),
+        F.min_by(url, F.when(url.isNotNull(), _place(work))).alias("service_edit_url"),
         F.count(name).alias("n_curated"))
 
 
