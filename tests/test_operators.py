@@ -187,10 +187,13 @@ def test_audit_abstains(spark):
     assert s["note"] == "" and s["n_confirmations"] == 2
 
 
-def test_failed_scorer_abstains(spark):
+def test_failed_scorer_withholds_its_listing(spark):
+    # The failed page might hold the support, so listing 1 gets no verdict; listing 2 does.
     claims = CL.template_claims(directory(
-        spark, [org(1)], phone=[(1, 0, 1, "510-555-0100", None, None)]))
-    pages = spark.createDataFrame([(1, 1, "a", None, "good"), (1, 2, "b", None, "bad")], PAGES)
+        spark, [org(1), org(2)], phone=[(1, 0, 1, "510-555-0100", None, None),
+                                        (2, 0, 2, "510-555-0101", None, None)]))
+    pages = spark.createDataFrame([(1, 1, "a", None, "good"), (1, 2, "b", None, "bad"),
+                                   (2, 1, "c", None, "good")], PAGES)
 
     def judge(text, asked):
         if text == "bad":
@@ -198,7 +201,21 @@ def test_failed_scorer_abstains(spark):
         return [(0.8, 0.1) if a["field"] == "phone" else (None, 0.2) for a in asked]
 
     got = X.judge_pages(claims, pages, judge).collect()
-    assert [(r["url"], r["field"], r["support"]) for r in got] == [("a", "phone", 0.8)]
+    assert [(r["url"], r["field"], r["support"]) for r in got] == [("c", "phone", 0.8)]
+
+
+def test_failed_text_costs_one_row(spark):
+    def shout(texts):
+        return texts.map(lambda s: 1 / 0 if s == "bad" else s.upper())
+
+    df = spark.createDataFrame([("a",), ("bad",), ("c",)], "t string").coalesce(1)
+    assert [r["reply"] for r in X.map_text(df, "t", shout).collect()] == ["A", None, "C"]
+
+
+def test_newest_capture_counts(spark):
+    df = spark.createDataFrame([(1, "direct", "z" * 300, None, "1"), (1, "direct", "a" * 300, None, "2")],
+                               "id int, method string, text string, error string, at string")
+    assert E.best_capture(df, ["id"]).first()["text"] == "a" * 300
 
 
 # ---------------------------------------------------------------- captures and pages

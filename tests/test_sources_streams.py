@@ -89,3 +89,16 @@ def test_two_taps_record_one_decision(spark, tmp_path):
 def test_views_cover_every_table(spark):
     t = Tables(spark, SF)
     assert all(getattr(t, n).columns for n in TABLES)
+
+
+def test_work_list_quotes_breaks_and_file_order(spark, tmp_path):
+    from attestry.sources import landed as L
+
+    head = "resource_id,service_name,service_edit_url\n"
+    (tmp_path / "a.csv").write_text(head + '1,"He said ""hi"", ok",\n1,"two\nlines",http://first\n')
+    (tmp_path / "b.csv").write_text(head + "1,x,http://second\n" + "2,y,\n" * 200)
+    work = L.read_work_list(spark, str(tmp_path))
+    names = {r["service_name"] for r in L.curated_services(work).filter("resource_id = 1").collect()}
+    assert names == {'He said "hi", ok', "two\nlines", "x"}
+    first = L.work_list_index(work).filter("resource_id = 1").first()
+    assert first["service_edit_url"] == "http://first"
