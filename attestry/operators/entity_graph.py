@@ -15,9 +15,8 @@ from attestry.operators.directory import Directory
 from attestry.session import cut_lineage, stored
 
 SHARED = ("located_at", "reachable_at")
-# A subset of an organisation's shared keys is counted once per subset; beyond
-# this many keys the organisation is compared with its neighbours directly.
-MAX_SUBSET_KEYS = 8
+# Keys in more key sets than this are counted by subsets instead of pairs.
+LIGHT_SETS = 64
 
 
 @dataclass(frozen=True)
@@ -134,47 +133,80 @@ def members(g: Graph, keys: DataFrame) -> DataFrame:
             .select("shared", "kind", F.col("src").alias("org_id"), "name"))
 
 
-def _signed_subsets(small: DataFrame) -> DataFrame:
-    """Every non-empty subset of an organisation's shared keys with its sign."""
-    keyed = small.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("keys"))
-    masks = F.sequence(F.lit(1), F.expr("int(shiftleft(1, size(keys)) - 1)"))
-    return keyed.select("src", "keys", F.explode(masks).alias("mask")).select(
-        "src",
-        F.expr("array_join(filter(keys, (k, i) -> getbit(mask, i) = 1), '|')").alias("subset"),
-        F.when(F.bit_count("mask") % 2 == 1, 1).otherwise(-1).alias("sign"))
+def _hot_unions(hot: DataFrame) -> DataFrame:
+    """(set_id, total): organisations that hold at least one of a set's hot keys.
 
-
-def sibling_counts(g: Graph, max_keys: int = MAX_SUBSET_KEYS) -> DataFrame:
+    `hot` is (set_id, n, hot): hot keys and number of organisations of each key set. The
+    size of a union follows by inclusion-exclusion from the holders of subsets. A subset
+    no other set holds adds nothing, so subsets grow one key at a time from those that
+    several sets hold, and the walk ends where sets have no more hot keys in common.
+    """
+    alike = stored(hot.groupBy("hot").agg(F.sum("n").alias("n")), "hot-sets")
+    level = alike.select("hot", "n", F.posexplode("hot").alias("last", "key")).select(
+        "hot", "n", "last", F.array("key").alias("subset"))
+    gains, sign = [], 1
+    while True:
+        several = level.groupBy("subset").agg(
+            F.count(F.lit(1)).alias("sets"), F.sum("n").alias("holders")).filter("sets > 1")
+        live = stored(level.join(several.select("subset", "holders"), "subset"), "subsets")
+        if live.isEmpty():
+            break
+        gains.append(live.select("hot", ((F.col("holders") - F.col("n")) * sign).alias("gain")))
+        level = live.select("hot", "n", "subset", "last", F.posexplode(
+            F.expr("slice(hot, last + 2, size(hot))")).alias("step", "key")).select(
+            "hot", "n", (F.col("last") + 1 + F.col("step")).alias("last"),
+            F.concat("subset", F.array("key")).alias("subset"))
+        sign = -sign
+    unions = alike.withColumnRenamed("n", "total")
+    if gains:
+        added = reduce(DataFrame.unionByName, gains).groupBy("hot").agg(F.sum("gain").alias("gain"))
+        unions = alike.join(added, "hot", "left").select(
+            "hot", (F.col("n") + F.coalesce("gain", F.lit(0))).alias("total"))
+    return hot.select("set_id", "hot").join(unions, "hot").select("set_id", "total")
+
+
+def sibling_counts(g: Graph, light: int = LIGHT_SETS) -> DataFrame:
     """How many other organisations share a phone or address with each one, exactly.
 
-    Organisation pairs are never listed: with m shared keys the size of the
-    union of their holders follows by inclusion-exclusion from the number of
-    organisations holding each subset of those keys, and those numbers are
-    plain grouped counts. So a switchboard shared by a third of the directory
-    costs one counter. Only organisations with more than max_keys shared keys
-    are compared with their own neighbours.
+    Organisations with the same shared keys are one key set and are counted once. A key in
+    at most `light` key sets lists the pairs of those sets. A hot key, such as a switchboard
+    shared by a third of the directory, lists none: how many organisations hold any of a
+    set's hot keys follows by inclusion-exclusion from grouped counts, hot keys with the
+    same holders being one. Pairs that also share a hot key are left to that count.
     """
-    held = g.edges.filter(F.col("rel").isin(*SHARED)).select("src", "dst")
+    held = g.edges.filter(F.col("rel").isin(*SHARED)).select("src", "dst").distinct()
     shared_keys = held.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Five passes read the linked pairs, so they are worked out once.
-    linked = stored(held.join(shared_keys.select("dst"), "dst", "left_semi"), "linked")
-    width = linked.groupBy("src").agg(F.count(F.lit(1)).alias("m"))
-    small = linked.join(width.filter(F.col("m") <= max_keys).select("src"), "src", "left_semi")
-    big = linked.join(width.filter(F.col("m") > max_keys).select("src"), "src", "left_semi")
-
-    subsets = _signed_subsets(small)
-    holders = subsets.groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
-    among_small = subsets.join(holders, "subset").groupBy("src").agg(
-        (F.sum(F.col("sign") * F.col("n")) - 1).alias("n"))
-
-    meet = (big.select(F.col("src").alias("wide"), "dst").join(linked, "dst")
-            .filter(F.col("wide") != F.col("src")).select("wide", "src").distinct())
-    of_wide = meet.groupBy(F.col("wide").alias("src")).agg(F.count(F.lit(1)).alias("n"))
-    with_wide = (meet.join(width.filter(F.col("m") <= max_keys).select("src"), "src", "left_semi")
-                 .groupBy("src").agg(F.count(F.lit(1)).alias("n")))
-    return (among_small.unionByName(of_wide).unionByName(with_wide)
-            .groupBy("src").agg(F.sum("n").alias("n_siblings"))
-            .select(F.col("src").alias("org_id"), "n_siblings"))
+    linked = held.join(shared_keys.select("dst"), "dst", "left_semi")
+    own = stored(linked.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("keys"))
+                 .withColumn("set_id", F.sha2(F.to_json("keys"), 256)), "key-sets")
+    sets = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    rows = stored(sets.select("set_id", "n", F.explode("keys").alias("dst")), "set-keys")
+    # Two hashes of its sets tell which keys have the same holders.
+    width = stored(rows.groupBy("dst").agg(
+        F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("set_id")).alias("h1"),
+        F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("h2")).filter("sets > 1"), "key-width")
+    hot_keys = width.filter(F.col("sets") > light)
+    alike = hot_keys.groupBy("sets", "h1", "h2").agg(F.min("dst").alias("hot_key"))
+    hot = stored(
+        rows.join(hot_keys.join(alike, ["sets", "h1", "h2"]).select("dst", "hot_key"), "dst")
+        .select("set_id", "n", "hot_key").distinct().groupBy("set_id", "n")
+        .agg(F.array_sort(F.collect_list("hot_key")).alias("hot")), "hot-keys")
+
+    few = rows.join(width.filter(F.col("sets") <= light).select("dst"), "dst", "left_semi")
+    other = few.select(F.col("set_id").alias("other"), F.col("n").alias("m"), "dst")
+    pairs = few.select("set_id", "dst").join(other, "dst").filter(
+        F.col("set_id") != F.col("other")).select("set_id", "other", "m").distinct()
+    mine = hot.select("set_id", "hot")
+    theirs = hot.select(F.col("set_id").alias("other"), F.col("hot").alias("their_hot"))
+    apart = ~F.coalesce(F.arrays_overlap("hot", "their_hot"), F.lit(False))
+    by_pairs = (pairs.join(mine, "set_id", "left").join(theirs, "other", "left").filter(apart)
+                .groupBy("set_id").agg(F.sum("m").alias("paired")))
+    per_set = (rows.select("set_id", "n").distinct().join(by_pairs, "set_id", "left")
+               .join(_hot_unions(hot), "set_id", "left").select(
+        "set_id", (F.coalesce("paired", F.lit(0)) + F.coalesce("total", "n") - 1)
+        .alias("n_siblings")))
+    return own.select("src", "set_id").join(per_set, "set_id").select(
+        F.col("src").alias("org_id"), "n_siblings")
 
 
 def blast_radius(g: Graph) -> DataFrame:

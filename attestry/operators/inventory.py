@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,18 +14,24 @@ from attestry.functions.scoring import moment
 from attestry.session import cut_lineage
 
 
-def first_per(df: DataFrame, keys: list[str], order: Column, limit: int,
+def first_per(df: DataFrame, keys: list[str], order: Column, limit: int | None = None,
               room: Column | None = None, name: str = "rn") -> DataFrame:
-    """The first rows per key, optionally fewer where a key has less room left.
+    """Rows numbered per key; with a limit the first ones, fewer where a key has less room left.
 
     The literal limit lets Spark prune before the shuffle, so one key with very
     many rows sends only its first ones.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    kept = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
+    numbered = df.withColumn(name, F.row_number().over(w))
+    kept = numbered if limit is None else numbered.filter(F.col(name) <= limit)
     return kept if room is None else kept.filter(F.col(name) <= room)
 
 
+def rounds(limit: int | None):
+    """1, 2, ... up to a limit, or until the caller finds nothing new."""
+    return count(1) if limit is None else range(1, limit + 1)
+
+
 # ---------------------------------------------------------------- sites and sitemaps
 
 def site_rules(sites: DataFrame) -> DataFrame:
@@ -37,13 +45,13 @@ def site_rules(sites: DataFrame) -> DataFrame:
         F.col("r.disallow").alias("disallow"), "robots_txt")
 
 
-def crawl_sitemaps(rules: DataFrame, bodies: DataFrame, max_sitemaps: int = K.MAX_SITEMAPS,
-                   max_urls: int = K.MAX_URLS) -> DataFrame:
+def crawl_sitemaps(rules: DataFrame, bodies: DataFrame, max_sitemaps: int | None = None,
+                   max_urls: int | None = None) -> DataFrame:
     """Pages named by a site's sitemaps: (website, url, lastmod).
 
     Sitemaps are taken breadth first, declared ones before the standard paths,
-    first mention wins. The per-site sitemap budget bounds the number of
-    levels, and each level is one join of the new sitemaps with their bodies.
+    first mention wins. Each level is one join of the new sitemaps with their
+    bodies; without budgets the walk ends when a level names nothing new.
     """
     standard = F.transform(F.array(*[F.lit(p) for p in K.SITEMAP_PATHS]),
                            lambda p: F.concat(F.col("origin"), p))
@@ -52,7 +60,7 @@ def crawl_sitemaps(rules: DataFrame, bodies: DataFrame, max_sitemaps: int = K.MA
         "website", "domain", "url", F.lit(0).alias("parent"), "pos")
     seen = None
     visited = None
-    for _ in range(max_sitemaps):
+    for _ in rounds(max_sitemaps):
         fresh = (queue.filter(U.registered_domain(F.col("url")) == F.col("domain"))
                  .groupBy("website", "domain", "url")
                  .agg(F.min(F.struct("parent", "pos")).alias("o")))
@@ -62,9 +70,10 @@ def crawl_sitemaps(rules: DataFrame, bodies: DataFrame, max_sitemaps: int = K.MA
             taken = seen.groupBy("website").agg(F.count(F.lit(1)).cast("int").alias("before"))
             fresh = (fresh.join(seen.select("website", "url"), ["website", "url"], "left_anti")
                      .join(taken, "website", "left"))
+        room = None if max_sitemaps is None else (
+            F.lit(max_sitemaps) - F.coalesce("before", F.lit(0)))
         level = cut_lineage(
-            first_per(fresh, ["website"], F.col("o"), max_sitemaps,
-                      F.lit(max_sitemaps) - F.coalesce("before", F.lit(0)))
+            first_per(fresh, ["website"], F.col("o"), max_sitemaps, room)
             .select("website", "domain", "url",
                     (F.coalesce("before", F.lit(0)) + F.col("rn")).alias("ord")))
         if level.isEmpty():
@@ -84,7 +93,7 @@ def crawl_sitemaps(rules: DataFrame, bodies: DataFrame, max_sitemaps: int = K.MA
                               F.posexplode("s.pages").alias("pos", "p"))
                .select("website", "domain", "ord", "pos", "p.url", "p.lastmod")
                .filter(U.registered_domain(F.col("url")) == F.col("domain")))
-    return newest_per_url(_within_url_budget(entries, max_urls))
+    return newest_per_url(entries if max_urls is None else _within_url_budget(entries, max_urls))
 
 
 def _within_url_budget(entries: DataFrame, max_urls: int) -> DataFrame:
@@ -109,14 +118,17 @@ def newest_per_url(entries: DataFrame) -> DataFrame:
     return entries.groupBy("website", "url").agg(F.max("lastmod").alias("lastmod"))
 
 
-def crawl_link_graph(rules: DataFrame, bodies: DataFrame, max_pages: int = K.MAX_BFS_PAGES,
-                     max_depth: int = K.MAX_BFS_DEPTH) -> DataFrame:
-    """Breadth-first link walk from each origin over captured pages: (website, url, ord, depth)."""
-    out = cut_lineage(rules.select(
+def crawl_link_graph(rules: DataFrame, bodies: DataFrame, max_pages: int | None = None,
+                     max_depth: int | None = None) -> DataFrame:
+    """Breadth-first link walk from each origin over captured pages: (website, url, ord, depth).
+
+    Without budgets it ends when a level links to no new page of its site.
+    """
+    front = cut_lineage(rules.select(
         "website", "domain", "disallow", F.col("origin").alias("url"), F.lit(1).alias("ord"),
         F.lit(0).alias("depth")))
-    for depth in range(1, max_depth + 1):
-        front = out.filter(F.col("depth") == depth - 1)
+    out = front
+    for depth in rounds(max_depth):
         links = (front.join(bodies.select("url", "html"), "url")
                  .select("website", "domain", "disallow", "ord",
                          F.posexplode(U.crawl_links(F.col("html"), F.col("url")))
@@ -129,26 +141,32 @@ def crawl_link_graph(rules: DataFrame, bodies: DataFrame, max_pages: int = K.MAX
                  .join(out.select("website", "url"), ["website", "url"], "left_anti")
                  .join(out.groupBy("website").agg(F.count(F.lit(1)).cast("int").alias("before")),
                        "website"))
-        level = first_per(fresh, ["website"], F.col("o"), max_pages,
-                          F.lit(max_pages) - F.col("before"))
-        out = cut_lineage(out.unionByName(level.select(
+        room = None if max_pages is None else F.lit(max_pages) - F.col("before")
+        front = cut_lineage(first_per(fresh, ["website"], F.col("o"), max_pages, room).select(
             "website", "domain", "disallow", "url", (F.col("before") + F.col("rn")).alias("ord"),
-            F.lit(depth).alias("depth"))))
+            F.lit(depth).alias("depth")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
     return out.select("website", "url", "ord", "depth")
 
 
-def site_inventory(sites: DataFrame, sitemap_bodies: DataFrame, pages: DataFrame):
+def site_inventory(sites: DataFrame, sitemap_bodies: DataFrame, pages: DataFrame,
+                   max_sitemaps: int | None = None, max_urls: int | None = None,
+                   max_pages: int | None = None, max_depth: int | None = None):
     """(per-site summary, pages): sitemaps first, else links, else none, or robots-denied.
 
-    sites: website, body (robots text). Sites are taken once each.
+    sites: website, body (robots text). Sites are taken once each, with the greatest body.
     """
-    rules = cut_lineage(site_rules(sites.dropDuplicates(["website"])))
+    once = sites.groupBy("website").agg(F.max("body").alias("body"))
+    rules = cut_lineage(site_rules(once))
     usable = F.col("website").rlike(r"^https?://")
     denied = usable & F.array_contains("disallow", "/")
     open_sites = rules.filter(usable & ~F.array_contains("disallow", "/"))
-    from_maps = crawl_sitemaps(open_sites, sitemap_bodies)
+    from_maps = crawl_sitemaps(open_sites, sitemap_bodies, max_sitemaps, max_urls)
     mapped = from_maps.select("website").distinct()
-    walked = crawl_link_graph(open_sites.join(mapped, "website", "left_anti"), pages)
+    walked = crawl_link_graph(open_sites.join(mapped, "website", "left_anti"), pages,
+                              max_pages, max_depth)
     width = walked.groupBy("website").agg(F.count(F.lit(1)).alias("n_links"))
     found = from_maps.unionByName(
         walked.select("website", "url", F.lit(None).cast("string").alias("lastmod")))

@@ -112,7 +112,6 @@ SELECT website, url, 1 + row_number() OVER (PARTITION BY website ORDER BY ix) AS
       FROM linked_page WHERE url = website)
     WHERE NOT regexp_matches(lower(h), '^(mailto:|tel:|javascript:|data:|#)'))
   WHERE {sql_domain('u')} = {sql_domain('website')} AND u <> website GROUP BY website, u)
-QUALIFY ord <= 12
 UNION ALL SELECT DISTINCT website, website, 1 FROM linked_page""")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attestry import constants as K
 from attestry.plans.catalog import query
 from attestry.streaming import streams as ST
 
@@ -30,12 +31,18 @@ def decision_stream(t):
         c("ts").alias("decided_at"), c("event_id").alias("row_no"))
 
 
-@query("st1", "Decision stream to an idempotent outcome log, one row per resource", "decision", """
-SELECT DISTINCT resource_id FROM decision WHERE action <> 'skip'""")
+_OUTCOMES = " ".join(f"WHEN '{a}' THEN '{o}'" for a, o in K.OUTCOME_OF_ACTION.items())
+
+
+@query("st1", "Decision stream to an idempotent outcome log, one row per resource", "decision", f"""
+SELECT resource_id, action, CASE action {_OUTCOMES} END AS outcome FROM (
+  SELECT resource_id, arg_min(action, (decided_at, row_no)) AS action FROM decision
+  WHERE action <> 'skip' GROUP BY resource_id)""")
 def st1(t):
     path = ST.run_to_end(lambda out, chk: ST.write_decisions(
-        ST.decision_log(decision_stream(t)), out, chk), t.spark, "decisions")
-    return t.spark.read.parquet(path).select("resource_id")
+        ST.decision_log(decision_stream(t)), out, chk, order=("decided_at", "row_no")),
+        t.spark, "decisions")
+    return t.spark.read.parquet(path).select("resource_id", "action", "outcome")
 
 
 @query("st2", "Live latest decision per resource", "decision", """

@@ -36,18 +36,32 @@ def settle_replies(stream: DataFrame, kind: Column, reply: Column) -> DataFrame:
     return asked.filter(F.col("action").isNotNull())
 
 
-def decision_log(decisions: DataFrame, key: str = "resource_id") -> DataFrame:
-    """ST1: one decision per resource within the watermark, routed to its outcome log."""
-    routed = decisions.withColumns({"outcome": outcome_of(F.col("action")),
-                                    "decision": decision_of(F.col("action")),
-                                    "submitted": F.lit(False)}).filter(
+def decision_log(decisions: DataFrame) -> DataFrame:
+    """ST1: recordable decisions, routed to their outcome logs."""
+    return decisions.withColumns({"outcome": outcome_of(F.col("action")),
+                                  "decision": decision_of(F.col("action")),
+                                  "submitted": F.lit(False)}).filter(
         F.col("outcome").isNotNull())
-    return routed.dropDuplicatesWithinWatermark([key])
 
 
-def write_decisions(decisions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_decisions(decisions: DataFrame, path: str, checkpoint: str, key: str = "resource_id",
+                    order: tuple[str, ...] = ("decided_at", "action")) -> StreamingQuery:
+    """The first decision on each resource; later ones are not recorded, however late.
+
+    Within a batch the first by `order` counts, against earlier batches the log decides, of
+    which only the keys are read. A batch that runs again leaves its own folder out of that
+    reading and overwrites it with the same rows.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        value = [c for c in batch.columns if c != key]
+        first = batch.groupBy(key).agg(
+            F.min_by(F.struct(*value), F.struct(*order)).alias("v")).select(key, "v.*")
+        if batch_id > 0:
+            kept = batch.select(key, F.lit(0).cast("bigint").alias("batch_id")).schema
+            log = batch.sparkSession.read.schema(kept).parquet(path)
+            first = first.join(log.filter(F.col("batch_id") < batch_id).select(key), key,
+                               "left_anti")
+        (first.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "outcome")
          .parquet(path))
 

@@ -260,9 +260,13 @@ def test_link_walk_goes_two_levels_and_stops_at_the_cap(spark):
         [("https://x.test", links + '<a href="/no/x">n</a><a href="https://o.test/">o</a>'),
          ("https://x.test/p1", deep), ("https://x.test/d0", '<a href="/deeper">x</a>')],
         "url string, html string")
-    got = I.crawl_link_graph(I.site_rules(site), bodies).orderBy("ord").collect()
+    got = I.crawl_link_graph(I.site_rules(site), bodies, K.MAX_BFS_PAGES,
+                             K.MAX_BFS_DEPTH).orderBy("ord").collect()
     assert [r["url"].rsplit("/", 1)[1] for r in got] == [
         "x.test", "p0", "p1", "p2"] + [f"d{i}" for i in range(8)]
+    # Without budgets the walk goes on until nothing is new.
+    whole = I.crawl_link_graph(I.site_rules(site), bodies)
+    assert whole.count() == 35 and whole.filter("url LIKE '%/deeper' AND depth = 3").count() == 1
 
 
 def test_sitemap_budget(spark):
@@ -275,6 +279,10 @@ def test_sitemap_budget(spark):
     assert I.crawl_sitemaps(rules, bodies).count() == 10
     few = I.crawl_sitemaps(rules, bodies, max_urls=4).collect()
     assert sorted(r["url"][-1] for r in few) == ["0", "1", "2", "3"]
+    urls = "".join(f"<url><loc>https://x.test/{i}</loc></url>" for i in range(4000))
+    long = spark.createDataFrame([("https://x.test/a.xml", f"<urlset>{urls}</urlset>")],
+                                 "url string, body string")
+    assert I.crawl_sitemaps(rules, long).count() == 4000
 
 
 # ---------------------------------------------------------------- graph
@@ -299,8 +307,23 @@ def test_sibling_counts_match_brute_force(spark):
                                   "id string, kind string, name string, value string")
     g = G.Graph(nodes, spark.createDataFrame(
         [(o, k, "reachable_at") for o, k in edges], "src string, dst string, rel string"))
-    for width in (8, 2):
-        got = {r["org_id"]: r["n_siblings"] for r in G.sibling_counts(g, width).collect()
+    for light in (64, 8, 2, 0):
+        got = {r["org_id"]: r["n_siblings"] for r in G.sibling_counts(g, light).collect()
+               if r["n_siblings"]}
+        assert got == brute_siblings(edges)
+
+
+def test_sibling_counts_with_many_keys_and_a_shared_switchboard(spark):
+    edges = {(f"org:{i}", "tel:hot") for i in range(0, 90, 3)}
+    for o, n in ((0, 3), (1, 8), (2, 9), (3, 30), (4, 30)):
+        edges |= {(f"org:{o}", f"tel:{k}") for k in range(n)}
+    edges |= {(f"org:{50 + k}", f"tel:{k}") for k in range(30)}
+    nodes = spark.createDataFrame([(f"org:{i}", "org", str(i), None) for i in range(90)],
+                                  "id string, kind string, name string, value string")
+    g = G.Graph(nodes, spark.createDataFrame(
+        [(o, k, "reachable_at") for o, k in edges], "src string, dst string, rel string"))
+    for light in (64, 4):
+        got = {r["org_id"]: r["n_siblings"] for r in G.sibling_counts(g, light).collect()
                if r["n_siblings"]}
         assert got == brute_siblings(edges)
 

@@ -86,6 +86,25 @@ def test_two_taps_record_one_decision(spark, tmp_path):
         ("1", "approved"), ("3", "rejected")]
 
 
+def test_a_later_batch_does_not_decide_again(spark, tmp_path):
+    src, out, chk = (str(tmp_path / x) for x in ("in", "out", "chk"))
+    schema = "resource_id string, action string, decided_at timestamp"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "resource_id string, action string, decided_at string").select(
+            "resource_id", "action", F.to_timestamp("decided_at").alias("decided_at")).coalesce(
+            1).write.mode("append").parquet(src)
+        stream = ST.timed(ST.read_stream(
+            spark, spark.createDataFrame([], schema).schema, src), "decided_at")
+        ST.write_decisions(ST.decision_log(stream), out, chk).awaitTermination()
+
+    arrive(("1", "reject", "2026-01-01 10:05:00"), ("1", "confirm", "2026-01-01 10:00:00"))
+    arrive(("1", "reject", "2026-01-20 10:00:00"), ("2", "reject", "2025-12-01 10:00:00"))
+    got = spark.read.parquet(out).collect()
+    assert sorted((r["resource_id"], r["outcome"]) for r in got) == [
+        ("1", "approved"), ("2", "rejected")]
+
+
 def test_views_cover_every_table(spark):
     t = Tables(spark, SF)
     assert all(getattr(t, n).columns for n in TABLES)
