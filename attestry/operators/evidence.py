@@ -456,7 +456,8 @@ def audit(listing: DataFrame, claims: DataFrame, inventory: DataFrame, pages: Da
     if not available:
         note = note.otherwise(K.NOTE_NO_SCORER)
     else:
-        note = (note.when(F.col("method") == "robots-denied", K.NOTE_ROBOTS)
+        note = (note.when(F.col("has_claims").isNull(), K.NOTE_NO_CLAIMS)
+                .when(F.col("method") == "robots-denied", K.NOTE_ROBOTS)
                 .when(F.coalesce("n_pages", F.lit(0)) == 0, K.NOTE_NO_PAGES)
                 .when(F.col("belongs").isNull(), K.NOTE_UNREADABLE)
                 .when(~F.col("belongs"), K.NOTE_SUSPECT).otherwise(""))

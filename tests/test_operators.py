@@ -165,11 +165,13 @@ def test_phone_findings(spark):
                    3: ("phone", True, 5)}
 
 
-def run_audit(spark, website="https://x.test/", method="sitemap", n=1, available=True, text=""):
+def run_audit(spark, website="https://x.test/", method="sitemap", n=1, available=True, text="",
+              claimed=True):
     d = directory(spark, [org(1, website=website)], phone=[(1, 0, 1, "510-555-0100", None, None)])
     pages = spark.createDataFrame([(1, 1, "https://x.test/", None, text)] if text else [], PAGES)
     inv = spark.createDataFrame([(1, method, n)], "listing_id bigint, method string, pages int")
-    summary, kept = E.audit(d.listing, CL.template_claims(d), inv, pages,
+    claims = CL.template_claims(d).filter(F.lit(claimed))
+    summary, kept = E.audit(d.listing, claims, inv, pages,
                             E.identity_anchors(d.phone, d.address), available=available)
     return summary.first(), kept.collect()
 
@@ -179,6 +181,8 @@ def test_audit_abstains(spark):
     assert "no website" in s["note"] and not v
     s, v = run_audit(spark, available=False, text="510 555 0100 " * 30)
     assert "abstaining" in s["note"] and not v
+    s, v = run_audit(spark, text="Call 510 555 0100, open daily. " * 20, claimed=False)
+    assert s["note"] == K.NOTE_NO_CLAIMS and not v
     s, v = run_audit(spark, method="robots-denied", n=0)
     assert "robots.txt" in s["note"] and s["n_findings"] == 0
     s, v = run_audit(spark, text="A page about 212-831-5020. " * 20)
