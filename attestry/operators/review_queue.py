@@ -10,6 +10,7 @@ from attestry import constants as K
 from attestry.functions.review import outcome_of
 from attestry.functions.scoring import priority, triage_score
 from attestry.functions.text import clean_text, first_filled, http_url
+from attestry.session import stored as written
 
 
 def triage(listing: DataFrame, as_of, budget: int | None = None,
@@ -171,25 +172,27 @@ def session_counts(log: DataFrame) -> DataFrame:
         F.count_if(F.col("action") != "skip").alias("answered"))
 
 
-def open_positions(items: DataFrame, settled: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(resource_id, position, is_next): the queue order and the next open review.
+def positions(items: DataFrame) -> DataFrame:
+    """`items` with their position by falling priority, then resource_id, from 1.
 
-    A position is the rows of better priorities, plus those of earlier id
-    prefixes at the same priority, plus the rank inside the prefix. Priorities
-    carry three decimals, so their table is small, and a priority shared by a
-    third of the queue still spreads over its prefixes.
+    Rows are dealt out by sampled ranges of both, so a priority or an id prefix that most of
+    the queue shares is split like any other. Only the ranges' row counts come together.
     """
-    keyed = items.select("resource_id", "priority", F.left("resource_id", F.lit(3)).alias("p"))
-    parts = keyed.groupBy("priority", "p").agg(F.count(F.lit(1)).alias("n"))
-    totals = parts.groupBy("priority").agg(F.sum("n").alias("n"))
-    better = totals.select("priority", (F.sum("n").over(Window.orderBy(F.desc("priority")))
-                                        - F.col("n")).alias("better"))
-    earlier = parts.select("priority", "p", (F.sum("n").over(
-        Window.partitionBy("priority").orderBy("p")) - F.col("n")).alias("earlier"))
-    inside = F.row_number().over(Window.partitionBy("priority", "p").orderBy("resource_id"))
-    placed = (keyed.withColumn("inside", inside).join(earlier, ["priority", "p"])
-              .join(better, "priority").select("resource_id", (
-                  F.col("better") + F.col("earlier") + F.col("inside")).alias("position")))
+    order = [F.desc("priority"), F.asc("resource_id")]
+    dealt = written(items.repartitionByRange(*order).withColumn(
+        "_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+                                      ).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    # One row per range, of which there are as many as shuffle partitions at most.
+    return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(
+        *items.columns, (F.col("_before") + F.col("_inside")).alias("position"))
+
+
+def open_positions(items: DataFrame, settled: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(resource_id, position, is_next): the queue order and the next open review."""
+    placed = positions(items.select("resource_id", "priority")).select("resource_id", "position")
     busy = settled.select("resource_id").unionByName(skipped.select("resource_id")).distinct()
     free = placed.join(busy, "resource_id", "left_anti")
     nxt = free.agg(F.min("position").alias("next_position"))

@@ -12,6 +12,7 @@ from attestry.functions import urls as U
 from attestry.operators import claims as C
 from attestry.operators import entity_graph as G
 from attestry.operators import evidence as E
+from attestry.operators import freshness as FR
 from attestry.operators import inventory as I
 from attestry.operators import review_queue as R
 from attestry.operators import structural as S
@@ -84,6 +85,19 @@ class DirectoryRun:
     def queue(self) -> DataFrame:
         return R.prioritise(self.results, G.blast_radius(self.graph))
 
+    @cached_property
+    def confirmations(self) -> DataFrame:
+        """What this run's matches confirm, field by field, as of the run."""
+        matches = R.split_verdicts(self.results)["confirmed_matches"].select(
+            F.col("resource_id").alias("listing_id"),
+            F.transform("fields", lambda f: f["field"]).alias("fields"))
+        return FR.match_confirmations(matches, F.lit(self.as_of))
+
+    @cached_property
+    def freshness(self) -> DataFrame:
+        """Listing scores that count this run's own confirmations."""
+        return FR.rollup(FR.field_scores(self.d, self.as_of, self.confirmations))
+
     @cached_property
     def claims(self) -> DataFrame:
         return C.template_claims(self.d)

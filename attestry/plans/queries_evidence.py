@@ -14,6 +14,7 @@ from attestry.plans.queries_columns import (
     q,
     sql_addr_on_page,
     sql_digits,
+    sql_half_even,
     sql_label,
     sql_on_page,
     sql_phone_key,
@@ -331,7 +332,7 @@ def u05(t):
 
 
 check_view("queue", "merged radius", """
-SELECT m.*, r.size AS blast_size, confidence * (1 + r.size * 0.15) AS score FROM merged m
+SELECT m.*, r.size AS blast_size, confidence * (1 + r.size * 0.15::DOUBLE) AS score FROM merged m
 JOIN radius r ON r.org_id = 'org:' || m.resource_id WHERE verdict = 'discrepancy'""")
 
 
@@ -345,12 +346,12 @@ def j13(t):
         orgs, "org_id", "left_semi").select("resource_id")
 
 
-@query("w10", "Queue ranked by priority", "queue", """
-SELECT resource_id, blast_size, round(score, 6) AS score FROM queue""")
+@query("w10", "Queue ranked by priority", "queue", f"""
+SELECT resource_id, blast_size, priority,
+  row_number() OVER (ORDER BY priority DESC, resource_id) AS position
+FROM (SELECT *, {sql_half_even("score")} AS priority FROM queue)""")
 def w10(t):
-    ranked = R.ranked(DirectoryRun(t).queue)
-    return ranked.select("resource_id", "blast_size", F.round(
-        c("confidence") * (1 + c("blast_size") * 0.15), 6).alias("score"))
+    return R.positions(DirectoryRun(t).queue.select("resource_id", "blast_size", "priority"))
 
 
 check_view("focus3", "queue triaged", """

@@ -183,7 +183,9 @@ def j10(t):
 
 
 @query("s19", "Review queue loaded: united, cleaned, undecided, ranked", "item latest", """
-SELECT resource_id, kind, priority, (SELECT count(*) FROM orders) AS read,
+SELECT resource_id, kind, priority,
+  row_number() OVER (ORDER BY priority DESC, resource_id) AS position,
+  (SELECT count(*) FROM orders) AS read,
   (SELECT count(*) FROM orders) - (SELECT count(*) FROM item) AS dropped,
   (SELECT count(*) FROM item WHERE resource_id IN (SELECT resource_id FROM latest)) AS already
 FROM item WHERE resource_id NOT IN (SELECT resource_id FROM latest)""")
@@ -192,7 +194,7 @@ def s19(t):
     queue = raw.filter(c("asked") == "discrepancy").drop("asked")
     abstained = raw.filter(c("asked") == "abstention").drop("asked")
     open_items, counts = R.load_queue(queue, abstained, R.latest_decisions(t.decision))
-    return open_items.select("resource_id", "kind", "priority").join(F.broadcast(
+    return R.positions(open_items.select("resource_id", "kind", "priority")).join(F.broadcast(
         counts.select("read", "dropped", c("already_decided").alias("already"))))
 
 

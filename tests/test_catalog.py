@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 KNOWN = catalog.load()
 CHECKED = ("p01", "p04", "p13", "p27", "p28", "p40", "p41", "g01", "a04", "j12", "g03", "g04",
            "w01", "w02", "j01", "j04", "f05", "e02", "a08", "w13", "e06", "a02", "a03", "u01",
-           "s02", "s18", "st2", "st4")
+           "s02", "s18", "s19", "st2", "st4", "p38", "p45", "u06", "w10", "w17")
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,20 @@ def test_every_query_has_a_title():
     assert len(KNOWN) > 150
 
 
+def test_matches_of_a_run_feed_freshness(spark):
+    from attestry.operators import freshness as FR
+    from attestry.plans.adapters import Tables
+    from attestry.plans.pipeline import DirectoryRun
+
+    run = DirectoryRun(Tables(spark, SF))
+    told = {(r["listing_id"], r["field"]) for r in run.confirmations.collect()}
+    before = FR.rollup(FR.field_scores(run.d, run.as_of)).select("id", "exact")
+    moved = run.freshness.alias("a").join(before.alias("b"), "id").filter(
+        "a.exact > b.exact").select("id").collect()
+    assert told and moved
+    assert {r["id"] for r in moved} <= {i for i, _ in told}
+
+
 def test_plans_have_no_cartesian_pair_join(spark):
     for name in ("j03", "j04", "j07", "j12", "w02"):
         plan = catalog.runner(KNOWN[name])(spark, SF)._jdf.queryExecution().executedPlan()

@@ -12,6 +12,7 @@ from attestry.operators import entity_graph as G
 from attestry.operators import evidence as E
 from attestry.operators import freshness as FR
 from attestry.operators import inventory as I
+from attestry.operators import review_queue as R
 from attestry.operators import scorers as X
 from attestry.operators.directory import Directory
 
@@ -463,5 +464,24 @@ def test_match_without_fields_confirms_three(spark):
         (1, "address"), (1, "phone"), (1, "schedule"), (2, "address")]
 
 
+def test_positions_split_a_shared_priority_and_prefix(spark):
+    rows = [(f"resource-{i:05d}", 1.5) for i in range(3000)] + [("a", 9.0), ("b", 0.1), ("c", None)]
+    df = spark.createDataFrame(rows, "resource_id string, priority double").repartition(7)
+    got = {r["resource_id"]: r["position"] for r in R.positions(df).collect()}
+    assert got["a"] == 1 and got["b"] == 3002 and got["c"] == 3003
+    assert [got[f"resource-{i:05d}"] for i in range(3000)] == list(range(2, 3002))
+    assert R.positions(df.limit(0)).count() == 0
+
+
+def test_next_open_review_passes_over_settled_and_skipped(spark):
+    df = spark.createDataFrame([("x", 3.0), ("y", 2.0), ("z", 1.0)],
+                               "resource_id string, priority double")
+    ids = "resource_id string"
+    got = R.open_positions(df, spark.createDataFrame([("x",)], ids),
+                           spark.createDataFrame([("y",)], ids)).collect()
+    assert {r["resource_id"]: (r["position"], r["is_next"]) for r in got} == {
+        "x": (1, False), "y": (2, False), "z": (3, True)}
+
+
 def test_weights_sum_to_one():
     assert abs(sum(K.WEIGHT.values()) - 1) < 1e-12
