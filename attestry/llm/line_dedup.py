@@ -1,9 +1,11 @@
 """Lines that a later document repeats, found by aligning pairs of documents.
 
-1. Every line of every text is hashed. A line with `LINE_WORDS` words or more that several
-   documents hold names pairs: each later holder with the first one and, if the line is rare
-   (`RARE` holders or fewer), also with the holder just before it. Pairs grow with the lines,
-   never with the square of a line's holders, and no line is left out for being common.
+1. Every line of every text is hashed. The shortest runs of `BLOCK_WORDS` words or more that
+   start or end at a line are its windows; every line of a common block lies in a window that
+   is common too. A window that several documents hold names pairs: each later holder with
+   the first one, which holds the whole window, and, if it is rare (`RARE` holders or fewer),
+   also with the holder just before it. Pairs grow with the lines, never with the square of
+   a window's holders, and no line is left out for being common or short.
 2. The line hashes of each pair are aligned by patience diff: lines that occur once on both
    sides and rise together are anchors, what lies between is aligned in turn, and equal
    lines next to aligned ones join them.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from attestry.llm.common import SPACES, columns_of
 from attestry.session import stored
 
-LINE_WORDS, BLOCK_WORDS, RARE = 5, 10, 32
+BLOCK_WORDS, RARE = 10, 32
 
 
 def line_hashes(text: bytes) -> tuple[list[int], list[int]]:
@@ -70,20 +72,57 @@ def lined(docs: DataFrame) -> DataFrame:
                                   "lines array<bigint>, sizes array<int>")
 
 
-def candidate_pairs(table: DataFrame, line_words: int = LINE_WORDS, rare: int = RARE) -> DataFrame:
-    """(early, late) row keys of documents that share a line."""
-    held = table.select(
-        "row_key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key").alias(
-            "place"),
-        F.explode(F.array_distinct(F.transform(
-            F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= line_words),
-            lambda x: x["lines"]))).alias("line"))
+def windows(sizes: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges (low, end) of the shortest runs of enough words from each line and up to each."""
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    full = np.flatnonzero(sizes)
+    end = np.searchsorted(total, total[full] + block_words)
+    fits = end < len(total)
+    last = full[total[full + 1] >= block_words] + 1
+    low = np.searchsorted(total, total[last] - block_words, "right") - 1
+    both = np.unique(np.stack([np.concatenate([full[fits], low]),
+                               np.concatenate([end[fits], last])]), axis=1)
+    return both[0], both[1]
+
+
+def window_keys(lines: np.ndarray, sizes: np.ndarray, block_words: int) -> np.ndarray:
+    """Distinct hashes of the windows of a document; a window of one line has the line's."""
+    low, end = windows(sizes, block_words)
+    keys = lines[low]
+    for k in np.flatnonzero(end - low > 1):
+        keys[k] = int.from_bytes(hashlib.blake2b(
+            lines[low[k]:end[k]].tobytes(), digest_size=8).digest(), "little", signed=True)
+    return np.unique(keys)
+
+
+def _keyed(table: DataFrame, block_words: int) -> DataFrame:
+    """row_key, doc_id, line: a row per document and window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [window_keys(np.array(x, np.int64), np.array(n, np.int64), block_words)
+                    for x, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row_key", "doc_id", "keys"])
+
+    kind = table.schema["doc_id"].dataType.simpleString()
+    return table.select("row_key", "doc_id", "lines", "sizes").mapInArrow(
+        run, f"row_key bigint, doc_id {kind}, keys array<bigint>").select(
+        "row_key", "doc_id", F.explode("keys").alias("line"))
+
+
+def candidate_pairs(table: DataFrame, block_words: int = BLOCK_WORDS,
+                    rare: int = RARE) -> DataFrame:
+    """(early, late) row keys of documents that share a window."""
+    held = _keyed(table, block_words).select(
+        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key").alias("place"),
+        "line")
     first = held.groupBy("line").agg(F.count(F.lit(1)).alias("holders"),
                                      F.min("place").alias("first")).filter("holders > 1")
     shared = stored(held.join(first, "line").select("line", "holders", "place", "first"), "shared")
     star = shared.filter(F.col("place") != F.col("first")).select(
         F.col("first.row_key").alias("early"), F.col("place.row_key").alias("late"))
-    # A rare line has few holders, so its window is small.
+    # A rare window has few holders, so its window is small.
     before = F.lag("place").over(W.partitionBy("line").orderBy("place"))
     chain = shared.filter(F.col("holders").between(3, rare)).select(
         before.alias("before"), "place").filter("before IS NOT NULL").select(
@@ -166,10 +205,9 @@ def blocks(aligned: list[tuple[int, int]], b: list[int], sizes: list[int],
     return out
 
 
-def repeated(table: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS,
-             rare: int = RARE) -> DataFrame:
+def repeated(table: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """row_key and the line ranges to delete from it (low, high), one row per block."""
-    pairs = candidate_pairs(table, line_words, rare)
+    pairs = candidate_pairs(table, block_words, rare)
     a = table.select(F.col("row_key").alias("early"), F.col("lines").alias("a"))
     b = table.select(F.col("row_key").alias("late"), F.col("lines").alias("b"), "sizes")
 
@@ -197,12 +235,11 @@ def without_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), int(gone.sum())
 
 
-def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, line_words: int = LINE_WORDS,
-                rare: int = RARE) -> DataFrame:
+def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """doc_id, text without repeated blocks, n_lines, n_removed."""
     table = stored(lined(docs), "lines")
     # At most the lines of one document come together here.
-    gone = repeated(table, block_words, line_words, rare).distinct().groupBy("row_key").agg(
+    gone = repeated(table, block_words, rare).distinct().groupBy("row_key").agg(
         F.collect_list(F.struct("low", "high")).alias("ranges"))
     rows = table.select("row_key", "doc_id", "text").join(gone, "row_key", "left").select(
         "doc_id", "text", "ranges")

@@ -250,3 +250,12 @@ def test_common_and_rare_lines_both_find_pairs(spark, docs_of):
     pairs = line_dedup.candidate_pairs(table, rare=8).collect()
     # Every later holder meets the first; the rare line also links neighbours.
     assert len(pairs) == 59 + 5
+
+
+def test_frequent_lines_find_an_earlier_holder_of_the_block(docs_of, rows_of):
+    """Lines of six words with over 32 holders, each alone in its first holder."""
+    first, second = "six words are in this line", "and six more are in this"
+    rows = [(0, first), (1, second), *[(2 + i, f"{first}\n{second}\nown{i}") for i in range(40)]]
+    got = {r["doc_id"]: r["text"] for r in rows_of(line_dedup.deduplicate(docs_of(rows)))}
+    assert got[0] == first and got[1] == second and got[2] == rows[2][1]
+    assert [got[3 + i] for i in range(39)] == [f"own{i}" for i in range(1, 40)]
