@@ -259,3 +259,9 @@ def test_frequent_lines_find_an_earlier_holder_of_the_block(docs_of, rows_of):
     got = {r["doc_id"]: r["text"] for r in rows_of(line_dedup.deduplicate(docs_of(rows)))}
     assert got[0] == first and got[1] == second and got[2] == rows[2][1]
     assert [got[3 + i] for i in range(39)] == [f"own{i}" for i in range(1, 40)]
+
+
+def test_blocks_of_short_lines_leave(docs_of, rows_of):
+    verse = "\n".join(f"verse {k} is short" for k in range(20))
+    got = rows_of(line_dedup.deduplicate(docs_of([verse, verse])))
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(0, verse), (1, "")]
