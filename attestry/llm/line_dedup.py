@@ -8,8 +8,11 @@
    a window's holders, and no line is left out for being common or short.
 2. The line hashes of each pair are aligned by patience diff: lines that occur once on both
    sides and rise together are anchors, what lies between is aligned in turn, and equal
-   lines next to aligned ones join them.
-3. Common blocks of `BLOCK_WORDS` words or more are deleted from the later document.
+   lines next to aligned ones join them. Passages that occur twice or in another order stay
+   unaligned, so each window of the later document that the alignment leaves is looked up
+   among the runs of lines of the earlier one.
+3. Common blocks of `BLOCK_WORDS` words or more are deleted from the later document: all of
+   them, wherever and however often they occur on either side.
 
 Earlier means smaller doc_id, null last, then the order of rows. Lines are compared without
 white space at their ends; blank lines never start a block but may lie inside one, and leave
@@ -205,6 +208,32 @@ def blocks(aligned: list[tuple[int, int]], b: list[int], sizes: list[int],
     return out
 
 
+def unaligned(a: list[int], b: list[int], sizes: list[int], found: list[tuple[int, int]],
+              block_words: int) -> list[tuple[int, int]]:
+    """Windows of `b` outside of the `found` ranges that are runs of `a` too."""
+    held = set(a)
+    # Lines that a block may take: held by `a`, and how many of them are still to be found.
+    common = np.array([x in held for x in b], bool)
+    open_ = common & (np.array(sizes) > 0)
+    for low, high in found:
+        open_[low:high] = False
+    if not open_.any():
+        return []
+    lacks, left = (np.concatenate([[0], np.cumsum(x)]) for x in (~common, open_))
+    low, end = windows(np.array(sizes), block_words)
+    ask = (lacks[low] == lacks[end]) & (left[low] < left[end])
+    runs: dict[int, set[bytes]] = {}
+    mine, theirs = np.array(a, np.int64).tobytes(), np.array(b, np.int64).tobytes()
+    out = []
+    for x, y in zip(low[ask].tolist(), end[ask].tolist(), strict=True):
+        n = y - x
+        if n not in runs:
+            runs[n] = {mine[8 * i:8 * (i + n)] for i in range(len(a) - n + 1)}
+        if theirs[8 * x:8 * y] in runs[n]:
+            out.append((x, y))
+    return out
+
+
 def repeated(table: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """row_key and the line ranges to delete from it (low, high), one row per block."""
     pairs = candidate_pairs(table, block_words, rare)
@@ -217,8 +246,9 @@ def repeated(table: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE)
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 for late, x, y, n in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    rows += [(late, low, high)
-                             for low, high in blocks(patience(x, y), y, n, block_words)]
+                    found = blocks(patience(x, y), y, n, block_words)
+                    found += unaligned(x, y, n, found, block_words)
+                    rows += [(late, low, high) for low, high in found]
             cols = np.array(rows, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols],
                                              names=["row_key", "low", "high"])

@@ -265,3 +265,43 @@ def test_blocks_of_short_lines_leave(docs_of, rows_of):
     verse = "\n".join(f"verse {k} is short" for k in range(20))
     got = rows_of(line_dedup.deduplicate(docs_of([verse, verse])))
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(0, verse), (1, "")]
+
+
+def test_passages_held_twice_are_found():
+    p, x, y, z, u, v, w = range(1, 8)
+    for a, b, gone in (([x, p, y, p, z], [u, p, v], [(1, 2)]),
+                       ([x, p, y], [u, p, v, p, w], [(1, 2), (3, 4)])):
+        sizes = [12] * len(b)
+        found = line_dedup.blocks(line_dedup.patience(a, b), b, sizes, 10)
+        assert sorted(found + line_dedup.unaligned(a, b, sizes, found, 10)) == gone
+
+
+def lines_left(rows, block_words):
+    """Texts without the lines of runs of enough words that an earlier row holds as a run."""
+    out, before = [], []
+    for _, text in rows:
+        lines = [x.strip() for x in text.split("\n")]
+        gone = set()
+        for low in range(len(lines)):
+            for high in range(low + 1, len(lines) + 1):
+                run = lines[low:high]
+                if run[0] and run[-1] and sum(len(x.split()) for x in run) >= block_words and any(
+                        run == old[k:k + len(run)] for old in before for k in range(len(old))):
+                    gone |= set(range(low, high))
+        out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+        before.append(lines)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_block_of_an_earlier_document_leaves(docs_of, rows_of, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"l{k}w{j}" for j in range(n)) for k, n in enumerate(
+        [1, 2, 3, 4, 4, 5, 6, 6, 7, 9, 11, 14])] + ["", " "]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(pool) if rng.random() < 0.7 else f"own {i} {k}"
+                 for k in range(rng.randint(1, 12))]
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in rows_of(line_dedup.deduplicate(docs_of(rows)))}
+    assert [got[i] for i, _ in rows] == lines_left(rows, line_dedup.BLOCK_WORDS)
