@@ -20,7 +20,10 @@ partition of the hash range into H + 1 segments.
    far leave outside their hub's component are then held against all members of the hub, in
    blocks: two sets differ in the tokens in which those differences differ, which decides
    exactly. A neighbourhood signature that very many sets share is treated in the same way.
-4. Every other candidate is verified on its texts. Components follow from the links.
+4. Every other candidate is verified on its texts. Components follow from the links. Below
+   `SKETCHED` percent segments hold so few tokens that many unlike sets agree on one, so the
+   parities of hashed tokens, which differ in no more places than the sets in tokens, first
+   rule out the pairs that differ too much.
 
 No bucket is capped, no member dropped. Shingles are compared as 64-bit hashes, classes as
 128-bit hashes of their sets. Null and empty texts have no shingles and link with nothing.
@@ -55,6 +58,7 @@ from attestry.session import stored
 
 WIDTH, PERCENT = 3, 90
 LIGHT = 16
+SKETCHED = 90
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter of wanted classes: 512 kB
 REST_BLOCK, MEMBER_BLOCK = 256, 4096
 MOST_SHINGLES = 1 << 26
@@ -132,6 +136,25 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of tokens per place, in at least as many places as tokens."""
+    places = 1 << max(6, int(len(s) - 1).bit_length())
+    at = (s & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
+
+
+def fewest_differences(x: bytes, y: bytes) -> int:
+    """A lower bound, by their sketches, of the tokens in which two sets differ."""
+    if len(x) < len(y):
+        x, y = y, x
+    v = int.from_bytes(x, "little")
+    bits = 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return (v ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     source = columns_of(docs, "doc_id", "text")
     void = source.schema["doc_id"].dataType.simpleString() == "void"
@@ -332,6 +355,31 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                                 "shared bigint, delta binary")
 
 
+def possible(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(
+                    [sketch(s) for t in chunks(b.column(2)) for s in shingle_sets(t, width)],
+                    pa.binary())], names=["c64", "n", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, sa, sb = (c.to_pylist() for c in b.columns[2:])
+            ok = [fewest_differences(x, y) * (100 + percent) <= (n + m) * (100 - percent)
+                  for n, m, x, y in zip(na, nb, sa, sb, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    made = stored(texts.select("c64", "n", "text").mapInArrow(
+        sketches, "c64 bigint, n bigint, s binary"), "sketches")
+    a = made.select(F.col("c64").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    b = made.select(F.col("c64").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return pairs.distinct().join(a, "a").join(b, "b").filter(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(
+        "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
 def linked(percent: int):
     return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
 
@@ -472,7 +520,10 @@ def links(docs: DataFrame, known: DataFrame, width: int = WIDTH, percent: int =
     texts = stored(class_texts(docs, stored(want, "want"), known, width), "texts")
     near, near_hubs = neighbours(records, texts, width, percent, light)
     hubs = stored(hub_pairs(dear, records).unionAll(near_hubs).distinct(), "hubs")
-    plain = pairs.unionAll(near).withColumn("hub", F.lit(False))
+    plain = pairs.unionAll(near)
+    if percent < SKETCHED:
+        plain = stored(possible(plain, texts, width, percent), "possible")
+    plain = plain.withColumn("hub", F.lit(False))
     with_hub = hubs.select(F.least("c64", "hub").alias("a"), F.greatest("c64", "hub").alias("b"),
                            F.lit(True).alias("hub"))
     checked = stored(verified(plain.unionAll(with_hub), texts, width, percent), "checked")

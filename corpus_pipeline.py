@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from attestry.llm import jaccard, mixing, packing, rules, tries
 from attestry.session import stored
 
+# The stage's near copies: 5-word shingles, similarity of 0.8 or more. The narrower values
+# that jaccard has by default are those of the query op9_ngram_jaccard_join.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learnt list rejects."""
@@ -26,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component; documents without id stay."""
-    found = jaccard.near_copies(docs)
+    found = jaccard.near_copies(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))
                         | F.col("doc_id").isNull()).select("doc_id").distinct().alias("s")
     return docs.alias("d").join(

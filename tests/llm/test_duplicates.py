@@ -142,6 +142,72 @@ def test_bands_hold_every_pair_that_can_link():
                 assert own in common and a + b - 2 * shared < segments[own]
 
 
+def shingles_of(text, width):
+    w = WORD.findall((text or "").translate(LOWER))
+    if len(w) < width:
+        return frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[k:k + width]) for k in range(len(w) - width + 1))
+
+
+def kept_of(rows, width, percent):
+    """Ids that stay: the least of each component, and rows without shingles."""
+    sets = [shingles_of(t, width) for _, t in rows]
+    least = list(range(len(rows)))
+    for _ in rows:
+        old = list(least)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                q = len(a & sets[j])
+                if a and sets[j] and 100 * q >= percent * (len(a) + len(sets[j]) - q):
+                    least[i] = least[j] = min(least[i], least[j])
+        if old == least:
+            break
+    return sorted(rows[i][0] for i, x in enumerate(least) if x == i)
+
+
+@pytest.mark.parametrize("seed, n", [(11, 150), (12, 260)])
+def test_near_stage_equals_brute_force_at_five_words_and_eight_tenths(spark, docs_of, seed, n):
+    import corpus_pipeline as cp
+
+    rng = random.Random(seed)
+    base = [f"n{rng.randint(0, 5000)}" for _ in range(300)]
+    longer = base + [f"t{k}" for k in range(45)]
+    edited = list(base)
+    for k in range(20, 300, 50):
+        edited[k] = f"e{k}"
+    rows = [*enumerate(corpus(seed, n)), (5000, " ".join(base)), (5001, " ".join(longer)),
+            (5002, " ".join(edited)), (5003, None), (5004, ""), (5005, "two words")]
+    stay = cp.near_dedup(spark, docs_of(rows), "")
+    kept = sorted(r.doc_id for r in stay.select("doc_id").collect())
+    assert kept == kept_of(rows, 5, 80)
+    assert kept != kept_of(rows, 3, 90) and not {5001, 5002} & set(kept)
+
+
+@pytest.mark.parametrize("light", [1, 3])
+def test_large_groups_at_eight_tenths(docs_of, rows_of, light):
+    rng = random.Random(light)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6])):
+            t[rng.randrange(len(t))] = f"x{rng.randint(0, 40)}"
+        rows.append((i, " ".join(t)))
+    rows += [(300 + i, t) for i, t in enumerate(corpus(light, 150))]
+    got = rows_of(jaccard.near_copies(docs_of(rows), width=5, percent=80, light=light))
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] == r["component_id"]) == kept_of(
+        rows, 5, 80)
+
+
+def test_sketches_never_exceed_the_differences():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, rng.integers(2, 900)).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1))) for _ in range(2))
+        assert jaccard.fewest_differences(jaccard.sketch(a), jaccard.sketch(b)) <= len(
+            np.setxor1d(a, b))
+
+
 def test_near_copies_of_nothing(docs_of):
     assert jaccard.near_copies(docs_of([])).count() == 0
 
