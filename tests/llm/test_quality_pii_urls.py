@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from attestry.llm import pii, qda, queries, rules, stats, url_filter, warc
+from attestry.llm import mixing, pii, qda, queries, rules, stats, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,3 +297,54 @@ def test_pipeline_stages_keep_the_documents_shape(spark):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    """Planted exact and near copies through the stages, rows of each against plain Python."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = [r.asDict() for r in docs.collect()]
+    longest = sorted(first, key=lambda r: -len(r["text"] or ""))[:6]
+    for k, r in enumerate(longest):
+        w = r["text"].split(" ")
+        grown = w + [f"grown{k}x{j}" for j in range(len(w) * 15 // 100)]
+        first.append(r | {"doc_id": 10_000_000 + 2 * k, "text": r["text"].replace(" ", "  ", 1)})
+        first.append(r | {"doc_id": 10_000_001 + 2 * k, "text": " ".join(grown)})
+    docs = spark.createDataFrame(first, docs.schema)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+
+    passed = cp.quality_rules(spark, docs, SF).cache()
+    judged = {r.doc_id for r in rules.judge(docs, labels).collect() if r.kept}
+    at = [r.asDict() for r in passed.collect()]
+    assert sorted(r["doc_id"] for r in at) == sorted(judged)
+
+    # The longest of equal texts stays, of those the one of least id.
+    best = {}
+    for r in sorted(first, key=lambda r: (-len(r["text"] or ""), r["doc_id"])):
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""), r["doc_id"])
+    exact = cp.exact_dedup(spark, docs, SF).cache()
+    at = [(r.doc_id, r.text) for r in exact.collect()]
+    assert sorted(i for i, _ in at) == sorted(best.values())
+    assert not {r["doc_id"] for r in longest} & {i for i, _ in at}
+
+    sets = []
+    for _, text in at:
+        w = [x.lower() if x.isascii() else x for x in WORD.findall(text or "")]
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in w]
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5
+                    else {tuple(w)} if w else set())
+    least = [i for i, _ in at]
+    linked = [(x, y) for x, a in enumerate(sets) for y, b in enumerate(sets[:x])
+              if a and b and 10 * len(a & b) >= 8 * len(a | b)]
+    for _ in at:
+        for x, y in linked:
+            least[x] = least[y] = min(least[x], least[y])
+    near = cp.near_dedup(spark, exact, SF).cache()
+    kept = sorted(r.doc_id for r in near.collect())
+    assert kept == sorted(i for (i, _), n in zip(at, least, strict=True) if i == n)
+    assert len(kept) <= len(at) - 6
+
+    copies = {r.doc_id: r.copies for r in mixing.mix(near).collect()}
+    rows = Counter(r.doc_id for r in cp.source_mix(spark, near, SF).collect())
+    assert rows == {i: n for i, n in copies.items() if n}
