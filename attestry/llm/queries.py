@@ -12,6 +12,7 @@ from attestry.llm import (
     line_dedup,
     mixing,
     packing,
+    pieces,
     pii,
     qda,
     rules,
@@ -109,6 +110,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids, and of the text decoded from just these ids."""
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"))
+    return pieces.decode(encoded).select(
+        "doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc_revisits, op3_url_filter, op4_quality_classifier,
     op5_personal_data, op6_source_mixing, op7_quality_rules, op8_line_dedup,
-    op9_ngram_jaccard_join, op10_exact_dedup, pipeline)}
+    op9_ngram_jaccard_join, op10_exact_dedup, op13_sentencepiece, pipeline)}
 
 _CANONICAL = r"""
 part AS (
