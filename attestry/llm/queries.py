@@ -12,6 +12,7 @@ from attestry.llm import (
     line_dedup,
     mixing,
     packing,
+    periodic,
     pieces,
     pii,
     qda,
@@ -110,6 +111,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.duplicates(_table(spark, sf_dir, "documents"))
 
 
+# Every tenth document, by hash, gets a tail that repeats: word a of it on, p words at a time.
+REPEATED = r"""
+CASE WHEN doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN
+  array_join(transform(
+    array(filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')),
+    ws -> transform(ws, (w, i) -> IF(i < g % size(ws), w,
+      ws[CAST(g % size(ws) + (i - g % size(ws)) % (1 + (size(ws) - g % size(ws)) DIV (3 + g % 8))
+         AS INT)])))[0], ' ')
+ELSE text END"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn(
+        "g", F.expr("crc32(CAST(doc_id AS STRING)) DIV 10")).select(
+        "doc_id", F.expr(REPEATED).alias("text"))
+    best = F.expr("array_min(transform(runs, r -> struct("
+                  "-r.length AS shorter, r.start AS start, r.period AS period)))")
+    lines = F.expr(r"array_join(transform(runs, "
+                   r"r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return periodic.runs(docs).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.shorter")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("-1000 * best.shorter DIV best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids, and of the text decoded from just these ids."""
     encoded = pieces.encode(_table(spark, sf_dir, "documents"))
@@ -128,7 +156,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc_revisits, op3_url_filter, op4_quality_classifier,
     op5_personal_data, op6_source_mixing, op7_quality_rules, op8_line_dedup,
-    op9_ngram_jaccard_join, op10_exact_dedup, op13_sentencepiece, pipeline)}
+    op9_ngram_jaccard_join, op10_exact_dedup, op12_periodic_runs, op13_sentencepiece,
+    pipeline)}
 
 _CANONICAL = r"""
 part AS (
