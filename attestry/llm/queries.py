@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestry.llm import (
     jaccard,
     line_dedup,
+    manifest,
     mixing,
     packing,
     periodic,
@@ -111,6 +112,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf, roots and siblings, and the root that its possibly changed leaf gives."""
+    rows = manifest.view(manifest.documents(_table(spark, sf_dir, "documents")), "suspect")
+    told = manifest.fold(rows.withColumn("leaf_now", F.coalesce("suspect", "leaf")),
+                         "leaf_now", "folded")
+    proof = F.lower(F.concat(F.hex("witness"), F.hex("top_witness")))
+    return told.select(
+        F.col("key").alias("doc_id"), *[F.lower(F.hex(c)).alias(c) for c in (
+            "leaf", "subroot", "root")],
+        F.sha2(proof.cast("binary"), 256).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"))
+
+
 # Every tenth document, by hash, gets a tail that repeats: word a of it on, p words at a time.
 REPEATED = r"""
 CASE WHEN doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN
@@ -156,8 +171,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc_revisits, op3_url_filter, op4_quality_classifier,
     op5_personal_data, op6_source_mixing, op7_quality_rules, op8_line_dedup,
-    op9_ngram_jaccard_join, op10_exact_dedup, op12_periodic_runs, op13_sentencepiece,
-    pipeline)}
+    op9_ngram_jaccard_join, op10_exact_dedup, op11_merkle_manifest,
+    op12_periodic_runs, op13_sentencepiece, pipeline)}
 
 _CANONICAL = r"""
 part AS (
@@ -174,7 +189,74 @@ named AS (
   FROM (SELECT *, regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':[0-9]+$', '') AS bare
         FROM part))"""
 
+_TOLD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_TOLD.format(c) for c in (
+        "doc_id", "source", "lang", chars, "text")) + ")"
+
+
+# A tree (t) has leaves (t, i, n, h); two levels of them here, one per lang and one on top.
+_MERKLE = r"""
+WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM documents),
+crc AS (
+  SELECT DISTINCT id, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM d WHERE id IS NOT NULL
+  UNION ALL
+  SELECT id, k + 1, list_reduce(
+    list_prepend(xor(c, CAST(ascii(id[k + 1]) AS BIGINT)), CAST(range(8) AS BIGINT[])),
+    lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))
+  FROM crc WHERE k < length(id)),
+leaf AS (
+  SELECT d.*, coalesce(xor(c, 4294967295) % 7 = 0, false) AS hit, {leaf} AS h,
+    CASE WHEN xor(c, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN {changed} ELSE {leaf}
+      END AS now
+  FROM d LEFT JOIN crc ON crc.id = d.id AND crc.k = length(d.id)),
+own AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (
+      PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+up AS (
+  SELECT 0 AS l, lang AS t, i, n, h FROM own
+  UNION ALL
+  SELECT l + 1, t, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM up WHERE n > 1 GROUP BY l, t, i // 2, n),
+subs AS (
+  SELECT t AS lang, h, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS i,
+    count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS l, i, n, h FROM subs
+  UNION ALL
+  SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM top WHERE n > 1 GROUP BY l, i // 2, n),
+levels AS (SELECT DISTINCT l, t, n FROM up WHERE n > 1),
+top_levels AS (SELECT DISTINCT l, n FROM top WHERE n > 1),
+steps AS (
+  SELECT o.r, v.l AS k, (o.i >> v.l) & 1 AS odd, u.h
+  FROM own o JOIN levels v ON v.t IS NOT DISTINCT FROM o.lang
+  LEFT JOIN up u ON u.t IS NOT DISTINCT FROM o.lang AND u.l = v.l AND u.i = xor(o.i >> v.l, 1)
+  UNION ALL
+  SELECT o.r, 1000 + v.l, (s.i >> v.l) & 1, u.h
+  FROM own o JOIN subs s ON s.lang IS NOT DISTINCT FROM o.lang CROSS JOIN top_levels v
+  LEFT JOIN top u ON u.l = v.l AND u.i = xor(s.i >> v.l, 1)),
+path AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS step FROM steps),
+fold AS (
+  SELECT r, 0 AS step, now AS h FROM own
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(CASE WHEN p.odd = 1 THEN coalesce(p.h, '') || f.h
+    ELSE f.h || coalesce(p.h, '') END)
+  FROM fold f JOIN path p ON p.r = f.r AND p.step = f.step),
+proof AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256,
+    count(*) AS steps FROM path GROUP BY r)
+SELECT o.doc_id, o.h AS leaf, s.h AS subroot, g.h AS root,
+  coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = g.h AS verified
+FROM own o JOIN subs s ON s.lang IS NOT DISTINCT FROM o.lang
+JOIN (SELECT h FROM top WHERE n = 1) g ON true
+LEFT JOIN proof p ON p.r = o.r
+JOIN fold f ON f.r = o.r AND f.step = coalesce(p.steps, 0)"""
+
 SQL = {
+    "op11_merkle_manifest": _MERKLE.format(leaf=_leaf("n_chars"), changed=_leaf("(n_chars + 1)")),
     "op2_warc_revisits": "WITH rec AS (" + RECORDS.replace("{pages}", "pages") + "),"
     + _CANONICAL.format(url="target_uri", table="rec") + r""",
 hit AS (
