@@ -5,25 +5,28 @@ link differ in at most H tokens, H growing with their sizes, so sizes are cut in
 (sets that link lie in one band or two neighbouring ones) and each band has its own
 partition of the hash range into H + 1 segments.
 
-1. Pigeonhole. Linked sets agree on a whole segment. Every set is indexed by its segment
-   subsets, one row (signature, class) each.
-2. Cost-based allocation. A signature held by more than `LIGHT` classes is dear. A set with k
-   dear segments, 2k <= H + 1, gives them up: if a pair agrees on q dear segments and on no
-   cheap one, all other segments differ, at most q - 1 of them by two tokens or more, so
-   among any q of those one differs by exactly one token. Both sides then publish the
-   first 2k segments with their one-deletion neighbourhoods (2k >= 2q, of which q at most
-   are the agreed ones), and subset meets neighbourhood. Sets that would have to give up
-   more than half of their segments keep them.
-3. Dear signatures that remain belong to sets alike in most segments, such as thousands of
+1. Pigeonhole. Linked sets agree on a whole segment. Every set is indexed by its non-empty
+   segment subsets, one row (signature, class) each. Empty segments say nothing and get no row.
+2. One-deletion neighbourhoods. If a pair agrees on q segments, all of them empty or given up
+   (below), the others differ, at most q - 1 of them by two tokens or more. So among any q
+   other segments one differs by exactly one token. A set with z empty segments publishes the
+   neighbourhoods of its first z segments of `RICH` tokens or more: the shorter of the two
+   prefixes has such a segment, and both sides hold tokens there. Subset meets neighbourhood
+   in the same shuffle. Sets with fewer than z such segments publish what they have, and,
+   among themselves, their empty segments.
+3. Cost-based allocation. A signature held by more than `LIGHT` classes is dear. A set with k
+   dear segments gives them up if it has z + 2k rich segments: of the 2k more, k at most are
+   agreed on and k at most differ by more. It publishes the neighbourhoods of these too. Sets
+   that have too few keep their dear segments.
+4. Dear signatures that remain belong to sets alike in most segments, such as thousands of
    edited copies. Each such set is compared with one hub of the signature, the set with most
    dear segments, and keeps the tokens in which it differs from it. Sets that the links so
    far leave outside their hub's component are then held against all members of the hub, in
    blocks: two sets differ in the tokens in which those differences differ, which decides
    exactly. A neighbourhood signature that very many sets share is treated in the same way.
-4. Every other candidate is verified on its texts. Components follow from the links. Below
-   `SKETCHED` percent segments hold so few tokens that many unlike sets agree on one, so the
-   parities of hashed tokens, which differ in no more places than the sets in tokens, first
-   rule out the pairs that differ too much.
+5. Every other candidate is verified on its texts, after the parities of hashed tokens, which
+   differ in no more places than the sets in tokens, have ruled out the pairs that differ too
+   much. Components follow from the links.
 
 No bucket is capped, no member dropped. Shingles are compared as 64-bit hashes, classes as
 128-bit hashes of their sets. Null and empty texts have no shingles and link with nothing.
@@ -58,10 +61,10 @@ from attestry.session import stored
 
 WIDTH, PERCENT = 3, 90
 LIGHT = 16
-SKETCHED = 90
+RICH = 4  # tokens of a segment whose neighbourhood is worth a row each
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter of wanted classes: 512 kB
 REST_BLOCK, MEMBER_BLOCK = 256, 4096
-MOST_SHINGLES = 1 << 26
+MOST_SHINGLES = 1 << 32  # more than a string can hold
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -120,13 +123,21 @@ def signature(sums: np.ndarray, group: int, segment: np.ndarray) -> np.ndarray:
     return mix(sums + mix(place + np.uint64(1)))
 
 
-def deletions(s: np.ndarray, group: int, m: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the first segments: whole, and with one token left out."""
+def deletions(s: np.ndarray, group: int, m: int, some: np.ndarray) -> np.ndarray:
+    """Signatures of some segments with one token left out, for each of their tokens."""
     sums, at = segment_sums(s, m)
-    seg = np.repeat(np.arange(first), np.diff(at[:first + 1]))
-    without = sums[seg] - mix(s[:at[first]] ^ _SALT)
-    return (signature(sums[:first], group, np.arange(first)),
-            signature(without, group, seg))
+    length = at[some + 1] - at[some]
+    seg = np.repeat(some, length)
+    token = np.arange(len(seg)) - np.repeat(np.cumsum(length) - length, length) + at[seg]
+    return signature(sums[seg] - mix(s[token] ^ _SALT), group, seg)
+
+
+def rich_segments(at: np.ndarray, more: int) -> tuple[np.ndarray, int]:
+    """The first rich segments, one per empty one and `more`; how many are lacking."""
+    size = np.diff(at)
+    need = int((size == 0).sum()) + more
+    rich = np.flatnonzero(size >= RICH)[:need]
+    return rich, need - len(rich)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -184,18 +195,33 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
         run, f"doc_id {_kind(source)}, n_shingles bigint, c binary, c64 bigint")
 
 
-def _pack(n, group, segment):
-    return (n << 34) | (group << 24) | segment
+def _pack(n, group, part):
+    """Size of a set, band, and whether the signature lacks a token."""
+    return (n << 11) | (group << 1) | part
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
 
+def index_of(s: np.ndarray, group: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set in a band: of its segments, and of those that lack a token."""
+    sums, at = segment_sums(s, m)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    own = signature(sums[full], group, full)
+    if len(full) == m:
+        return own, own[:0]
+    some, lacking = rich_segments(at, 0)
+    if lacking:
+        void = np.flatnonzero(at[1:] == at[:-1])
+        own = np.concatenate([own, signature(sums[void], group, void)])
+    return own, deletions(s, group, m, some)
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """sig, c64, info for every class a task meets, once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, _, segments = bands(percent)
+        segments = bands(percent)[2]
         met: set[bytes] = set()
         for b in batches:
             for t in chunks(b.column(0)):
@@ -205,11 +231,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         continue
                     met.add(c)
                     for g in groups_of(len(s), percent):
-                        m = int(segments[g])
-                        at = np.arange(m)
-                        sig.append(signature(segment_sums(s, m)[0], g, at))
-                        c64.append(np.full(m, _short(c), np.int64))
-                        info.append(_pack(len(s), g, at))
+                        own, parts = index_of(s, g, int(segments[g]))
+                        sig += [own, parts]
+                        c64.append(np.full(len(own) + len(parts), _short(c), np.int64))
+                        info += [np.full(len(own), _pack(len(s), g, 0), np.int64),
+                                 np.full(len(parts), _pack(len(s), g, 1), np.int64)]
                 if len(met) > 1_000_000:
                     met.clear()
                 if sig:
@@ -220,58 +246,96 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(run, "sig bigint, c64 bigint, info bigint")
 
 
+PAIR, DEAR, NEAR = 0, 1, 2
+
+
 def _runs(percent: int, light: int):
-    """Sorted signature rows to pairs (kind 0: a, b) and rows of dear signatures (kind 1)."""
+    """Signature rows, whole ones first, to pairs (a, b) and rows of dear signatures.
+
+    A whole signature is dear (DEAR) with more than `light` holders. One with holders that
+    lack a token is dear (NEAR) once whole ones times others exceed light squared; its whole
+    holders are NEAR rows too unless they are DEAR rows.
+    """
+    long = light * light + light + 2
+
     def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
         n = len(columns[0])
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, kind, np.int8)), *[pa.array(c, pa.int64()) for c in columns]],
             names=["kind", "a", "b", "info"])
 
-    def settle(sig, c64, info, dear_sig):
-        """Pairs and dear rows of whole runs; `dear_sig` was dear before."""
-        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, int)
+    def settle(sig, c64, info):
+        """Pairs and dear rows of whole runs."""
+        if not len(sig):
+            return
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         length = np.diff(np.r_[first, len(sig)])
-        of_row = np.repeat(length, length)
-        dear = (of_row > light) | (sig == dear_sig)
-        if dear.any():
-            yield out(1, sig[dear], c64[dear], info[dear])
-        live = ~dear
-        for step in range(1, light):
-            x = np.flatnonzero(live[:-step] & live[step:] & (sig[:-step] == sig[step:]))
-            if not len(x):
-                break
-            n1, n2 = info[x] >> 34, info[x + step] >> 34
-            ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-            if ok.any():
-                a, b = c64[x[ok]], c64[x[ok] + step]
-                yield out(0, a, b, np.zeros(len(a), np.int64))
+        part = (info & 1) == 1
+        parts = np.add.reduceat(part.astype(np.int64), first)
+        wholes = length - parts
+        many, near = wholes > light, wholes * parts > light * light
+        dear = np.repeat(many, length)
+        for kind, rows in ((DEAR, dear & ~part), (NEAR, np.repeat(near, length) & (part | ~dear))):
+            if rows.any():
+                yield out(kind, sig[rows], c64[rows], info[rows])
+        # Whole rows of a run meet the whole rows after them, and all rows that lack a token.
+        others = np.repeat(first + wholes, length)
+        x = np.arange(len(sig))
+        later = np.where(part | dear, 0, others - x - 1)
+        lacking = np.repeat(np.where(near, 0, parts), length) * ~part
+        for start, count in ((x + 1, later), (others, lacking)):
+            left, step = np.flatnonzero(count), 0
+            while len(left):
+                y = start[left] + step
+                n1, n2 = info[left] >> 11, info[y] >> 11
+                ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+                if ok.any():
+                    a, b = c64[left[ok]], c64[y[ok]]
+                    yield out(PAIR, a, b, np.zeros(len(a), np.int64))
+                step += 1
+                left = left[count[left] > step]
+
+    def flood(sig, c64, info, whole: bool):
+        """Rows of a run too long to wait for its end; `whole`: whole rows came before."""
+        part = (info & 1) == 1
+        if (~part).any():
+            yield out(DEAR, sig[~part], c64[~part], info[~part])
+        if part.any() and (whole or not part.all()):
+            yield out(NEAR, sig[part], c64[part], info[part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
-        dear_sig = None
+        flooded, whole = None, False  # the signature of a long run, and if it has whole rows
         for b in batches:
             cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)])
                     for r, c in zip(rest, b.columns, strict=True)]
-            keep = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])] \
-                if len(cols[0]) else np.zeros(0, bool)
-            cols = [c[keep] for c in cols]
             if not len(cols[0]):
                 continue
-            # The last run may go on in the next batch; of a dear one only the last row waits.
+            keep = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+            cols = [c[keep] for c in cols]
+            if flooded is not None:
+                end = int(np.searchsorted(cols[0], flooded, "right"))
+                # The last row of the batch before came along to be told from its repeats.
+                yield from flood(*[c[1:end] for c in cols], whole)
+                if end == len(cols[0]):
+                    whole = whole or bool(((cols[2] & 1) == 0).any())
+                    rest = [c[-1:] for c in cols]
+                    continue
+                cols, flooded = [c[end:] for c in cols], None
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            last_dear = len(cols[0]) - cut > light or cols[0][-1] == dear_sig
-            if last_dear:
-                yield from settle(*[c[:cut] for c in cols], dear_sig)
-                dear_sig = cols[0][-1]
-                if len(cols[0]) - 1 > cut:
-                    yield out(1, *[c[cut:-1] for c in cols])
-                rest = [c[-1:] for c in cols]
-            else:
-                yield from settle(*[c[:cut] for c in cols], dear_sig)
-                rest = [c[cut:] for c in cols]
-        if len(rest[0]):
-            yield from settle(*rest, dear_sig)
+            yield from settle(*[c[:cut] for c in cols])
+            rest = [c[cut:] for c in cols]
+            if len(rest[0]) > long:
+                flooded, whole = rest[0][0], bool(((rest[2] & 1) == 0).any())
+                wholes = (rest[2] & 1) == 0
+                if 0 < wholes.sum() <= light:
+                    # Few whole rows and many others: all of them meet at a hub.
+                    yield out(NEAR, *rest)
+                else:
+                    yield from flood(*rest, whole)
+                rest = [c[-1:] for c in rest]
+        if flooded is None:
+            yield from settle(*rest)
 
     return run
 
@@ -384,17 +448,35 @@ def linked(percent: int):
     return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def allocation(dear: DataFrame, percent: int) -> DataFrame:
-    """(c64, g) with k dear segments, whether it gives them up, how many segments it publishes."""
-    m = F.element_at(F.array(*[F.lit(int(x)) for x in bands(percent)[2]]), F.col("g") + 1)
-    per = dear.groupBy("c64", "g").agg(F.count(F.lit(1)).alias("k")).withColumn("m", m)
-    per = per.withColumn("gives", 2 * F.col("k") <= F.col("m"))
-    # One row per band, of which there are some two hundred.
-    most = per.filter("gives").groupBy("g").agg(F.max(2 * F.col("k")).alias("most"))
-    return per.join(F.broadcast(most), "g", "left").select(
-        "c64", "g", "k", "m", "gives",
-        F.when(F.col("gives"), 2 * F.col("k")).otherwise(
-            F.least("m", F.coalesce("most", F.lit(0)))).cast("int").alias("publish"))
+def allocation(dear: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(c64, g, k): a set's dear segments, whether it gives them up, the prefix it publishes."""
+    held = dear.groupBy("c64", "g").agg(F.count(F.lit(1)).alias("k")).join(
+        texts, "c64").select("c64", "g", "k", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = bands(percent)[2]
+        for b in batches:
+            g, k = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:3])
+            gives, prefix, i = [], [], 0
+            for t in chunks(b.column(3)):
+                for s in shingle_sets(t, width):
+                    at = segment_sums(s, int(segments[g[i]]))[1]
+                    rich, lacking = rich_segments(at, 2 * int(k[i]))
+                    gives.append(not lacking)
+                    prefix.append(int(rich[-1]) + 1 if not lacking else 0)
+                    i += 1
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array(gives, pa.bool_()), pa.array(prefix, pa.int64())],
+                names=["c64", "g", "k", "gives", "prefix"])
+
+    per = stored(held.mapInArrow(run, "c64 bigint, g int, k bigint, gives boolean, prefix bigint"),
+                 "per")
+    # One row per band, of which there are some two hundred. Who keeps dear segments publishes
+    # as far as anyone of the band who gives them up.
+    most = per.groupBy("g").agg(F.max("prefix").alias("most"))
+    return per.join(F.broadcast(most), "g").select(
+        "c64", "g", "k", "gives", F.when(F.col("gives"), F.col("prefix")).otherwise(
+            F.col("most")).cast("int").alias("publish"))
 
 
 def neighbours(records: DataFrame, texts: DataFrame, width: int, percent: int, light: int
@@ -405,16 +487,22 @@ def neighbours(records: DataFrame, texts: DataFrame, width: int, percent: int, l
     the holders of a dear one are compared with its hub.
     """
     rows = records.filter("publish > 0").join(texts, "c64").select(
-        "c64", "g", "m", "publish", "n", "k", "text")
+        "c64", "g", "publish", "n", "k", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = bands(percent)[2]
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                c64, g, m, publish, n, dear = (c.to_pylist() for c in part.columns[:6])
-                sets = [s for t in chunks(part.column(6)) for s in shingle_sets(t, width)]
+                c64, g, publish, n, dear = (c.to_pylist() for c in part.columns[:5])
+                sets = [s for t in chunks(part.column(5)) for s in shingle_sets(t, width)]
                 for i, s in enumerate(sets):
-                    whole, without = deletions(s, g[i], m[i], publish[i])
+                    m = int(segments[g[i]])
+                    sums, at = segment_sums(s, m)
+                    some = np.arange(min(publish[i], m))
+                    size = np.diff(at)[some]
+                    whole = signature(sums[some[size > 0]], g[i], some[size > 0])
+                    without = deletions(s, g[i], m, some[size >= RICH])
                     size = len(whole) + len(without)
                     yield pa.RecordBatch.from_arrays(
                         [_long(np.concatenate([whole, without])),
@@ -442,11 +530,9 @@ def neighbours(records: DataFrame, texts: DataFrame, width: int, percent: int, l
     return pairs, held.filter("NOT cheap AND c64 <> hub").select("c64", "hub").distinct()
 
 
-def hub_pairs(dear: DataFrame, records: DataFrame) -> DataFrame:
-    """(c64, hub) for the classes that keep their dear segments."""
-    rows = dear.join(records.filter("NOT gives").select("c64", "g", "k"), ["c64", "g"]).select(
-        "sig", "c64", "k")
-    hub = rows.groupBy("sig").agg(F.max(F.struct("k", "c64")).alias("h")).select(
+def with_hub(rows: DataFrame, weight: str) -> DataFrame:
+    """(c64, hub) for the holders of each signature; the hub is the one of most weight."""
+    hub = rows.groupBy("sig").agg(F.max(F.struct(weight, "c64")).alias("h")).select(
         "sig", F.col("h.c64").alias("hub"))
     return rows.join(hub, "sig").filter(F.col("c64") != F.col("hub")).select(
         "c64", "hub").distinct()
@@ -504,29 +590,38 @@ def links(docs: DataFrame, known: DataFrame, width: int = WIDTH, percent: int =
           light: int = LIGHT) -> DataFrame:
     """Links (a, b) between classes that span their components; `known` is (c, c64, rep)."""
     found = stored(
-        signatures(docs, width, percent).repartition("sig").sortWithinPartitions("sig", "c64")
+        signatures(docs, width, percent).repartition("sig").sortWithinPartitions(
+            "sig", F.col("info").bitwiseAND(F.lit(1)), "c64")
         .mapInArrow(_runs(percent, light), "kind tinyint, a bigint, b bigint, info bigint"),
         "found")
-    pairs = found.filter("kind = 0").select(F.least("a", "b").alias("a"),
-                                            F.greatest("a", "b").alias("b")).distinct()
-    dear = found.filter("kind = 1").select(
-        F.col("a").alias("sig"), F.col("b").alias("c64"),
-        F.shiftright("info", 24).bitwiseAND(F.lit(1023)).cast("int").alias("g")).distinct()
-    dear = stored(dear, "dear")
-    records = stored(allocation(dear, percent), "records")
+    pairs = found.filter(F.col("kind") == PAIR).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def holders(kind: int) -> DataFrame:
+        return found.filter(F.col("kind") == kind).select(
+            F.col("a").alias("sig"), F.col("b").alias("c64"),
+            F.shiftright("info", 1).bitwiseAND(F.lit(1023)).cast("int").alias("g"),
+            F.shiftright("info", 11).alias("n")).distinct()
+
+    dear, lacking = stored(holders(DEAR), "dear"), stored(holders(NEAR), "lacking")
     pairs = stored(pairs, "pairs")
     want = pairs.select(F.col("a").alias("c64")).unionAll(
-        pairs.select(F.col("b").alias("c64"))).unionAll(dear.select("c64")).distinct()
+        pairs.select(F.col("b").alias("c64"))).unionAll(dear.select("c64")).unionAll(
+        lacking.select("c64")).distinct()
     texts = stored(class_texts(docs, stored(want, "want"), known, width), "texts")
+    records = stored(allocation(dear, texts, width, percent), "records")
     near, near_hubs = neighbours(records, texts, width, percent, light)
-    hubs = stored(hub_pairs(dear, records).unionAll(near_hubs).distinct(), "hubs")
-    plain = pairs.unionAll(near)
-    if percent < SKETCHED:
-        plain = stored(possible(plain, texts, width, percent), "possible")
+    kept = dear.join(records.filter("NOT gives").select("c64", "g", "k"), ["c64", "g"])
+    # Whole holders of a signature that is dear both ways are in `dear`.
+    meeting = lacking.select("sig", "c64", "n").unionAll(
+        dear.join(lacking.select("sig").distinct(), "sig", "left_semi").select("sig", "c64", "n"))
+    hubs = stored(with_hub(kept, "k").unionAll(with_hub(meeting, "n")).unionAll(
+        near_hubs).distinct(), "hubs")
+    plain = stored(possible(pairs.unionAll(near), texts, width, percent), "possible")
     plain = plain.withColumn("hub", F.lit(False))
-    with_hub = hubs.select(F.least("c64", "hub").alias("a"), F.greatest("c64", "hub").alias("b"),
-                           F.lit(True).alias("hub"))
-    checked = stored(verified(plain.unionAll(with_hub), texts, width, percent), "checked")
+    to_hub = hubs.select(F.least("c64", "hub").alias("a"), F.greatest("c64", "hub").alias("b"),
+                         F.lit(True).alias("hub"))
+    checked = stored(verified(plain.unionAll(to_hub), texts, width, percent), "checked")
     out = checked.filter(linked(percent)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     if hubs.isEmpty():
         return out

@@ -129,6 +129,81 @@ def test_edited_copies_in_one_large_group(docs_of, rows_of):
                   ) == brute_components(rows)
 
 
+def test_pairs_that_agree_on_empty_segments_only_still_meet():
+    """One difference in every other segment, two in as many as the limit allows."""
+    rng = np.random.default_rng(11)
+    alone = 0
+    for _ in range(600):
+        m = int(rng.integers(2, 60))
+        x = np.unique(rng.integers(0, 1 << 64, int(m * rng.choice([2.7, 4])), np.uint64))
+        at = jaccard.segment_sums(x, m)[1]
+        full = np.flatnonzero(np.diff(at))
+        if len(full) == m:
+            continue
+        twice = set(rng.choice(full, min(len(full), m - 1 - len(full)), replace=False))
+        y = set(x.tolist())
+        for k in full:
+            for _ in range(1 + (k in twice)):
+                inside = [t for t in y if (t >> 32) * m >> 32 == k]
+                if len(inside) > 1 and rng.random() < 0.5:
+                    y.discard(inside[int(rng.integers(len(inside)))])
+                else:
+                    least = -(-(int(k) << 32) // m) << 32
+                    y.add(least + int(rng.integers(1 << 20)))
+        y = np.array(sorted(y), np.uint64)
+        if len(np.setxor1d(x, y)) > m - 1:
+            continue
+        alone += 1
+        (wx, px), (wy, py) = (jaccard.index_of(s, 7, m) for s in (x, y))
+        assert len(np.intersect1d(np.r_[wx, px], np.r_[wy, py]))
+        assert len(np.intersect1d(wx, wy)) or len(np.intersect1d(wx, py)) or len(
+            np.intersect1d(px, wy))
+    assert alone > 200
+
+
+@pytest.mark.parametrize("size", [300, 1200])
+def test_unlike_sets_make_no_pairs_and_no_hubs(spark, docs_of, size):
+    """What a segment without tokens would tie together: nothing, at either size."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(size)]
+    found = jaccard.signatures(docs_of(rows), 1, 80).repartition("sig").sortWithinPartitions(
+        "sig", "c64").mapInArrow(jaccard._runs(80, 16), "kind tinyint, a bigint, b bigint, info bigint")
+    assert found.count() < size / 20
+
+
+def test_bands_reach_any_text():
+    low, _, segments = jaccard.bands(80)
+    assert low[-1] > 1 << 31 and len(low) < 1024
+    assert jaccard.groups_of(80_000_000, 80) and segments[-1] < 1 << 31
+
+
+def test_long_runs_are_cut_into_the_same_rows():
+    """Batches of one row or of all rows name the same pairs and dear rows."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    rows = []
+    for sig, (wholes, parts) in enumerate([(1, 0), (2, 1), (3, 2), (9, 0), (9, 3), (0, 40), (1, 40),
+                                           (30, 0), (30, 30), (2, 5), (1, 4)]):
+        for k in range(wholes + parts):
+            row = (sig, 1000 * sig + k, jaccard._pack(50 + rng.randrange(3), 4, int(k >= wholes)))
+            rows += [row] * rng.choice([1, 1, 2])
+
+    def through(step):
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in zip(*rows[i:i + step], strict=True)],
+            names=["sig", "c64", "info"]) for i in range(0, len(rows), step)]
+        return sorted(tuple(r.values()) for b in jaccard._runs(80, 3)(iter(batches))
+                      for r in b.to_pylist())
+
+    whole = through(len(rows))
+    pairs = {(r[1], r[2]) for r in whole if r[0] == jaccard.PAIR}
+    assert (1000, 1001) in pairs and (1000, 1002) in pairs and (10000, 10003) in pairs
+    assert not any(a // 1000 in (3, 5, 7, 9) for a, _ in pairs)
+    for step in (1, 2, 7, 50):
+        assert through(step) == whole
+
+
 def test_bands_hold_every_pair_that_can_link():
     low, upper, segments = jaccard.bands(90)
     for a in range(1, 400):
