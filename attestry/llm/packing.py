@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 import zlib
@@ -38,7 +39,7 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 CACHED_WORDS = 400_000
 # Texts with longer runs of white space go to the second library: the first one's
-# pattern matcher recurses on them.
+# pattern matcher recurses on them. So do texts that hold an added token of the vocabulary.
 SPACE_RUN = 1000
 
 _TWO_SPACES = re.compile(r"\s\s|\x00")
@@ -58,6 +59,9 @@ class Encoder(dict):
 
         path = public_tokenizers.path
         self._json = path(f"{vocabulary}.json")
+        with open(self._json, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         with open(path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._plain = tiktoken.Encoding(
@@ -75,16 +79,15 @@ class Encoder(dict):
     def _careful(self):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self._json)
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(self._json)
 
     __hash__ = object.__hash__
 
     def ids(self, text: str) -> bytes:
-        if not _TWO_SPACES.search(text):
+        added = self._added.search(text)
+        if not added and not _TWO_SPACES.search(text):
             return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
-        if _LONG_RUN.search(text):
+        if added or _LONG_RUN.search(text):
             return _packed(self._careful().encode(text, add_special_tokens=False).ids)
         return _packed(self._plain(text))
 

@@ -20,7 +20,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -31,7 +30,7 @@ def ids(b: bytes):
 def test_ids_equal_the_reference_tokenizer(spark, reference):
     enc = packing.encoder(packing.VOCABULARY)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    texts += ["", " ", "  a  b", "a \n b", "　x y　 z", "<|endoftext|> a", "it's o'clock's",
+    texts += ["", " ", "  a  b", "a \n b", "　x y　 z", "<|endoftext|> a", "a <|endoftext|>b", "x<|endoftext|><|endoftext|>", "<|endoftext", "it's o'clock's",
               "a\x00b c", "x" * 5000, " " * 3000 + "q", "a\x1c b", "tab\t x", "퟿ é  ñ", "1 22  333"]
     for text in texts:
         assert ids(enc.ids(text)) == reference(text), repr(text[:50])
@@ -43,11 +42,16 @@ def test_ids_equal_on_odd_spacing(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(
         test_ids_equal_on_odd_spacing, "t") else test_ids_equal_on_odd_spacing.t
     test_ids_equal_on_odd_spacing.t = t
-    t.encode_special_tokens = True
     assert ids(packing.encoder(packing.VOCABULARY).ids(text)) == t.encode(
         text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_id(reference):
+    enc = packing.encoder(packing.VOCABULARY)
+    assert ids(enc.ids("<|endoftext|> a")) == reference("<|endoftext|> a")
+    assert 50256 in ids(enc.ids("a b<|endoftext|>c d")) and 50256 not in ids(enc.ids("a endoftext"))
+
+
 def test_only_long_documents_are_cut():
     assert list(packing.cut(1, 4)) == [(0, 1)]
     assert list(packing.cut(4, 4)) == [(0, 4)]
