@@ -68,7 +68,7 @@ def best_capture(captures: DataFrame, keys: list[str], reader: bool = True,
         F.when(use_reader, "reader").when(d.isNotNull(), "direct").alias("method"),
         F.when(text.isNull(), F.coalesce(
             F.col("re") if reader else F.lit(None), F.col("de"),
-            F.lit("no readable text from either tier"))).alias("error"))
+            F.lit("neither capture of the page holds text"))).alias("error"))
 
 
 def audit_pages(captures: DataFrame, keys: list[str]) -> DataFrame:
@@ -309,6 +309,32 @@ def verify(listing: DataFrame, phone: DataFrame, address: DataFrame, pages: Data
         F.col("resource_id"), F.col("found"), F.col("verdict"), site)).drop("found")
 
 
+def verify_many(results: DataFrame, check) -> DataFrame:
+    """A caller's check over verification results; a row it fails on abstains, alone.
+
+    check takes a pandas frame with resource_id, name, org_website, verdict, reason and
+    confidence and returns one with verdict, reason and confidence, row by row. `error` tells
+    what went wrong; such a row keeps no fields and asks for no change.
+    """
+    from attestry.operators.contained import contained
+
+    seen = ["resource_id", "name", "org_website", "verdict", "reason", "confidence"]
+    told = contained(results.select(*seen), check,
+                     "verdict string, reason string, confidence double", ["resource_id"])
+    # Nested columns stay in the JVM: the check never needs them.
+    j = results.drop("verdict", "reason", "confidence").join(told, "resource_id")
+    bad = F.col("error").isNotNull()
+    none = F.array().cast(results.schema["fields"].dataType)
+    return j.select(
+        "resource_id", "name", "org_website",
+        F.when(bad, "abstain").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(bad, F.concat(F.lit("the check failed on this record: "), F.col("error")))
+        .otherwise(F.col("reason")).alias("reason"),
+        F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(bad, none).otherwise(F.col("fields")).alias("fields"),
+        F.when(~bad, F.col("change_request")).alias("change_request"), "error", "tries")
+
+
 def structural_struct(site: Site) -> Column:
     return finding("phone_format", F.col("stored"), F.col("live"),
                    site.listing_url(F.col("listing_id")), F.col("stored"), False,

@@ -55,19 +55,32 @@ def default_scores(field: Column, stored: Column, claim: Column) -> Column:
             .otherwise(F.struct(overlap.alias("support"), F.lit(0.0).alias("contradict"))))
 
 
+RELATIONS = ("supports", "contradicts", "says_nothing")
+# When each relation holds, for the form that spells its options out.
+HOLDS_WHEN = ("the page gives the claimed value or makes it certain",
+              "the page gives another value for it or denies it",
+              "the page is silent on it")
+
+
+def question_kind(form: str) -> str:
+    """The kind of answer a question form asks for."""
+    return {"support": "noul", "contradict": "noul", "relation": "choice", "criteria": "choice",
+            "ordinal": "score"}[form]
+
+
 def question(form: str, claim: Column, levels: int = K.ORDINAL_LEVELS) -> Column:
     """One question as a JSON column, built before any scorer runs."""
-    forms = {
-        "support": ("noul", F.array(F.lit("true"), F.lit("false"))),
-        "contradict": ("noul", F.array(F.lit("true"), F.lit("false"))),
-        "relation": ("choice", F.array(F.lit("supports"), F.lit("contradicts"),
-                                       F.lit("says_nothing"))),
-        "ordinal": ("score", F.transform(F.sequence(F.lit(0), F.lit(levels - 1)),
-                                         lambda i: i.cast("string"))),
-    }
-    kind, options = forms[form]
-    return F.to_json(F.struct(F.lit(kind).alias("type"), F.lit(form).alias("question"),
-                              claim.alias("claim"), options.alias("options")))
+    options = {
+        "noul": F.array(F.lit("true"), F.lit("false")),
+        "choice": F.array(*[F.lit(r) for r in RELATIONS]),
+        "score": F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: i.cast("string")),
+    }[question_kind(form)]
+    if form == "criteria":
+        options = F.array(*[F.struct(F.lit(r).alias("option"), F.lit(w).alias("holds_when"))
+                            for r, w in zip(RELATIONS, HOLDS_WHEN)])
+    return F.to_json(F.struct(F.lit(question_kind(form)).alias("type"),
+                              F.lit(form).alias("question"), claim.alias("claim"),
+                              options.alias("options")))
 
 
 def option_question(claim: Column, options: Column, prefix: str) -> Column:
@@ -220,14 +233,3 @@ def spans(text: Column, width: int | None = None) -> Column:
     return F.transform(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: stripped(s) != ""),
                        lambda s, i: F.struct(i.alias("i"), (
                            s if width is None else F.left(s, F.lit(width))).alias("span")))
-
-
-def support_variants(claim: Column) -> dict[str, Column]:
-    """The question variants compared over identical rows."""
-    return {
-        "baseline": question("relation", claim),
-        "structured_state": question("relation", claim),
-        "structured_all": question("relation", claim),
-        "score": question("ordinal", claim),
-        "noul_pair": F.concat_ws("\n", question("support", claim), question("contradict", claim)),
-    }

@@ -366,11 +366,11 @@ def p39(t):
 
 check_view("tclaim", "listing phone address", f"""
 SELECT listing_id, 'phone' || pos AS key, 'phone' AS field, 0 AS t, pos AS p,
-  'The organisation can be reached on the telephone number ' || trim(number)
+  'Callers reach this organisation on ' || trim(number)
     || CASE WHEN {_LABEL} NOT IN ('', 'Voice') THEN ' (' || {_LABEL} || ')' ELSE '' END || '.'
     AS text, trim(number) AS stored FROM phone WHERE trim(coalesce(number, '')) <> ''
 UNION ALL
-SELECT listing_id, 'addr' || pos, 'address', 1, pos, 'The organisation has a location at '
+SELECT listing_id, 'addr' || pos, 'address', 1, pos, 'This organisation is found at '
   || concat_ws(', ', nullif(trim(address_1), ''), nullif(trim(city), ''),
      nullif(trim(state_province), ''), nullif(trim(postal_code), '')) || '.',
   concat_ws(', ', nullif(trim(address_1), ''), nullif(trim(city), ''),
@@ -397,8 +397,8 @@ _claim_query("p18", "Status claim", "status", lambda t: CL.status_claims(t.listi
 
 @query("p50", "Claim key and sentence per judged row", "tclaim page", """
 SELECT c.listing_id, p.url, c.field || '|' || c.stored AS claim_key,
-  CASE c.field WHEN 'phone' THEN 'The organisation can be reached on the telephone number '
-    || c.stored || '.' ELSE 'The organisation has a location at ' || c.stored || '.' END AS sentence
+  CASE c.field WHEN 'phone' THEN 'Callers reach this organisation on '
+    || c.stored || '.' ELSE 'This organisation is found at ' || c.stored || '.' END AS sentence
 FROM tclaim c JOIN page p ON c.listing_id = p.listing_id WHERE c.field <> 'status'""")
 def p50(t):
     claims = CL.template_claims(t.directory).filter(c("field") != "status")

@@ -1,10 +1,13 @@
 """Stored values against pages: rule findings, verdicts, labels, identity, scorers."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from attestry import constants as K
 from attestry.operators import claims as CL
 from attestry.operators import evidence as E
+from attestry.operators import experiment as EX
 from attestry.operators import review_queue as R
 from attestry.operators import scorers as X
 from attestry.plans.catalog import check_view, query
@@ -268,25 +271,22 @@ def f04(t):
 
 
 @query("e03", "Verification of many: a bad row costs one row", "verified", """
-SELECT resource_id, CASE WHEN bad THEN 'abstain' ELSE verdict END AS verdict, bad
-FROM (SELECT *, coalesce(contains(name, 'BUILDING'), FALSE) AS bad FROM verified)""")
+SELECT resource_id, CASE WHEN bad THEN 'abstain' ELSE verdict END AS verdict,
+  CASE WHEN name IS NULL THEN 'the check failed on this record: AttributeError: '
+      || '''NoneType'' object has no attribute ''split'''
+    WHEN bad THEN 'the check failed on this record: IndexError: list index out of range'
+    ELSE reason END AS reason,
+  CASE WHEN bad THEN 0.0 WHEN number % 2 = 0 THEN confidence / 2 ELSE confidence END AS confidence,
+  CASE WHEN bad THEN '' ELSE fields END AS fields
+FROM (SELECT *, name IS NULL OR NOT contains(name, '#') AS bad,
+  TRY_CAST(regexp_extract(name, '#([0-9]+)', 1) AS BIGINT) AS number FROM verified)""")
 def e03(t):
-    # Names that break a caller's check raise inside its batch; those rows alone abstain.
-    def check(batches):
-        for b in batches:
-            bad = []
-            for name in b["name"]:
-                try:
-                    if name is not None and "BUILDING" in name:
-                        raise ValueError("malformed record")
-                    bad.append(False)
-                except ValueError:
-                    bad.append(True)
-            yield b.assign(bad=bad)[["resource_id", "verdict", "bad"]]
-
-    checked = DirectoryRun(t).verified.select("resource_id", "name", "verdict").mapInPandas(
-        check, "resource_id bigint, verdict string, bad boolean")
-    return checked.withColumn("verdict", F.when(c("bad"), "abstain").otherwise(c("verdict")))
+    # Halves the confidence of even customer numbers. Names without a number break it.
+    def by_number(rows):
+        odd = [int(n.split("#")[1].split(" ")[0]) % 2 == 1 for n in rows["name"]]
+        return rows.assign(confidence=rows["confidence"].where(odd, rows["confidence"] / 2))
+
+    return _result_columns(E.verify_many(DirectoryRun(t).verified, by_number))
 
 
 check_view("merged", "verified triaged defect listing", """
@@ -733,27 +733,115 @@ def x05(t):
         c("s").isNotNull()).select("listing_id", "url", "s.i", "s.span")
 
 
-@query("x06", "Registered scorers over the same rows, long form", "scored", """
-SELECT scorer, count(*) AS rows, count(support) AS answered FROM scored GROUP BY scorer""")
+# The judged rows of an experiment: every benchmark text against every document, by the share
+# of its longer words that the document holds. The forms answer on scales of their own.
+check_view("xpair", "", """
+SELECT CAST(d.doc_id AS VARCHAR) AS url, CAST(b.item_id AS VARCHAR) AS key,
+  contains(d.text, b.text) AS truth, len(list_intersect(b.w, d.w)) / len(b.w) AS o
+FROM (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+    lambda w: length(w) > 3)) AS w FROM documents) d
+CROSS JOIN (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+    lambda w: length(w) > 3)) AS w FROM benchmark) b""")
+check_view("xlong", "xpair", """
+SELECT unnest(['baseline', 'structured_state', 'structured_all', 'score', 'noul_pair']) AS variant,
+  url, key, truth, unnest([o, o, floor(o * 8 + 0.5) / 8, floor(o * 3 + 0.5) / 3, o * o]) AS support,
+  unnest([1 - o, 1 - o, 1 - floor(o * 8 + 0.5) / 8,
+    CASE WHEN floor(o * 3 + 0.5) = 0 THEN 1.0 ELSE 0.0 END, 1 - o * o]) AS contradict
+FROM xpair""")
+
+
+@query("x06", "Registered scorers over the same rows, long form", "xlong", """
+SELECT CASE variant WHEN 'baseline' THEN 'choice' ELSE 'two_noul' END AS scorer,
+  count(*) AS rows, round(sum(support), 4) AS total FROM xlong
+WHERE variant IN ('baseline', 'noul_pair') GROUP BY variant""")
 def x06(t):
-    # A registry entry is a name and a column; the long table carries the name.
-    readers = {"letters": c("support"), "coarse": c("support"), "quantity": c("support"),
-               "discount": c("support")}
-    score = F.coalesce(*[F.when(c("scorer") == n, r) for n, r in readers.items()])
-    return t.scored.withColumn("read", score).groupBy("scorer").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("read").alias("answered"))
-
-
-@query("x07", "Question payloads built before a scorer, too many options flagged", "tclaim", """
-SELECT listing_id, key, '{"type":"choice","question":"relation","claim":"' || text
-  || '","options":["supports","contradicts","says_nothing"]}' AS payload,
-  CASE WHEN p = 0 AND t = 1 THEN '301 options, at most 255' END AS error FROM tclaim""")
+    return experiment(t).scores(EX.READINGS.names()).groupBy("scorer").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("score"), 4).alias("total"))
+
+
+def word_share(state, questions):
+    """Answers by the share of a claim's longer words that the page holds."""
+    import json
+    import re
+
+    def longer(text):
+        return {w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) > 3}
+
+    page = longer(json.loads(state)["page_text"] if state.startswith('{"organisation"') else state)
+    out = {}
+    for name, payload in questions.items():
+        asked = json.loads(payload)
+        claim = longer(asked["claim"])
+        o = len(claim & page) / len(claim)
+        if asked["question"] == "criteria":
+            o = math.floor(o * 8 + 0.5) / 8
+        if asked["type"] == "choice":
+            out[name] = {"choice": "supports" if o > 0.5 else "says_nothing", "confidence": o,
+                         "probabilities": {"supports": o, "contradicts": 1 - o}}
+        elif asked["type"] == "score":
+            level = math.floor(o * 3 + 0.5)
+            out[name] = {"score": float(level), "probabilities": {"0": 0.0 if level else 1.0}}
+        else:
+            out[name] = {"noul": o * o if asked["question"] == "support" else 1 - o * o}
+    return out
+
+
+def experiment(t):
+    """All variants over documents as pages and benchmark texts as claims."""
+    # The benchmark is the stated set of claims, the same for every page.
+    claims = t.benchmark.select(
+        F.lit(0).alias("grp"), c("item_id").cast("string").alias("key"), c("text").alias("claim"),
+        c("item_id").alias("p"))
+    pages = t.documents.select(
+        F.lit(0).alias("grp"), c("doc_id").cast("string").alias("url"), c("source").alias("org"),
+        "text")
+    return EX.run(pages, claims, EX.Scorer("word share", word_share,
+                                           frozenset({"noul", "choice", "score"})))
+
+
+check_view("payload", "tclaim page", """
+SELECT listing_id, key, 'support' AS form, '{"type":"noul","question":"support","claim":"' || text
+  || '","options":["true","false"]}' AS payload FROM tclaim UNION ALL
+SELECT listing_id, key, 'contradict', '{"type":"noul","question":"contradict","claim":"' || text
+  || '","options":["true","false"]}' FROM tclaim UNION ALL
+SELECT listing_id, key, 'relation', '{"type":"choice","question":"relation","claim":"' || text
+  || '","options":["supports","contradicts","says_nothing"]}' FROM tclaim UNION ALL
+SELECT listing_id, key, 'criteria', '{"type":"choice","question":"criteria","claim":"' || text
+  || '","options":[{"option":"supports","holds_when":"the page gives the claimed value or makes '
+  || 'it certain"},{"option":"contradicts","holds_when":"the page gives another value for it or '
+  || 'denies it"},{"option":"says_nothing","holds_when":"the page is silent on it"}]}'
+FROM tclaim UNION ALL
+SELECT listing_id, key, 'ordinal', '{"type":"score","question":"ordinal","claim":"' || text
+  || '","options":["0","1","2","3"]}' FROM tclaim UNION ALL
+SELECT listing_id, url, 'object', '{"organisation":"' || website || '","page_url":"' || url
+  || '","page_text":"' || text || '"}' FROM page UNION ALL
+SELECT listing_id, url, 'text', text FROM page""")
+
+
+@query("x07", "Question payloads and states built before a scorer, too many options flagged",
+       "payload tclaim", """
+SELECT listing_id, key, form, md5(payload) AS payload, NULL::VARCHAR AS error FROM payload
+UNION ALL SELECT listing_id, key, 'options', NULL,
+  CASE WHEN p = 0 AND t = 1 THEN '301 options, at most 255' END FROM tclaim""")
 def x07(t):
+    claims = CL.template_claims(t.directory).select("listing_id", "key", "field", "text")
+    none = F.lit(None).cast("string")
+    forms = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("form"), X.question(f, c("text")).alias("payload"))
+        for f in ("support", "contradict", "relation", "criteria", "ordinal")]))
+    asked = claims.select("listing_id", "key", forms.alias("f")).select(
+        "listing_id", "key", "f.form", "f.payload")
+    states = t.page.select("listing_id", c("url").alias("key"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("form"),
+                 X.state_column(f, c("text"), c("website"), c("url")).alias("payload"))
+        for f in ("object", "text")])).alias("f")).select("listing_id", "key", "f.form",
+                                                          "f.payload")
     # An address claim offers three hundred spans, above what one question may carry.
     n = F.when(c("field") == "address", 300).otherwise(5)
     options = F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("string"))
-    return CL.template_claims(t.directory).select(
-        "listing_id", "key", X.question("relation", c("text")).alias("payload"),
-        X.option_question(c("text"), options, "s")["error"].alias("error"))
-
-
+    flagged = claims.select("listing_id", "key", F.lit("options").alias("form"),
+                            none.alias("payload"),
+                            X.option_question(c("text"), options, "s")["error"].alias("error"))
+    return asked.unionByName(states).select(
+        "listing_id", "key", "form", F.md5("payload").alias("payload"), none.alias("error")
+    ).unionByName(flagged)

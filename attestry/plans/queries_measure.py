@@ -19,6 +19,7 @@ from attestry.plans.queries_columns import (
     sql_case,
     sql_score,
 )
+from attestry.plans.queries_evidence import experiment
 from attestry.session import stored
 
 c = F.col
@@ -393,60 +394,34 @@ def s15(t):
     return _report(saved, CA.split_by_org(saved))
 
 
-# Variants: the same (url, claim) rows scored by several question forms.
-
-check_view("vrow", "", """
-SELECT l_orderkey || '/p' || l_partkey || 's' || l_suppkey || 'q' || CAST(l_quantity AS INT) AS url,
-  l_returnflag || '|' || l_linenumber AS claim_key, 'sup' || l_suppkey AS org_id,
-  l_quantity > 25 AS truth, l_quantity / 50.0 AS q, l_discount * 10 AS d, l_tax * 12.5 AS x,
-  l_linestatus AS st, l_linenumber AS ln FROM lineitem""")
-check_view("vlong", "vrow", """
-SELECT 'baseline' AS variant, url, claim_key, org_id, truth, q AS support, x AS contradict FROM vrow
-UNION ALL SELECT 'structured_state', url, claim_key, org_id, truth, (q + d) / 2, x FROM vrow
-UNION ALL SELECT 'structured_all', url, claim_key, org_id, truth, (3 * q + d) / 4, x FROM vrow
-UNION ALL SELECT 'score', url, claim_key, org_id, truth, least(ln, 3) / 3.0, x FROM vrow
-  WHERE st = 'F'
-UNION ALL SELECT 'noul_pair', url, claim_key, org_id, truth, d, x FROM vrow""")
-
+# Variants: the same (url, claim) rows scored by several question forms; see `experiment`.
 
 def variant_rows(t):
-    """(oracle rows, judged rows): long tables keyed by (url, claim key)."""
-    base = t.lineitem.select(
-        F.concat(c("l_orderkey").cast("string"), F.lit("/p"), c("l_partkey").cast("string"),
-                 F.lit("s"), c("l_suppkey").cast("string"), F.lit("q"),
-                 c("l_quantity").cast("int").cast("string")).alias("url"),
-        F.concat_ws("|", "l_returnflag", c("l_linenumber").cast("string")).alias("claim_key"),
-        F.concat(F.lit("sup"), c("l_suppkey").cast("string")).alias("org_id"),
-        (c("l_quantity") > 25).alias("truth"), (c("l_quantity") / 50.0).alias("q"),
-        (c("l_discount") * 10).alias("d"), (c("l_tax") * 12.5).alias("x"),
-        c("l_linestatus").alias("st"), c("l_linenumber").alias("ln"))
-    oracle = base.select("url", "claim_key", "org_id", "truth")
-
-    def v(name, support):
-        return F.struct(F.lit(name).alias("variant"), support.cast("double").alias("support"))
-
-    judged = base.select("url", "claim_key", c("x").alias("contradict"), F.explode(F.array(
-        v("baseline", c("q")), v("structured_state", (c("q") + c("d")) / 2),
-        v("structured_all", (3 * c("q") + c("d")) / 4),
-        v("score", F.when(c("st") == "F", F.least(c("ln"), F.lit(3)) / 3.0)),
-        v("noul_pair", c("d")))).alias("s")).select(
-        "url", "claim_key", "s.variant", "s.support", "contradict").filter(
-        c("support").isNotNull())
-    return oracle, judged
-
-
-@query("j06", "Judged rows joined with oracle rows on page and claim", "vlong", """
-SELECT variant, truth, count(*) AS n, round(sum(support), 4) AS support FROM vlong GROUP BY 1, 2""")
+    """(oracle rows, judged rows) of the experiment, both long and keyed by (url, key)."""
+    pages = t.documents.select(c("doc_id").cast("string").alias("url"), "text", F.lit(0).alias("g"))
+    claims = t.benchmark.select(c("item_id").cast("string").alias("key"), c("text").alias("claim"),
+                                F.lit(0).alias("g"))
+    # Whole texts meet the stated claims, an array of them per page; only the truth leaves.
+    listed = claims.groupBy("g").agg(F.collect_list(F.struct("key", "claim")).alias("claims"))
+    told = F.transform("claims", lambda x: F.struct(
+        x["key"].alias("key"), F.contains(F.col("text"), x["claim"]).alias("truth")))
+    oracle = pages.join(listed, "g").select("url", F.explode(told).alias("o")).select(
+        "url", c("url").alias("org_id"), "o.key", "o.truth")
+    return oracle, experiment(t).rows
+
+
+@query("j06", "Judged rows joined with oracle rows on page and claim", "xlong", """
+SELECT variant, truth, count(*) AS n, round(sum(support), 4) AS support FROM xlong GROUP BY 1, 2""")
 def j06(t):
     oracle, judged = variant_rows(t)
-    return judged.join(oracle, ["url", "claim_key"]).groupBy("variant", "truth").agg(
+    return judged.join(oracle, ["url", "key"]).groupBy("variant", "truth").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("support"), 4).alias("support"))
 
 
-check_view("vtest", "vlong", """
-SELECT v.* FROM vlong v JOIN (SELECT org_id, row_number() OVER (ORDER BY md5(org_id || ':17'),
-    org_id) <= count(*) OVER () // 2 AS cal FROM (SELECT DISTINCT org_id FROM vlong)) h
-ON v.org_id = h.org_id WHERE NOT cal""")
+check_view("vtest", "xlong", """
+SELECT v.* FROM xlong v JOIN (SELECT url, row_number() OVER (ORDER BY md5(url || ':17'),
+    url) <= count(*) OVER () // 2 AS cal FROM (SELECT DISTINCT url FROM xlong)) h
+ON v.url = h.url WHERE NOT cal""")
 check_view("vrank", "vtest", """
 SELECT variant, truth, rank() OVER (PARTITION BY variant ORDER BY support)
   + (count(*) OVER (PARTITION BY variant, support) - 1) / 2.0 AS r FROM vtest""")
@@ -461,7 +436,7 @@ SELECT a.variant, a.test_rows, round(b.auroc, 6) AS auroc, a.flagged, a.wrong FR
   FROM vrank GROUP BY variant) b ON a.variant = b.variant""")
 def e07(t):
     oracle, judged = variant_rows(t)
-    r = judged.join(oracle, ["url", "claim_key"]).withColumnRenamed("variant", "scorer")
+    r = stored(judged.join(oracle, ["url", "key"]).withColumnRenamed("variant", "scorer"), "rows")
     halves = CA.split_by_org(r)
     rep = CA.report(r, halves)
     accused = CA.accusations(CA.with_half(r, halves).filter(c("half") == "test"), BY, (0.99,))
