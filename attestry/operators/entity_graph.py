@@ -15,8 +15,9 @@ from attestry.operators.directory import Directory
 from attestry.session import cut_lineage, stored
 
 SHARED = ("located_at", "reachable_at")
-# Keys in more key sets than this are counted by subsets instead of pairs.
+# Keys in more key sets than this are counted by bitmaps instead of pairs.
 LIGHT_SETS = 64
+HALF_BUCKET = 1 << 14  # a bitmap has 32,768 bits
 
 
 @dataclass(frozen=True)
@@ -136,33 +137,42 @@ def members(g: Graph, keys: DataFrame) -> DataFrame:
 def _hot_unions(hot: DataFrame) -> DataFrame:
     """(set_id, total): organisations that hold at least one of a set's hot keys.
 
-    `hot` is (set_id, n, hot): hot keys and number of organisations of each key set. The
-    size of a union follows by inclusion-exclusion from the holders of subsets. A subset
-    no other set holds adds nothing, so subsets grow one key at a time from those that
-    several sets hold, and the walk ends where sets have no more hot keys in common.
+    `hot` is (set_id, n, hot): hot keys and number of organisations of each key set. Sets with
+    the same hot keys are one combination. A combination of one key is its key's count. For the
+    others, combinations get places in buckets of bits, and each key a bitmap of its
+    combinations per bucket and binary digit of their counts; the union of a combination's
+    bitmaps, counted and weighed by the digit, is its number of organisations.
     """
-    alike = stored(hot.groupBy("hot").agg(F.sum("n").alias("n")), "hot-sets")
-    level = alike.select("hot", "n", F.posexplode("hot").alias("last", "key")).select(
-        "hot", "n", "last", F.array("key").alias("subset"))
-    gains, sign = [], 1
-    while True:
-        several = level.groupBy("subset").agg(
-            F.count(F.lit(1)).alias("sets"), F.sum("n").alias("holders")).filter("sets > 1")
-        live = stored(level.join(several.select("subset", "holders"), "subset"), "subsets")
-        if live.isEmpty():
-            break
-        gains.append(live.select("hot", ((F.col("holders") - F.col("n")) * sign).alias("gain")))
-        level = live.select("hot", "n", "subset", "last", F.posexplode(
-            F.expr("slice(hot, last + 2, size(hot))")).alias("step", "key")).select(
-            "hot", "n", (F.col("last") + 1 + F.col("step")).alias("last"),
-            F.concat("subset", F.array("key")).alias("subset"))
-        sign = -sign
-    unions = alike.withColumnRenamed("n", "total")
-    if gains:
-        added = reduce(DataFrame.unionByName, gains).groupBy("hot").agg(F.sum("gain").alias("gain"))
-        unions = alike.join(added, "hot", "left").select(
-            "hot", (F.col("n") + F.coalesce("gain", F.lit(0))).alias("total"))
-    return hot.select("set_id", "hot").join(unions, "hot").select("set_id", "total")
+    combos = stored(hot.groupBy("hot").agg(F.sum("n").alias("n")), "hot-sets")
+    held = combos.select("n", F.explode("hot").alias("key"))
+    single = held.groupBy("key").agg(F.sum("n").alias("total"))
+    blocks = max(1, -(-combos.count() // HALF_BUCKET))
+    spot = combos.withColumn("block", F.pmod(F.xxhash64("hot"), F.lit(blocks)))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("hot")) - 1
+    # A block of twice its mean goes on in a bucket of its own.
+    placed = stored(spot.withColumn("place", place).select(
+        "hot", "n", F.struct("block", F.floor(F.col("place") / (2 * HALF_BUCKET)).alias("part"))
+        .alias("bucket"), (F.col("place") % (2 * HALF_BUCKET)).cast("bigint").alias("bit")),
+        "hot-places")
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)),
+                      lambda d: F.call_function("shiftright", F.col("n"), d) % 2 == 1)
+    maps = stored(placed.select("bucket", "bit", F.explode("hot").alias("key"), digits.alias("d"))
+                  .select("bucket", "bit", "key", F.explode("d").alias("digit"))
+                  .groupBy("key", "bucket", "digit").agg(
+        F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits")), "hot-maps")
+    asked = placed.filter(F.size("hot") > 1).select(
+        F.struct("bucket", "bit").alias("combo"), F.explode("hot").alias("key"))
+    united = asked.join(maps, "key").groupBy("combo", "bucket", "digit").agg(
+        F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
+    weight = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("digit"))
+    totals = united.groupBy("combo").agg(
+        F.sum(F.call_function("bitmap_count", F.col("bits")) * weight).alias("total"))
+    several = placed.select("hot", F.struct("bucket", "bit").alias("combo")).join(
+        totals, "combo").select("hot", "total")
+    alone = combos.filter(F.size("hot") == 1).select("hot", F.col("hot")[0].alias("key")).join(
+        single, "key").select("hot", "total")
+    return hot.select("set_id", "hot").join(several.unionByName(alone), "hot").select(
+        "set_id", "total")
 
 
 def sibling_counts(g: Graph, light: int = LIGHT_SETS) -> DataFrame:
@@ -171,8 +181,8 @@ def sibling_counts(g: Graph, light: int = LIGHT_SETS) -> DataFrame:
     Organisations with the same shared keys are one key set and are counted once. A key in
     at most `light` key sets lists the pairs of those sets. A hot key, such as a switchboard
     shared by a third of the directory, lists none: how many organisations hold any of a
-    set's hot keys follows by inclusion-exclusion from grouped counts, hot keys with the
-    same holders being one. Pairs that also share a hot key are left to that count.
+    set's hot keys is the size of a union of bitmaps, hot keys with the same holders being
+    one. Pairs that also share a hot key are left to that count.
     """
     held = g.edges.filter(F.col("rel").isin(*SHARED)).select("src", "dst").distinct()
     shared_keys = held.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -95,7 +95,7 @@ GROUP BY a.src""")
 @query("j12", "Organisations sharing a contact, counted per organisation", "siblings",
        "SELECT org_id, n_siblings FROM siblings")
 def j12(t):
-    return G.sibling_counts(graph(t)).filter("n_siblings > 0")
+    return G.sibling_counts(graph(t).saved()).filter("n_siblings > 0")
 
 
 check_view("radius", "listing service siblings", """
@@ -108,7 +108,7 @@ FROM listing l LEFT JOIN (SELECT listing_id, count(DISTINCT service_id) AS n FRO
 @query("g03", "Blast radius of every organisation", "radius",
        "SELECT org_id, n_services, n_siblings, size FROM radius")
 def g03(t):
-    return G.blast_radius(graph(t))
+    return G.blast_radius(graph(t).saved())
 
 
 def seeds(t):
@@ -192,8 +192,8 @@ def g05(t):
 
 
 @query("j14", "Edges with both ends kept", "kept edge", """
-SELECT src AS source, dst AS target, rel FROM edge
-WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)""")
+SELECT e.src AS source, e.dst AS target, e.rel FROM edge e
+JOIN kept a ON e.src = a.id JOIN kept b ON e.dst = b.id""")
 def j14(t):
     g = graph(t).saved()
     return G.subgraph(g, focus(g)).edges
@@ -210,11 +210,11 @@ SELECT id, tier, pin, dist FROM (
   UNION ALL SELECT id, 1, 0, dist FROM near WHERE id NOT IN (SELECT id FROM pin))""")
 
 
-def _pins_with_pos(g):
+def _pins_with_pos(g, cap=K.SUBGRAPH_CAP):
     from pyspark.sql.window import Window
 
-    # At most fifteen groups are published, so their members fit one ranking.
-    return pinned(g).select("id", F.row_number().over(Window.orderBy("o")).alias("pos"))
+    # A pin beyond cap + 1 can neither be kept nor change the truncated flag.
+    return pinned(g).orderBy("o").limit(cap + 1).select("id", F.row_number().over(Window.orderBy("o")).alias("pos"))
 
 
 @query("w11", "Node cap with pinned nodes first", "ordered", f"""
@@ -230,7 +230,7 @@ SELECT id, row_number() OVER (ORDER BY tier, pin, dist, id) AS pos FROM ordered
 QUALIFY pos <= 5000""")
 def u03(t):
     g = graph(t).saved()
-    return G.subgraph(g, focus(g), cap=5000, pinned=_pins_with_pos(g)).nodes.select(
+    return G.subgraph(g, focus(g), cap=5000, pinned=_pins_with_pos(g, 5000)).nodes.select(
         "id", "pos")
 
 

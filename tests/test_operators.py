@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from attestry import constants as K
@@ -333,6 +335,27 @@ def test_sibling_counts_with_many_keys_and_a_shared_switchboard(spark):
         assert got == brute_siblings(edges)
 
 
+@pytest.mark.parametrize("bucket", [1 << 14, 4])
+def test_sibling_counts_when_many_hot_keys_are_shared(spark, monkeypatch, bucket):
+    """Subsets of thirty shared keys would be a thousand million rows."""
+    monkeypatch.setattr(G, "HALF_BUCKET", bucket)
+    rnd = random.Random(8)
+    edges = {(f"org:{o}", f"tel:{k}") for o in range(12) for k in range(30) if rnd.random() < 0.9}
+    edges |= {(f"org:{o}", f"tel:{k}") for o in (20, 21) for k in range(30)}
+    edges |= {("org:21", "tel:own"), ("org:20", "tel:more")}
+    # Combinations that several organisations share, and some with a single key.
+    edges |= {(f"org:{30 + i}", f"tel:{k}") for i in range(20) for k in (i % 3, 29)}
+    edges |= {(f"org:{60 + i}", f"tel:{i % 5}") for i in range(25)}
+    nodes = spark.createDataFrame([(f"org:{i}", "org", str(i), None) for i in range(90)],
+                                  "id string, kind string, name string, value string")
+    g = G.Graph(nodes, spark.createDataFrame(
+        [(o, k, "reachable_at") for o, k in edges], "src string, dst string, rel string"))
+    for light in (64, 3, 0):
+        got = {r["org_id"]: r["n_siblings"] for r in G.sibling_counts(g, light).collect()
+               if r["n_siblings"]}
+        assert got == brute_siblings(edges)
+
+
 def graph(spark):
     d = directory(
         spark, [org(1, "A"), org(2, None), org(3, "A"), org(4, "B")],
