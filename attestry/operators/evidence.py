@@ -432,19 +432,18 @@ def identity(anchors: DataFrame, pages: DataFrame) -> DataFrame:
     Returns listing_id, belongs, anchor_kind, anchor_value, anchor_url. A
     listing without anchors cannot be doubted.
     """
-    prepared = pages.select("listing_id", "pos", "url", F.lower("text").alias("low"),
-                            raw_digits(F.col("text")).alias("digits"))
+    # One pass over the pages: every page meets its listing's anchors, if there are any.
     shown = F.when(F.col("kind") == "phone", F.contains(F.col("digits"), F.col("value"))
                    ).otherwise(F.contains(F.col("low"), F.lower("value")))
-    best = (prepared.join(anchors, "listing_id").filter(shown).groupBy("listing_id").agg(
-        F.min(F.struct("rank", "pos", "ord", "kind", "value", "url")).alias("b")))
-    judged = pages.select("listing_id").distinct()
-    anchored = anchors.select("listing_id").distinct().withColumn("anchored", F.lit(True))
-    return (judged.join(anchored, "listing_id", "left").join(best, "listing_id", "left")
-            .select("listing_id",
-                    (F.col("anchored").isNull() | F.col("b").isNotNull()).alias("belongs"),
-                    F.col("b.kind").alias("anchor_kind"), F.col("b.value").alias("anchor_value"),
-                    F.col("b.url").alias("anchor_url")))
+    met = pages.select("listing_id", "pos", "url", F.lower("text").alias("low"),
+                       raw_digits(F.col("text")).alias("digits")).join(
+        anchors, "listing_id", "left").groupBy("listing_id").agg(
+        F.count("kind").alias("anchored"),
+        F.min(F.when(shown, F.struct("rank", "pos", "ord", "kind", "value", "url"))).alias("b"))
+    return met.select(
+        "listing_id", ((F.col("anchored") == 0) | F.col("b").isNotNull()).alias("belongs"),
+        F.col("b.kind").alias("anchor_kind"), F.col("b.value").alias("anchor_value"),
+        F.col("b.url").alias("anchor_url"))
 
 
 # ---------------------------------------------------------------- audit

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql.window import Window
 from attestry import constants as K
 from attestry.functions import urls as U
 from attestry.functions.scoring import moment
-from attestry.session import cut_lineage
+from attestry.session import cut_lineage, stored
 
 
 def first_per(df: DataFrame, keys: list[str], order: Column, limit: int | None = None,
@@ -295,26 +297,38 @@ def candidate_pages(listings: DataFrame, ranked: DataFrame,
     return once.select("listing_id", F.row_number().over(w).alias("pos"), "url")
 
 
-def gather_evidence(pages: DataFrame, max_fetches: int = K.MAX_FETCHES) -> DataFrame:
+def evidence_flags(text: Column) -> dict[str, Column]:
+    """What a page contributes to stopping: a readable number, closure notice, opening hours."""
+    usable = F.coalesce(F.length(text) >= K.MIN_VERIFY_CHARS, F.lit(False))
+    return {"usable": usable, **{
+        f"{name}_here": usable & F.coalesce(text.rlike(pattern), F.lit(False))
+        for name, pattern in (("phone", K.PHONE_RE), ("closure", K.CLOSURE_RE),
+                              ("hours", K.HOURS_RE))}}
+
+
+def gather_evidence(candidates: DataFrame, read: Callable[[DataFrame], DataFrame],
+                    max_fetches: int | None = K.MAX_FETCHES) -> DataFrame:
     """Pages read before enough was seen: (listing_id, pos, url, text, usable, seen flags).
 
-    pages: listing_id, pos, url, text. Reading stops after a closure notice, or
-    once both a phone number and opening hours have appeared.
+    candidates: listing_id, pos from 1 on, url; read turns some of them into the same rows
+    with text. A frontier moves from position to position: only listings still undecided are
+    read at the next one, so the text read falls with those settled early. A listing is
+    settled by a closure notice, or once both a phone number and opening hours have appeared.
     """
-    usable = F.coalesce(F.length("text") >= K.MIN_VERIFY_CHARS, F.lit(False))
-    capped = first_per(pages, ["listing_id"], F.col("pos"), max_fetches)
-    flagged = capped.withColumns({
-        "usable": usable,
-        "phone_here": usable & F.col("text").rlike(K.PHONE_RE),
-        "closure_here": usable & F.col("text").rlike(K.CLOSURE_RE),
-        "hours_here": usable & F.col("text").rlike(K.HOURS_RE)})
-    before = Window.partitionBy("listing_id").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, -1)
-
-    def seen(flag: str) -> Column:
-        return F.coalesce(F.max(flag).over(before), F.lit(False))
-
-    stop = seen("closure_here") | (seen("phone_here") & seen("hours_here"))
-    return (flagged.withColumn("stop", stop).filter(~F.col("stop"))
-            .select("listing_id", "pos", "url", "text", "usable", "phone_here", "closure_here",
-                    "hours_here"))
+    last = max_fetches if max_fetches is not None else (
+        candidates.agg(F.max("pos")).first()[0] or 0)
+    parts, seen, undecided = [], None, None
+    for pos in range(1, max(1, last) + 1):
+        frontier = candidates.filter(F.col("pos") == pos)
+        if undecided is not None:
+            frontier = frontier.join(undecided, "listing_id", "left_semi")
+        part = stored(read(frontier).select("listing_id", "pos", "url", "text").withColumns(
+            evidence_flags(F.col("text"))), "gathered")
+        parts.append(part)
+        flags = part.select("listing_id", *(f"{n}_here" for n in ("phone", "closure", "hours")))
+        seen = flags if seen is None else seen.unionByName(flags)
+        told = seen.groupBy("listing_id").agg(*[
+            F.max(f"{n}_here").alias(n) for n in ("phone", "closure", "hours")])
+        undecided = told.filter(~(F.col("closure") | (F.col("phone") & F.col("hours")))).select(
+            "listing_id")
+    return reduce(DataFrame.unionByName, parts)

@@ -117,16 +117,6 @@ def judge_pages(claims: DataFrame, pages: DataFrame,
     scorer(page_text, claims) with a list of dicts and returns one (support,
     contradict) pair per claim; a page's text travels to Python once.
     """
-    if scorer is None:
-        scored = claims.select("listing_id", "key", "field", "stored",
-                               F.col("text").alias("claim")).join(
-            page_features(pages), "listing_id")
-        s = default_scores(F.col("field"), F.col("stored"), F.col("claim"))
-        return scored.select("listing_id", "key", "field", "stored", "url", "pos", "lastmod",
-                             s.alias("s")).filter(F.col("s").isNotNull()).select(
-            "listing_id", "key", "field", "stored", "url", "pos", "lastmod", "s.support",
-            "s.contradict")
-
     # Claims are packed in chunks of bounded size by their position, so a listing
     # with very many claims becomes many requests instead of one oversized row.
     chunked = claims.groupBy(
@@ -134,6 +124,17 @@ def judge_pages(claims: DataFrame, pages: DataFrame,
         F.floor(F.col("ord.p") / CHUNK).alias("chunk")).agg(
         F.collect_list(F.struct("key", "field", "stored", F.col("text").alias("claim")))
         .alias("claims")).select("listing_id", "claims")
+    if scorer is None:
+        # A page's text meets an array of claims; only keys and scores leave the row.
+        scores = F.transform("claims", lambda x: F.struct(
+            x["key"].alias("key"), x["field"].alias("field"), x["stored"].alias("stored"),
+            default_scores(x["field"], x["stored"], x["claim"]).alias("s")))
+        return page_features(pages).join(chunked, "listing_id").select(
+            "listing_id", "url", "pos", "lastmod", F.explode(scores).alias("c")).filter(
+            F.col("c.s").isNotNull()).select(
+            "listing_id", "c.key", "c.field", "c.stored", "url", "pos", "lastmod",
+            "c.s.support", "c.s.contradict")
+
     requests = pages.select("listing_id", "pos", "url", "lastmod", "text").join(
         chunked, "listing_id")
     answered = stored(requests.mapInPandas(

@@ -7,6 +7,7 @@ pages of the listing's site and for the services it offers.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,30 @@ _SLUG = """CASE l.l_linenumber WHEN 1 THEN '?v=' WHEN 2 THEN 'contact/' WHEN 3 T
 _PAGE_ID = """'p' || CAST(l.l_partkey AS STRING) || 's' || CAST(l.l_suppkey AS STRING) || 'q'
   || CAST(CAST(l.l_quantity AS INT) AS STRING)"""
 
+
+def _bare(sql: str) -> str:
+    """SQL over the tables o, l, n, r, p as SQL over page_row."""
+    return re.sub(r"\b[olnrp]\.(?=[olnrp]_)", "", sql)
+
+
+_PAGE_KEY = _bare(f"""o.o_orderkey AS listing_id, {_SITE} AS website,
+  CASE WHEN l.l_linestatus = 'F' AND {_DISC} = 0 THEN 'https://cdn.partner.org/' ELSE {_SITE} END
+    || {_SLUG} || {_PAGE_ID} AS url,
+  CASE WHEN l.l_linestatus = 'O' THEN {_DAY.format('l.l_shipdate')} ELSE NULL END AS lastmod""")
+_PAGE_TEXT = _bare(f"""'Welcome to part ' || CAST(l.l_partkey AS STRING) || '. '
+  || CASE WHEN l.l_returnflag = 'A' THEN 'Call us on 415.' || {_MID} || '.' || {_END} || '. '
+          WHEN l.l_returnflag = 'N' THEN 'Call (628) ' || lpad(CAST(l.l_suppkey AS STRING), 3, '0')
+            || '-' || lpad(CAST(l.l_partkey AS STRING), 4, '0') || ' for help. '
+          ELSE '' END
+  || CASE WHEN {_TAX} = 1 THEN 'The director relocated to the coast last spring. '
+          WHEN {_TAX} = 2 AND l.l_linestatus = 'F' THEN 'Our office has closed for the season. '
+          WHEN {_TAX} = 3 AND l.l_linestatus = 'F' THEN 'This pantry is permanently closed. '
+          WHEN {_TAX} = 4 THEN 'var cfg = app.events.modal; has closed => flag. ' ELSE '' END
+  || CASE WHEN {_DISC} > 6 THEN 'Visit ' || {_STREET} || ', ' || r.r_name || ' ' || {_ZIP} || '. '
+          WHEN {_DISC} > 4 THEN 'Serving ' || r.r_name || '. ' ELSE '' END
+  || CASE WHEN {_TAX} > 5 THEN 'Open Monday to Friday. ' ELSE '' END
+  || repeat('We offer ' || p.p_name || ' support. ', CAST(l.l_quantity AS INT))""")
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "listing": (("orders", "customer", "nation"), f"""
 SELECT o.o_orderkey AS id,
@@ -109,29 +134,17 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey"""),
 SELECT l.l_orderkey AS listing_id, CAST(l.l_linenumber AS STRING) AS day,
   CAST(l.l_quantity AS INT) * 48 AS opens_at, CAST(l.l_suppkey % 24 AS INT) * 100 AS closes_at
 FROM {lineitem} l WHERE l.l_returnflag = 'N'"""),
-    "page": (("lineitem", "orders", "customer", "nation", "region", "part"), f"""
-SELECT o.o_orderkey AS listing_id, {_SITE} AS website,
-  CASE WHEN l.l_linestatus = 'F' AND {_DISC} = 0 THEN 'https://cdn.partner.org/' ELSE {_SITE} END
-    || {_SLUG} || {_PAGE_ID} AS url,
-  CASE WHEN l.l_linestatus = 'O' THEN {_DAY.format('l.l_shipdate')} ELSE NULL END AS lastmod,
-  'Welcome to part ' || CAST(l.l_partkey AS STRING) || '. '
-  || CASE WHEN l.l_returnflag = 'A' THEN 'Call us on 415.' || {_MID} || '.' || {_END} || '. '
-          WHEN l.l_returnflag = 'N' THEN 'Call (628) ' || lpad(CAST(l.l_suppkey AS STRING), 3, '0')
-            || '-' || lpad(CAST(l.l_partkey AS STRING), 4, '0') || ' for help. '
-          ELSE '' END
-  || CASE WHEN {_TAX} = 1 THEN 'The director relocated to the coast last spring. '
-          WHEN {_TAX} = 2 AND l.l_linestatus = 'F' THEN 'Our office has closed for the season. '
-          WHEN {_TAX} = 3 AND l.l_linestatus = 'F' THEN 'This pantry is permanently closed. '
-          WHEN {_TAX} = 4 THEN 'var cfg = app.events.modal; has closed => flag. ' ELSE '' END
-  || CASE WHEN {_DISC} > 6 THEN 'Visit ' || {_STREET} || ', ' || r.r_name || ' ' || {_ZIP} || '. '
-          WHEN {_DISC} > 4 THEN 'Serving ' || r.r_name || '. ' ELSE '' END
-  || CASE WHEN {_TAX} > 5 THEN 'Open Monday to Friday. ' ELSE '' END
-  || repeat('We offer ' || p.p_name || ' support. ', CAST(l.l_quantity AS INT)) AS text
-FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
-JOIN {{customer}} c ON o.o_custkey = c.c_custkey
-JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey
-JOIN {{region}} r ON n.n_regionkey = r.r_regionkey
-JOIN {{part}} p ON l.l_partkey = p.p_partkey"""),
+    # A page before its columns are put together: what they are made of.
+    "page_row": (("lineitem", "orders", "customer", "nation", "region", "part"), """
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, n.n_name, n.n_nationkey, r.r_name, p.p_name,
+  l.l_linenumber, l.l_linestatus, l.l_returnflag, l.l_discount, l.l_tax, l.l_quantity,
+  l.l_partkey, l.l_suppkey, l.l_shipdate
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+JOIN {customer} c ON o.o_custkey = c.c_custkey
+JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+JOIN {region} r ON n.n_regionkey = r.r_regionkey
+JOIN {part} p ON l.l_partkey = p.p_partkey"""),
+    "page": (("page_row",), f"SELECT {_PAGE_KEY}, {_PAGE_TEXT} AS text FROM {{page_row}}"),
     # The same pages as two capture tiers: a direct read that is often a shell,
     # and a rendered one that sometimes fails.
     "capture": (("page",), """
@@ -273,11 +286,29 @@ class Tables:
                 self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in VIEWS:
                 deps, sql = VIEWS[name]
-                self._cache[name] = self.spark.sql(sql, **{d: getattr(self, d) for d in deps})
+                df = self.spark.sql(sql, **{d: getattr(self, d) for d in deps})
+                # Pages are dealt by listing while they are narrow: what follows joins and
+                # groups by listing, so no text is moved.
+                self._cache[name] = df.repartition("o_orderkey") if name == "page_row" else df
             else:
                 raise AttributeError(name)
         return self._cache[name]
 
+    @cached_property
+    def page_key(self) -> DataFrame:
+        """Pages without their text: listing_id, website, url, lastmod and what makes the text."""
+        return self.spark.sql(f"SELECT *, {_PAGE_KEY} FROM {{page_row}}", page_row=self.page_row)
+
+    def with_text(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Some rows of page_key with their text."""
+        return rows.selectExpr(*columns, f"{_PAGE_TEXT} AS text")
+
+    def captures(self, wanted: DataFrame) -> DataFrame:
+        """Captures of the wanted (listing_id, url) only."""
+        rows = self.page_key.join(wanted.select("listing_id", "url").distinct(),
+                                  ["listing_id", "url"], "left_semi")
+        return self.spark.sql(VIEWS["capture"][1], page=self.with_text(rows, "listing_id", "url"))
+
     @cached_property
     def directory(self):
         from attestry.operators.directory import Directory

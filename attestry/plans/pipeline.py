@@ -32,54 +32,72 @@ class DirectoryRun:
         return I.site_rules(self.t.robots_body).groupBy("website").agg(
             F.max("disallow").alias("disallow"))
 
+    @cached_property
+    def site_rows(self) -> DataFrame:
+        """Pages of each listing's own site that its robots rules allow, without their text."""
+        own = self.t.page_key.filter(U.same_site(F.col("url"), F.col("website")))
+        return (own.join(self._rules, "website", "left")
+                .filter(U.robots_allow(F.col("url"), F.col("disallow"))).drop("disallow")
+                .repartition("listing_id"))
+
     @cached_property
     def site_pages(self) -> DataFrame:
-        """Pages of each listing's own site that its robots rules allow."""
-        rules = self._rules
-        own = self.t.page.filter(U.same_site(F.col("url"), F.col("website")))
-        return (own.join(rules, "website", "left")
-                .filter(U.robots_allow(F.col("url"), F.col("disallow")))
-                .select("listing_id", "website", "url", "lastmod", "text"))
+        return self.t.with_text(self.site_rows, "listing_id", "website", "url", "lastmod")
+
+    def read(self, wanted: DataFrame) -> DataFrame:
+        """Wanted (listing_id, pos, url) with their text; only these are put together."""
+        rows = self.site_rows.join(wanted.select("listing_id", "url"), ["listing_id", "url"],
+                                   "left_semi")
+        return wanted.join(self.t.with_text(rows, "listing_id", "url"), ["listing_id", "url"],
+                           "left")
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return I.rank_pages(self.site_pages, ("phone", "address", "status"), self.as_of,
+        return I.rank_pages(self.site_rows, ("phone", "address", "status"), self.as_of,
                             K.RANK_LIMIT, key="listing_id")
 
+    def gather(self, listing: DataFrame) -> DataFrame:
+        """Pages read for the rule check of some listings, in order, until enough was seen."""
+        listed = listing.filter(F.col("website").isNotNull()).select(
+            F.col("id").alias("listing_id"), "website")
+        rows = self.site_rows.join(listing.select(F.col("id").alias("listing_id")), "listing_id",
+                                   "left_semi")
+        phone = stored(I.rank_pages(rows, ("phone",), self.as_of, K.MAX_FETCHES + 2,
+                                    key="listing_id"), "ranked")
+        wanted = I.candidate_pages(listed, phone).filter(F.col("pos") <= K.MAX_FETCHES)
+        return I.gather_evidence(stored(wanted, "candidates"), self.read)
+
     @cached_property
     def gathered(self) -> DataFrame:
-        """Pages read for the rule check, in order, until enough was seen."""
-        phone = stored(I.rank_pages(self.site_pages, ("phone",), self.as_of, K.MAX_FETCHES + 2,
-                                    key="listing_id"), "ranked")
-        listed = self.d.listing.filter(F.col("website").isNotNull()).select(
-            F.col("id").alias("listing_id"), "website")
-        wanted = I.candidate_pages(listed, phone)
-        # Only the pages that will be read bring their text.
-        texts = self.site_pages.select("listing_id", "url", "text")
-        # Phone, closure and address evidence each scan these few pages per listing.
-        return stored(I.gather_evidence(wanted.filter(F.col("pos") <= K.MAX_FETCHES).join(texts, ["listing_id", "url"], "left")),
-                      "gathered")
+        return self.gather(self.d.listing)
 
     @cached_property
     def structural(self) -> DataFrame:
         return S.structural_findings(self.d.phone)
 
+    def verify(self, listing: DataFrame, gathered: DataFrame) -> DataFrame:
+        pages = gathered.filter("usable").select("listing_id", "pos", "url", "text")
+        mine = listing.select(F.col("id").alias("listing_id"))
+        phone, address, structural = (df.join(mine, "listing_id", "left_semi") for df in (
+            self.d.phone, self.d.address, self.structural))
+        return E.verify(listing, phone, address, pages, structural)
+
     @cached_property
     def verified(self) -> DataFrame:
-        pages = self.gathered.filter("usable").select("listing_id", "pos", "url", "text")
-        return E.verify(self.d.listing, self.d.phone, self.d.address, pages, self.structural)
+        return self.verify(self.d.listing, self.gathered)
 
     @cached_property
     def results(self) -> DataFrame:
-        """Checked listings with the whole corpus's structural findings merged in."""
-        checked = self.verified.join(R.triage(self.d.listing, self.as_of).select(
-            F.col("id").alias("resource_id")), "resource_id", "left_semi")
+        """Triaged listings checked, with the whole corpus's structural findings merged in."""
+        worth = R.triage(self.d.listing, self.as_of).select("id")
+        triaged = stored(self.d.listing.join(worth, "id", "left_semi"), "triaged")
+        checked = self.verify(triaged, self.gather(triaged))
         approved = self.d.listing.filter(F.col("status") == "approved")
         return E.merge_structural(checked, self.structural, approved)
 
     @cached_property
     def graph(self) -> G.Graph:
-        return G.build(self.d)
+        return G.build(self.d).saved()
 
     @cached_property
     def queue(self) -> DataFrame:
@@ -108,7 +126,9 @@ class DirectoryRun:
         listed = self.d.listing.filter(F.col("website").isNotNull()).select(
             F.col("id").alias("listing_id"), U.origin(F.col("website")).alias("origin"))
         chosen = I.select_pages(listed, C.claim_fields(self.claims), self.ranked)
-        texts = E.audit_pages(self.t.capture, ["listing_id", "url"])
+        chosen = stored(chosen, "chosen")
+        # Captures of the chosen pages only are compared.
+        texts = E.audit_pages(self.t.captures(chosen), ["listing_id", "url"])
         return stored(chosen.join(texts, ["listing_id", "url"]).select(
             "listing_id", "pos", "url", "lastmod", "text", "method"), "audit-pages")
 
@@ -118,7 +138,7 @@ class DirectoryRun:
 
     def audited(self, scorer=None, available: bool = True):
         rules = self._rules
-        sizes = self.site_pages.groupBy("website").agg(F.count_distinct("url").alias("pages"))
+        sizes = self.site_rows.groupBy("website").agg(F.count_distinct("url").alias("pages"))
         inv = (self.d.listing.select(F.col("id").alias("listing_id"), "website")
                .join(rules.select("website", F.array_contains("disallow", "/").alias("denied")),
                      "website", "left").join(sizes, "website", "left")

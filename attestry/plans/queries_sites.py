@@ -251,7 +251,7 @@ GROUP BY listing_id, url)""")
 
 def candidates(t):
     run = DirectoryRun(t)
-    phone = I.rank_pages(run.site_pages, ("phone",), AS_OF, K.MAX_FETCHES + 2, key="listing_id")
+    phone = I.rank_pages(run.site_rows, ("phone",), AS_OF, K.MAX_FETCHES + 2, key="listing_id")
     listed = t.listing.filter(c("website").isNotNull()).select(c("id").alias("listing_id"),
                                                                "website")
     return I.candidate_pages(listed, phone)
@@ -294,19 +294,12 @@ FROM flagged WINDOW w AS (PARTITION BY listing_id ORDER BY pos)""")
 def a22(t):
     from pyspark.sql.window import Window
 
-    run = DirectoryRun(t)
-    texts = run.site_pages.select("listing_id", "url", "text")
-    pages = candidates(t).filter(c("pos") <= K.MAX_FETCHES).join(texts, ["listing_id", "url"],
-                                                                 "left")
-    usable = F.coalesce(F.length("text") >= K.MIN_VERIFY_CHARS, F.lit(False))
+    # Flags of a page leave, its text does not.
+    pages = DirectoryRun(t).read(candidates(t).filter(c("pos") <= K.MAX_FETCHES)).select(
+        "listing_id", "pos", *[f.alias(n) for n, f in I.evidence_flags(c("text")).items()])
     upto = Window.partitionBy("listing_id").orderBy("pos")
-
-    def seen(pattern):
-        return F.max(usable & F.coalesce(c("text").rlike(pattern), F.lit(False))).over(upto)
-
-    return pages.select("listing_id", "pos", seen(K.PHONE_RE).alias("phone_seen"),
-                        seen(K.CLOSURE_RE).alias("closure_seen"),
-                        seen(K.HOURS_RE).alias("hours_seen"))
+    return pages.select("listing_id", "pos", *[
+        F.max(f"{n}_here").over(upto).alias(f"{n}_seen") for n in ("phone", "closure", "hours")])
 
 
 @query("f03", "Readable pages per listing at each length", "page", """
