@@ -11,6 +11,7 @@ from attestry.functions import scoring as SC
 from attestry.functions import text as T
 from attestry.functions import urls as U
 from attestry.operators import claims as CL
+from attestry.operators import containment as CN
 from attestry.operators import entity_graph as G
 from attestry.operators import evidence as E
 from attestry.operators import freshness as FR
@@ -560,31 +561,20 @@ def sql_addr_on_page(stored: str, page: str) -> str:
 SELECT listing_id, key, url, {sql_on_page('stored', 'text')} AS on_page FROM claim_page
 WHERE field = 'phone'""")
 def p30(t):
-    return _claims_by_page(t, "phone").select("listing_id", "key", "url", C.phone_in_digits(
-        c("stored"), c("digits")).alias("on_page"))
+    return CN.truth_rows(claim_needles(t, "phone"), t.page)
 
 
-def _claims_by_page(t, field=None):
+def claim_needles(t, field=None):
+    """What decides each template claim; see operators.containment."""
     claims = CL.template_claims(t.directory).select("listing_id", "key", "field", "stored")
-    if field:
-        claims = claims.filter(c("field") == field)
-    # Digits and lower case belong to the page, so they are worked out before the join.
-    pages = t.page.select("listing_id", "url", "text", C.raw_digits(c("text")).alias("digits"),
-                          F.lower("text").alias("low"))
-    return claims.join(pages, "listing_id")
-
-
-def oracle_truth():
-    """The oracle over rows of _claims_by_page()."""
-    return C.oracle(c("field"), c("stored"), c("text"), c("digits"), c("low"))
+    return CN.needles(claims.filter(c("field") == field) if field else claims)
 
 
 @query("p31", "Address oracle, three-valued", "claim_page", f"""
 SELECT listing_id, key, url, {sql_addr_on_page('stored', 'text')} AS on_page FROM claim_page
 WHERE field = 'address'""")
 def p31(t):
-    return _claims_by_page(t, "address").select("listing_id", "key", "url", C.address_on_page(
-        c("stored"), c("text"), c("low")).alias("on_page"))
+    return CN.truth_rows(claim_needles(t, "address"), t.page)
 
 
 check_view("oracle_row", "claim_page", f"""
@@ -596,8 +586,8 @@ SELECT listing_id, key, field, stored, url, CASE field WHEN 'phone' THEN
 @query("p32", "Oracle by field", "oracle_row", """
 SELECT field, truth, count(*) AS n FROM oracle_row GROUP BY field, truth""")
 def p32(t):
-    rows = _claims_by_page(t)
-    return rows.select("field", oracle_truth().alias("truth")).groupBy("field", "truth").agg(F.count(F.lit(1)).alias("n"))
+    return CN.counts(claim_needles(t), t.page).groupBy("field", "truth").agg(
+        F.sum("n").alias("n"))
 
 
 def answers(t):

@@ -13,7 +13,6 @@ from attestry.operators import scorers as X
 from attestry.plans.catalog import check_view, query
 from attestry.plans.pipeline import DirectoryRun
 from attestry.plans.queries_columns import (
-    _claims_by_page,
     q,
     sql_addr_on_page,
     sql_digits,
@@ -160,7 +159,9 @@ def j04(t):
 @query("j05", "Claims against pages of the same listing", "claim_page", """
 SELECT listing_id, key, url, length(text) AS chars FROM claim_page""")
 def j05(t):
-    return _claims_by_page(t).select("listing_id", "key", "url", F.length("text").alias("chars"))
+    pages = t.page.select("listing_id", "url", F.length("text").alias("chars"))
+    return CL.template_claims(t.directory).select("listing_id", "key").join(
+        pages, "listing_id").select("listing_id", "key", "url", "chars")
 
 
 # ---------------------------------------------------------------- verdicts of the rule check

@@ -8,12 +8,12 @@ from attestry import constants as K
 from attestry.functions import scoring as SC
 from attestry.operators import calibration as CA
 from attestry.operators import claims as CL
+from attestry.operators import containment as CN
 from attestry.operators import freshness as FR
 from attestry.plans.adapters import AS_OF, EVENTS_AS_OF
 from attestry.plans.catalog import check_view, query
 from attestry.plans.queries_columns import (
-    _claims_by_page,
-    oracle_truth,
+    claim_needles,
     rollup_view,
     sql_age,
     sql_case,
@@ -181,10 +181,9 @@ SELECT 'oracle ' || field AS part, count(*) AS n FROM oracle_row WHERE truth IS
 GROUP BY field
 UNION ALL SELECT 'scorer ' || scorer, count(*) FROM decided GROUP BY scorer""")
 def f06(t):
-    judged = _claims_by_page(t).select("field", oracle_truth().alias("truth")).dropna(
-        subset=["truth"])
+    judged = CN.counts(claim_needles(t), t.page).filter("truth IS NOT NULL")
     a = judged.groupBy(F.concat(F.lit("oracle "), "field").alias("part")).agg(
-        F.count(F.lit(1)).alias("n"))
+        F.sum("n").alias("n"))
     b = rows(t).groupBy(F.concat(F.lit("scorer "), "scorer").alias("part")).agg(
         F.count(F.lit(1)).alias("n"))
     return a.unionByName(b)
