@@ -50,10 +50,21 @@ SELECT resource_id, arg_max(action, (decided_at, row_no)) AS action FROM decisio
 WHERE action <> 'skip' GROUP BY resource_id""")
 def st2(t):
     path = ST.run_to_end(lambda out, chk: ST.write_updates(
-        ST.latest_by_resource(decision_stream(t)), out, chk), t.spark, "latest")
+        ST.latest_by_resource(decision_stream(t)), out, chk, ["resource_id"]), t.spark, "latest")
     return ST.current_rows(t.spark, path, ["resource_id"]).select("resource_id", "action")
 
 
+@query("st2_remaining", "Queue items that the decision stream has left open", "decision", """
+SELECT DISTINCT resource_id FROM decision d WHERE NOT EXISTS (SELECT 1 FROM decision e
+  WHERE e.resource_id = d.resource_id AND e.action <> 'skip')""")
+def st2_remaining(t):
+    path = ST.run_to_end(lambda out, chk: ST.write_updates(
+        ST.latest_by_resource(decision_stream(t)), out, chk, ["resource_id"]), t.spark, "latest")
+    # Whatever a reviewer was shown is in the queue, also what they skipped.
+    queue = t.decision.select("resource_id").distinct()
+    return ST.remaining_queue(queue, ST.current_rows(t.spark, path, ["resource_id"]))
+
+
 @query("st3", "Confirmations reset the freshness clock", "event_field", """
 SELECT e.listing_id, e.field, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS confirmed_at
 FROM event_field e JOIN customer ON c_custkey = e.listing_id WHERE event_type IN
@@ -67,7 +78,8 @@ def st3(t):
         choose(_number() % 7, names, "email").alias("field"), c("ts").alias("confirmed_at"))
     listing = t.customer.select(c("c_custkey").alias("listing_id"))
     path = ST.run_to_end(lambda out, chk: ST.write_updates(
-        ST.confirmation_clock(confirmations, listing), out, chk), t.spark, "clock")
+        ST.confirmation_clock(confirmations, listing), out, chk, ["listing_id", "field"]),
+        t.spark, "clock")
     return ST.current_rows(t.spark, path, ["listing_id", "field"]).select(
         "listing_id", "field", F.date_format("confirmed_at", "yyyy-MM-dd HH:mm:ss")
         .alias("confirmed_at"))

@@ -105,6 +105,64 @@ def test_a_later_batch_does_not_decide_again(spark, tmp_path):
         ("1", "approved"), ("2", "rejected")]
 
 
+def test_first_decisions_hold_state_by_key_and_read_no_log(spark, tmp_path):
+    """Three triggers; the log may even be gone, the first decision still holds."""
+    src, chk = str(tmp_path / "in"), str(tmp_path / "chk")
+    schema = "resource_id string, action string, decided_at timestamp"
+    for n, rows in enumerate([[("1", "reject"), ("2", "confirm")], [("1", "confirm")],
+                              [("2", "reject"), ("3", "confirm"), ("1", "reject")]]):
+        spark.createDataFrame([(k, a, f"2026-01-0{5 - n} 10:00:00") for k, a in rows],
+                              "resource_id string, action string, decided_at string").select(
+            "resource_id", "action", F.to_timestamp("decided_at").alias("decided_at")).coalesce(
+            1).write.mode("append").parquet(src)
+        stream = ST.timed(ST.read_stream(
+            spark, spark.createDataFrame([], schema).schema, src), "decided_at")
+        out = str(tmp_path / f"out{n}")  # a folder of its own per trigger
+        ST.write_decisions(ST.decision_log(stream), out, chk).awaitTermination()
+        got = {(r.resource_id, r.outcome) for r in spark.read.schema(
+            "resource_id string, outcome string").parquet(out).collect()} if (
+            tmp_path / f"out{n}").exists() else set()
+        assert got == [{("1", "rejected"), ("2", "approved")}, set(), {("3", "approved")}][n]
+
+
+def test_latest_table_merges_batches_and_bounds_folders(spark, tmp_path):
+    path, want = str(tmp_path / "t"), {}
+    table = ST.LatestTable(spark, path, ["k"], most=3)
+    assert table.folders() == [] and table.held() == -1
+    for n in range(11):
+        rows = [(f"k{(n * 7 + j) % 9}", n * 10 + j) for j in range(3)]
+        table.write(spark.createDataFrame(rows, "k string, v int"), n)
+        want.update(rows)
+        assert len(table.folders()) <= 4
+        assert {r.k: r.v for r in table.read().collect()} == want
+        again = ST.LatestTable(spark, path, ["k"], most=3)  # a reader or a restart
+        again.write(spark.createDataFrame(rows, "k string, v int"), n)
+        assert {r.k: r.v for r in again.read().collect()} == want
+    assert table.held() >= 7
+
+
+def test_remaining_queue_follows_every_trigger(spark, tmp_path):
+    src, out, chk = (str(tmp_path / x) for x in ("in", "out", "chk"))
+    schema = "resource_id string, action string, decided_at timestamp, row_no bigint"
+    queue = spark.createDataFrame([(str(i),) for i in range(6)], "resource_id string")
+    done = set()
+    for n, rows in enumerate([[("1", "confirm"), ("2", "skip")], [("2", "reject")],
+                              [("9", "confirm"), ("1", "reject")], [("5", "looks_right")]]):
+        spark.createDataFrame([(k, a, "2026-01-01 10:00:00", n) for k, a in rows],
+                              "resource_id string, action string, t string, row_no bigint").select(
+            "resource_id", "action", F.to_timestamp("t").alias("decided_at"), "row_no").coalesce(
+            1).write.mode("append").parquet(src)
+        stream = ST.timed(ST.read_stream(
+            spark, spark.createDataFrame([], schema).schema, src), "decided_at")
+        ST.write_updates(ST.latest_by_resource(stream), out, chk, ["resource_id"],
+                         most=2).awaitTermination()
+        done |= {k for k, a in rows if a != "skip"}
+        table = ST.LatestTable(spark, out, ["resource_id"])
+        left = ST.remaining_queue(queue, table.read())
+        assert {r.resource_id for r in left.collect()} == {str(i) for i in range(6)} - done
+        assert len(table.folders()) <= 3
+
+
 def test_views_cover_every_table(spark):
     t = Tables(spark, SF)
     assert all(getattr(t, n).columns for n in TABLES)
