@@ -37,7 +37,7 @@ from attestry.session import stored
 SEQUENCE = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 # Texts with longer runs of white space go to the second library: the first one's
 # pattern matcher recurses on them. So do texts that hold an added token of the vocabulary.
 SPACE_RUN = 1000
