@@ -53,10 +53,18 @@ def split_by_org(rows: DataFrame, seed: int = 17, key: str = "org_id") -> DataFr
     before = counts.select(
         "p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"),
         F.floor(F.sum("n").over(Window.partitionBy()) / 2).alias("half_size"))
+    placed = orgs.join(F.broadcast(before.join(counts, "p")), "p")
+    whole = placed.filter((F.col("before") + F.col("n") <= F.col("half_size"))
+                          | (F.col("before") >= F.col("half_size"))).select(
+        key, F.when(F.col("before") < F.col("half_size"), "calibration").otherwise("test")
+        .alias("half"))
+    # The middle lies inside one prefix; only that one is ranked.
     within = F.row_number().over(Window.partitionBy("p").orderBy("h", key))
-    ranked = orgs.join(F.broadcast(before), "p").withColumn("pos", F.col("before") + within)
-    return ranked.select(key, F.when(F.col("pos") <= F.col("half_size"), "calibration")
-                         .otherwise("test").alias("half"))
+    middle = placed.filter((F.col("before") < F.col("half_size"))
+                           & (F.col("before") + F.col("n") > F.col("half_size"))).select(
+        key, F.when(F.col("before") + within <= F.col("half_size"), "calibration")
+        .otherwise("test").alias("half"))
+    return whole.unionByName(middle)
 
 
 def with_half(rows: DataFrame, halves: DataFrame, key: str = "org_id") -> DataFrame:

@@ -244,11 +244,14 @@ def rule_verdict(closure: Column, phone: Column, address: Column) -> Column:
 
 
 def verify(listing: DataFrame, phone: DataFrame, address: DataFrame, pages: DataFrame,
-           structural: DataFrame, site: Site = Site(), judge=None) -> DataFrame:
+           structural: DataFrame, site: Site = Site(), judge=None,
+           fetched: DataFrame | None = None) -> DataFrame:
     """One result row per listing.
 
-    pages: usable gathered pages (listing_id, pos, url, text). A structural
-    defect stands on its own, whatever happened to the site.
+    pages: usable gathered pages (listing_id, pos, url, text); fetched: listing_id, pos, url of
+    all pages read, usable or not. A listing's service_edit_url, where it has one, is the edit
+    URL of its change request. A structural defect stands on its own, whatever happened to the
+    site.
     """
     from attestry.operators.scorers import adjudicate
 
@@ -269,8 +272,11 @@ def verify(listing: DataFrame, phone: DataFrame, address: DataFrame, pages: Data
         .alias("address_f"))
     form = structural.select(F.col("listing_id").alias("id"), structural_struct(site).alias(
         "structural_f"))
-    rows = listing.select("id", "name", "website")
-    for part in (read, tel, shut, adr, form):
+    tried = (pages if fetched is None else fetched).groupBy(F.col("listing_id").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda p: p["url"])
+        .alias("fetched"))  # as many as a listing's reading budget
+    rows = listing.select("id", "name", "website", _supplied(listing).alias("supplied"))
+    for part in (read, tried, tel, shut, adr, form):
         rows = rows.join(part, "id", "left")
     rows = rows.withColumn("found", F.filter(
         F.array("phone_f", "closure_f", "address_f", "structural_f"), lambda f: f.isNotNull()))
@@ -304,9 +310,19 @@ def verify(listing: DataFrame, phone: DataFrame, address: DataFrame, pages: Data
         rid.alias("resource_id"), "name", F.col("website").alias("org_website"),
         verdict.alias("verdict"), reason.alias("reason"), confidence.alias("confidence"),
         F.when(early, only_defect).otherwise(usable).alias("fields"),
+        F.when(~no_site, F.col("fetched")).alias("fetched"), "supplied",
         F.when(early, only_defect).otherwise(F.col("found")).alias("found"))
-    return out.withColumn("change_request", change_request(
-        F.col("resource_id"), F.col("found"), F.col("verdict"), site)).drop("found")
+    return out.withColumn("fetched", F.coalesce("fetched", F.array().cast("array<string>"))
+                          ).withColumn("change_request", change_request(
+        F.col("resource_id"), F.col("found"), F.col("verdict"), site, F.col("supplied"))).drop(
+        "found", "supplied")
+
+
+def _supplied(listing: DataFrame) -> Column:
+    """The edit URL that came with a listing, null where its table has none."""
+    if "service_edit_url" in listing.columns:
+        return F.col("service_edit_url")
+    return F.lit(None).cast("string")
 
 
 def verify_many(results: DataFrame, check) -> DataFrame:
@@ -331,7 +347,8 @@ def verify_many(results: DataFrame, check) -> DataFrame:
         F.when(bad, F.concat(F.lit("the check failed on this record: "), F.col("error")))
         .otherwise(F.col("reason")).alias("reason"),
         F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(bad, none).otherwise(F.col("fields")).alias("fields"),
+        F.when(bad, none).otherwise(F.col("fields")).alias("fields"), *[
+            F.col(x) for x in ("fetched",) if x in results.columns],
         F.when(~bad, F.col("change_request")).alias("change_request"), "error", "tries")
 
 
@@ -349,15 +366,17 @@ def merge_structural(results: DataFrame, structural: DataFrame, approved: DataFr
     """
     form = (structural.join(approved.select(F.col("id").alias("listing_id"),
                                             F.col("name").alias("listing_name"),
-                                            F.col("website").alias("listing_site")), "listing_id")
+                                            F.col("website").alias("listing_site"),
+                                            _supplied(approved).alias("supplied")), "listing_id")
             .select(F.col("listing_id").alias("resource_id"), "listing_name", "listing_site",
-                    structural_struct(site).alias("s")))
+                    "supplied", structural_struct(site).alias("s")))
     j = results.join(form, "resource_id", "full_outer")
     hit = F.col("s").isNotNull()
     fields_type = results.schema["fields"].dataType
     rest = F.filter(F.coalesce("fields", F.array().cast(fields_type)),
                     lambda f: ~f["structural"])
-    fresh = change_request(F.col("resource_id"), F.array("s"), F.lit("discrepancy"), site)
+    fresh = change_request(F.col("resource_id"), F.array("s"), F.lit("discrepancy"), site,
+                           F.col("supplied"))
     return j.select(
         "resource_id", F.coalesce("name", "listing_name").alias("name"),
         F.coalesce("org_website", "listing_site").alias("org_website"),
@@ -366,6 +385,7 @@ def merge_structural(results: DataFrame, structural: DataFrame, approved: DataFr
         F.when(hit, F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.95)))
         .otherwise(F.col("confidence")).alias("confidence"),
         F.when(hit, F.concat(F.array("s"), rest)).otherwise(F.col("fields")).alias("fields"),
+        F.coalesce("fetched", F.array().cast("array<string>")).alias("fetched"),
         F.when(hit, fresh).otherwise(F.col("change_request")).alias("change_request"))
 
 

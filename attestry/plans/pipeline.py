@@ -18,6 +18,7 @@ from attestry.operators import review_queue as R
 from attestry.operators import structural as S
 from attestry.plans.adapters import AS_OF, Tables
 from attestry.session import stored
+from attestry.sources import landed as L
 
 
 class DirectoryRun:
@@ -26,6 +27,11 @@ class DirectoryRun:
     def __init__(self, t: Tables, as_of: str = AS_OF):
         self.t, self.d, self.as_of = t, t.directory, as_of
 
+    @cached_property
+    def listing(self) -> DataFrame:
+        """Listings with the edit URL that the work list supplies."""
+        return L.enrich(self.d.listing, L.work_list_index(self.t.work_list))
+
     @cached_property
     def _rules(self) -> DataFrame:
         """One row per site, also where several listings share it and its robots text."""
@@ -80,19 +86,20 @@ class DirectoryRun:
         mine = listing.select(F.col("id").alias("listing_id"))
         phone, address, structural = (df.join(mine, "listing_id", "left_semi") for df in (
             self.d.phone, self.d.address, self.structural))
-        return E.verify(listing, phone, address, pages, structural)
+        return E.verify(listing, phone, address, pages, structural,
+                        fetched=gathered.select("listing_id", "pos", "url"))
 
     @cached_property
     def verified(self) -> DataFrame:
-        return self.verify(self.d.listing, self.gathered)
+        return self.verify(self.listing, self.gathered)
 
     @cached_property
     def results(self) -> DataFrame:
         """Triaged listings checked, with the whole corpus's structural findings merged in."""
         worth = R.triage(self.d.listing, self.as_of).select("id")
-        triaged = stored(self.d.listing.join(worth, "id", "left_semi"), "triaged")
+        triaged = stored(self.listing.join(worth, "id", "left_semi"), "triaged")
         checked = self.verify(triaged, self.gather(triaged))
-        approved = self.d.listing.filter(F.col("status") == "approved")
+        approved = self.listing.filter(F.col("status") == "approved")
         return E.merge_structural(checked, self.structural, approved)
 
     @cached_property

@@ -194,8 +194,11 @@ SELECT *, CASE WHEN k IS NOT NULL OR (has_p AND p_field = 'phone' AND NOT p_matc
     AND {sql_phone_key('p_stored')} IS NOT DISTINCT FROM {sql_phone_key('p_live')}), FALSE)
     AS p_usable
 FROM found""")
-check_view("verified", "ruled", f"""
+check_view("verified", "ruled gathered work_index", f"""
 SELECT id AS resource_id, name, website AS org_website,
+  CASE WHEN website IS NULL THEN '' ELSE coalesce(t.tried, '') END AS fetched,
+  coalesce(w.service_edit_url, 'https://directory.example/organizations/' || id || '/edit')
+    AS edit_url,
   CASE WHEN early AND s IS NOT NULL THEN 'discrepancy' WHEN early OR empty THEN 'abstain'
     ELSE rule_verdict END AS verdict,
   CASE WHEN early AND s IS NOT NULL THEN s.stored WHEN website IS NULL THEN {q(K.REASON_NO_WEBSITE)}
@@ -216,7 +219,10 @@ SELECT id AS resource_id, name, website AS org_website,
     WHEN k IS NOT NULL THEN k.live WHEN s IS NOT NULL THEN coalesce(s.proposed, s.live)
     WHEN p_usable THEN p_live END AS bad_live
 FROM (SELECT *, website IS NULL OR NOT has_text AS early,
-  rule_verdict = 'discrepancy' AND NOT p_usable AND k IS NULL AND s IS NULL AS empty FROM ruled)""")
+  rule_verdict = 'discrepancy' AND NOT p_usable AND k IS NULL AND s IS NULL AS empty FROM ruled)
+LEFT JOIN work_index w ON w.resource_id = id
+LEFT JOIN (SELECT listing_id, string_agg(url, ' ' ORDER BY pos) AS tried FROM gathered GROUP BY 1) t
+  ON t.listing_id = id""")
 
 
 @query("e01", "Rule adjudication over gathered findings", "ruled", """
@@ -239,25 +245,25 @@ def e01(t):
         "listing_id", "r.*")
 
 
-def _result_columns(df):
+def _result_columns(df, *lists):
     return df.select("resource_id", "verdict", "reason", "confidence",
                      F.array_join(F.transform("fields", lambda f: f["field"]), ",")
-                     .alias("fields"))
+                     .alias("fields"), *[F.array_join(x, " ").alias(x) for x in lists])
 
 
 @query("e02", "Verification result per listing", "verified",
-       "SELECT resource_id, verdict, reason, confidence, fields FROM verified")
+       "SELECT resource_id, verdict, reason, confidence, fields, fetched FROM verified")
 def e02(t):
-    return _result_columns(DirectoryRun(t).verified)
+    return _result_columns(DirectoryRun(t).verified, "fetched")
 
 
 @query("p47", "Change request of each discrepancy", "verified", """
-SELECT resource_id, bad_field AS field, bad_stored AS current, bad_live AS proposed
+SELECT resource_id, bad_field AS field, bad_stored AS current, bad_live AS proposed, edit_url
 FROM verified WHERE verdict = 'discrepancy'""")
 def p47(t):
     return DirectoryRun(t).verified.filter(c("change_request").isNotNull()).select(
         "resource_id", "change_request.field", "change_request.current",
-        "change_request.proposed")
+        "change_request.proposed", c("change_request.listing_edit_url").alias("edit_url"))
 
 
 @query("f04", "Findings a reviewer could rule on", "g_phone", f"""

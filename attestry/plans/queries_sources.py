@@ -46,16 +46,19 @@ def s02(t):
 
 
 @query("s07", "Work-list details carried onto listings", "listing work_index work_list", """
-SELECT l.id AS listing_id, w.n_curated, s.names FROM listing l
+SELECT l.id AS listing_id, w.n_curated, w.service_edit_url, s.names FROM listing l
 LEFT JOIN work_index w ON l.id = w.resource_id
-LEFT JOIN (SELECT CAST(trim(resource_id) AS BIGINT) AS rid, count(DISTINCT service_name) AS names
+LEFT JOIN (SELECT CAST(trim(resource_id) AS BIGINT) AS rid,
+    string_agg(DISTINCT service_name, '|' ORDER BY service_name) AS names
   FROM work_list WHERE regexp_matches(trim(resource_id), '^[0-9]+$') AND trim(service_name) <> ''
   GROUP BY 1) s ON l.id = s.rid""")
 def s07(t):
     rich = L.enrich(t.listing, L.work_list_index(t.work_list))
     names = (L.curated_services(t.work_list).select("resource_id", "service_name").distinct()
-             .groupBy(c("resource_id").alias("id")).agg(F.count(F.lit(1)).alias("names")))
-    return rich.join(names, "id", "left").select(c("id").alias("listing_id"), "n_curated", "names")
+             .groupBy(c("resource_id").alias("id")).agg(
+        F.array_join(F.array_sort(F.collect_list("service_name")), "|").alias("names")))
+    return rich.join(names, "id", "left").select(
+        c("id").alias("listing_id"), "n_curated", "service_edit_url", "names")
 
 
 def landed_listings(t) -> str:
