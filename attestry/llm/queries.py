@@ -34,19 +34,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-# The test tables hold pages but no archive, so each page is taken as a capture of its
-# section of the site; every fourth one is a revisit. The same SELECT feeds the SQL check.
+# The test tables hold pages but no archive, so each page gives two captures of its whole url:
+# a response, and a revisit, mostly later, under another spelling of the url. The same SELECT
+# feeds the SQL check.
 RECORDS = r"""
-SELECT page_id AS record_id,
-  CASE WHEN page_id % 4 = 3 THEN 'revisit' ELSE 'response' END AS warc_type,
-  CASE WHEN page_id % 4 = 3 THEN 304 WHEN page_id % 11 = 5 THEN 404 ELSE 200 END AS status,
-  regexp_extract(url, '^(.*?://[^/?#]*(/[a-z]+)?)', 1) AS target_uri,
+SELECT 2 * page_id AS record_id, 'response' AS warc_type,
+  CASE WHEN page_id % 11 = 5 THEN 404 ELSE 200 END AS status, url AS target_uri,
   1704067200 + (page_id * 7919) % 2592000 AS seconds,
   CASE WHEN page_id % 5 = 0 THEN NULL
        ELSE 'W/"v' || CAST(page_id % 3 AS STRING) || '"' END AS etag,
   CASE WHEN page_id % 7 = 0 THEN NULL
        ELSE 'Mon, 0' || CAST(page_id % 2 + 1 AS STRING) || ' Jan 2024 00:00:00 GMT' END AS modified,
   CAST(length(html) AS STRING) AS size, md5(html) AS digest
+FROM {pages}
+UNION ALL
+SELECT 2 * page_id + 1, 'revisit', 304,
+  CASE WHEN page_id % 4 = 0 THEN url
+       WHEN page_id % 4 = 1 THEN regexp_replace(url, '^https?://(www[.])?', 'http://www.')
+       WHEN page_id % 4 = 2 AND url NOT LIKE '%#%' THEN url
+         || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'utm_source=mail'
+       ELSE url || '#top' END,
+  1704067200 + (page_id * 7919) % 2592000 + (page_id * 104729) % 5000000 - 800000,
+  CASE WHEN page_id % 10 = 0 THEN NULL WHEN page_id % 6 = 1
+       THEN '"v' || CAST((page_id + 1) % 3 AS STRING) || '"'
+       ELSE '"v' || CAST(page_id % 3 AS STRING) || '"' END,
+  CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 20 = 5 THEN 'Tue, 09 Jan 2024 00:00:00 GMT'
+       ELSE 'Mon, 0' || CAST(page_id % 2 + 1 AS STRING) || ' Jan 2024 00:00:00 GMT' END,
+  NULL, CASE WHEN page_id % 13 = 0 THEN md5('moved') ELSE md5(html) END
 FROM {pages}"""
 
 
@@ -275,12 +289,12 @@ checked AS (
       ELSE 'digest' END AS checked_by FROM hit WHERE k = 1),
 judged AS (
   SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
-      WHEN (checked_by = 'etag' AND etag <> old_etag)
+      WHEN (checked_by = 'etag' AND regexp_replace(etag, '^W/', '') <> regexp_replace(old_etag, '^W/', ''))
         OR (checked_by = 'last-modified' AND modified <> old_modified)
         OR (checked_by = 'digest' AND digest <> old_digest) THEN 'changed'
       ELSE 'resolved' END AS outcome FROM checked)
 SELECT record_id, url, outcome, response_id, checked_by,
-  CASE WHEN outcome = 'resolved' THEN concat_ws('; ', 'content-length: ' || old_size,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN concat_ws('; ', 'content-length: ' || old_size,
     'etag: ' || coalesce(etag, old_etag), 'last-modified: ' || coalesce(modified, old_modified),
     'x-record: ' || CAST(record_id AS STRING)) END AS headers
 FROM judged""",

@@ -17,8 +17,9 @@ last response of each bucket is carried on to later ones, so a URL with a third
 captures is spread over its buckets. Payloads do not travel: the result names the response.
 
 Records without canonical URL or time cannot be joined (`no_response`); null headers are
-none; equal records are resolved alike, each on its own row. Further columns are ignored; an
-empty table gives an empty result.
+none; equal records are resolved alike, each on its own row. Of responses that share id, URL
+and time, the one whose headers and digest sort last as JSON counts. Further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,20 +109,23 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     slim = rows.filter(placed).select(
         "url", "captured_at", "order", "full", F.col("item.id").alias("item"))
     revisits = earlier_response(slim, bucket_seconds).filter("NOT full").groupBy(
-        F.col("item").alias("record_id"), "url", "captured_at").agg(
-        F.max("last.item").alias("response_id"))
+        F.col("item").alias("record_id"), "url", "captured_at").agg(F.max("last").alias("last"))
     r = rows.filter("kind = 'revisit'").alias("r")
     v = revisits.alias("v")
     found = r.join(v, (F.col("r.record_id") == F.col("v.record_id"))
                    & (F.col("r.url") == F.col("v.url"))
                    & (F.col("r.captured_at") == F.col("v.captured_at")), "left").select(
-        "r.record_id", "r.url", "r.captured_at", F.col("r.item").alias("fresh"), "v.response_id")
+        "r.record_id", "r.url", "r.captured_at", F.col("r.item").alias("fresh"),
+        F.col("v.last.item").alias("response_id"), F.col("v.last.captured_at").alias("answered"))
     # A response that answers very many revisits is split by the skew-aware join.
-    full = rows.filter(F.col("full") & placed).dropDuplicates(["record_id", "url"]).select(
+    told = F.to_json(F.struct(F.array_sort(F.map_entries("item.headers")).alias("h"),
+                              F.col("item.digest").alias("d")))
+    full = rows.filter(F.col("full") & placed).groupBy(
         F.col("record_id").alias("response_id"), F.col("url").alias("response_url"),
-        F.col("item").alias("old"))
+        F.col("captured_at").alias("response_at")).agg(F.max_by("item", told).alias("old"))
     both = found.join(full, (found["response_id"] == full["response_id"])
-                      & (found["url"] == full["response_url"]), "left").select(
+                      & (found["url"] == full["response_url"])
+                      & (found["answered"] == full["response_at"]), "left").select(
         found["record_id"], found["url"], found["captured_at"], "fresh", found["response_id"],
         "old")
 
