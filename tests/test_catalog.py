@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 KNOWN = catalog.load()
 CHECKED = ("p01", "p04", "p13", "p27", "p28", "p40", "p41", "g01", "a04", "j12", "g03", "g04",
            "w01", "w02", "j01", "j04", "f05", "e02", "a08", "w13", "e06", "a02", "a03", "u01",
-           "s02", "s18", "s19", "st2", "st4", "p38", "p45", "u06", "w10", "w17")
+           "s02", "s07", "x06", "e07", "p32", "w06", "st2_remaining", "s18", "s19", "st2", "st4", "p38", "p45", "u06", "w10", "w17")
 
 
 @pytest.fixture(scope="module")

@@ -356,6 +356,44 @@ def test_sibling_counts_when_many_hot_keys_are_shared(spark, monkeypatch, bucket
         assert got == brute_siblings(edges)
 
 
+def test_reading_stops_where_a_listing_is_settled(spark):
+    """Listings settled early cost no further text; a missing page settles nothing."""
+    fill = " Some words that make the page long enough to be read at all."
+    texts = {"shut": "We are permanently closed." + fill, "tel": "Call 415-555-0100." + fill,
+             "open": "Open Monday to Friday." + fill, "dull": fill * 2, "short": "415-555-0100"}
+    wanted = [(1, 1, "shut"), (1, 2, "tel"), (2, 1, "tel"), (2, 2, "open"), (2, 3, "dull"),
+              (3, 1, "none"), (3, 2, "dull"), (3, 3, "shut"), (4, 1, "short"), (4, 2, "tel")]
+    pages = spark.createDataFrame(list(texts.items()), "url string, text string")
+    asked = []
+
+    def read(frontier):
+        asked.append(sorted((r.listing_id, r.url) for r in frontier.collect()))
+        return frontier.join(pages, "url", "left")
+
+    candidates = spark.createDataFrame(wanted, "listing_id bigint, pos int, url string")
+    got = I.gather_evidence(candidates, read, 3)
+    assert asked == [[(1, "shut"), (2, "tel"), (3, "none"), (4, "short")],
+                     [(2, "open"), (3, "dull"), (4, "tel")], [(3, "shut")]]
+    assert {(r.listing_id, r.pos): r.usable for r in got.collect()} == {
+        (1, 1): True, (2, 1): True, (2, 2): True, (3, 1): False, (3, 2): True, (3, 3): True,
+        (4, 1): False, (4, 2): True}
+    asked.clear()
+    assert I.gather_evidence(candidates, read, None).count() == 8 and len(asked) == 3
+
+
+def test_pages_are_scanned_once_and_no_text_is_moved(spark):
+    from attestry.plans import catalog
+
+    known = catalog.load()
+    for name in ("j01", "j04"):
+        df = catalog.runner(known[name])(spark, "/root/testdata/sf0.001")
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sum("FileScan" in x and "lineitem" in x for x in lines) == 1, name
+        at = [i for i, x in enumerate(lines) if "Welcome to part" in x and "Project" in x]
+        # Every exchange of pages lies below the place where their text is made.
+        assert at and all(i > at[0] for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x), name
+
+
 def graph(spark):
     d = directory(
         spark, [org(1, "A"), org(2, None), org(3, "A"), org(4, "B")],
