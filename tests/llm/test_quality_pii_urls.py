@@ -263,6 +263,28 @@ def test_revisits(spark, rows_of):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_responses_that_share_an_id(spark, rows_of):
+    """The one of the found time counts; of equal times the headers that sort last."""
+    import datetime as dt
+
+    kind = "record_id bigint, warc_type string, status int, target_uri string, " \
+           "captured_at timestamp, headers map<string,string>, payload_digest string"
+    u, at = "http://a.org/x", lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, "response", 200, u, at(0), {"X": "a"}, "d"),
+            (1, "response", 200, u, at(0), {"X": "b"}, "d"),
+            (1, "response", 200, u, at(5), {"X": "c"}, "d"),
+            (2, "revisit", 304, u, at(1), None, None), (3, "revisit", 304, u, at(9), None, None)]
+    for order in (rows, rows[::-1]):
+        got = rows_of(warc.resolve(spark.createDataFrame(order, kind)))
+        assert {r["record_id"]: r["headers"] for r in got} == {2: {"x": "b"}, 3: {"x": "c"}}
+
+
+def test_archive_has_every_outcome(spark, rows_of):
+    got = rows_of(queries.op2_warc_revisits(spark, SF))
+    assert {r["outcome"] for r in got} == {"resolved", "changed", "no_response"}
+    assert {r["checked_by"] for r in got} >= {"etag", "last-modified", "digest"}
+
+
 def _norm(v):
     return repr(v)
 
