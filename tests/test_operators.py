@@ -356,6 +356,29 @@ def test_sibling_counts_when_many_hot_keys_are_shared(spark, monkeypatch, bucket
         assert got == brute_siblings(edges)
 
 
+@pytest.mark.parametrize("few", [0, 1, 2, 5])
+def test_sibling_counts_of_narrow_and_wide_key_sets(spark, few):
+    rnd = random.Random(few)
+    edges = {(f"org:{i}", f"tel:{rnd.randrange(25)}") for i in range(90) for _ in range(3)}
+    edges |= {(f"org:{i}", "tel:hot") for i in range(0, 90, 4)}
+    edges |= {(f"org:{o}", f"tel:{k}") for o in (3, 4, 7) for k in range(o, 20, 2)}
+    g = G.Graph(None, spark.createDataFrame(
+        [(o, k, "reachable_at") for o, k in edges], "src string, dst string, rel string"))
+    for light in (64, 3):
+        got = {r["org_id"]: r["n_siblings"] for r in G.sibling_counts(g, light, few).collect()}
+        assert got == brute_siblings(edges)
+
+
+def test_sibling_counts_list_no_pairs_of_small_key_sets(spark, monkeypatch):
+    """Sixty organisations behind each address made a row per pair of them."""
+    monkeypatch.setattr(G, "_holders", None)
+    edges = {(f"org:{i}", k) for i in range(600) for k in (f"addr:{i % 10}", f"tel:{i // 4}")}
+    g = G.Graph(None, spark.createDataFrame(
+        [(o, k, "located_at") for o, k in edges], "src string, dst string, rel string"))
+    got = {r["org_id"]: r["n_siblings"] for r in G.sibling_counts(g).collect()}
+    assert got == brute_siblings(edges)
+
+
 def test_reading_stops_where_a_listing_is_settled(spark):
     """Listings settled early cost no further text; a missing page settles nothing."""
     fill = " Some words that make the page long enough to be read at all."
