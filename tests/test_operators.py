@@ -292,6 +292,62 @@ def test_sitemap_budget(spark):
     assert I.crawl_sitemaps(rules, long).count() == 4000
 
 
+def test_sitemap_bodies_are_not_broadcast(spark, monkeypatch):
+    """Plans over small files promised small bodies, which then met in the driver."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(I, "cut_lineage", noted)
+    site = spark.createDataFrame([("https://x.test/", "Sitemap: https://x.test/a.xml")],
+                                 "website string, body string")
+    bodies = spark.createDataFrame([("https://x.test/a.xml", "<loc>https://x.test/1</loc>")],
+                                   "url string, body string")
+    got = I.crawl_sitemaps(I.site_rules(site), bodies).collect()
+    assert [r["url"] for r in got] == ["https://x.test/1"]
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_pages_to_read_are_fetched_once(spark, monkeypatch):
+    """Every reading position joined all pages of all sites again."""
+    from attestry.plans.adapters import Tables
+    from attestry.plans.pipeline import DirectoryRun
+
+    def t(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    tables = Tables(spark, "/nowhere")
+    tables.__dict__["directory"] = None
+    tables._cache["listing"] = t([(1, "https://www.org1.org/")], "id long, website string")
+    run = DirectoryRun(tables)
+    base = [(1, "https://www.org1.org/", f"https://www.org1.org/{p}", None, 7, 1, 2.0, "N", "F",
+             0.0, 0.05, "ALGERIA", 3, "AFRICA", "soup", 10, 5.0, 4) for p in ("", "contact/")]
+    run.__dict__["site_rows"] = t(base, """listing_id long, website string, url string,
+        lastmod string, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string,
+        l_linestatus string, l_discount double, l_tax double, n_name string, n_nationkey int,
+        r_name string, p_name string, o_custkey long, o_totalprice double, o_orderkey long""")
+    got = {r["url"][21:]: r["text"] for r in run.gather(tables.listing).collect()}
+    assert set(got) == {"", "contact/"}, got
+    assert all(v.startswith("Welcome to part 7.") for v in got.values()), got
+    asked = run.texts(t([b[:1] + (1,) + b[2:3] + b[4:] for b in base[:1]], """listing_id long,
+        pos int, url string, l_partkey long, l_suppkey long, l_quantity double,
+        l_returnflag string, l_linestatus string, l_discount double, l_tax double, n_name string,
+        n_nationkey int, r_name string, p_name string, o_custkey long, o_totalprice double,
+        o_orderkey long"""))
+    assert "Join" not in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_without_closure_words_are_not_searched(spark):
+    rows = [("A shop.", 0), ("We HAVE moved away.", 1), ("It is Permanently Closed now.", 1),
+            ("We've moved. Out of business.", 2), (None, None)]
+    got = spark.createDataFrame(rows, "text string, n int").select(
+        "n", F.when(F.col("text").isNotNull(), F.size(E.closure_hits(F.col("text")))).alias("m"),
+        E.raw_digits(F.lit(" 4-1 5.x")).alias("d")).collect()
+    assert all(r["n"] == r["m"] and r["d"] == "415" for r in got)
+
+
 # ---------------------------------------------------------------- graph
 
 def brute_siblings(edges):
