@@ -63,3 +63,30 @@ def test_plans_have_no_cartesian_pair_join(spark):
         plan = catalog.runner(KNOWN[name])(spark, SF)._jdf.queryExecution().executedPlan()
         text = plan.toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def plan_of(spark, name, sf=SF):
+    return catalog.runner(KNOWN[name])(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_captures_of_a_page_are_put_together_without_moving_text(spark):
+    plan = plan_of(spark, "e08")
+    assert plan.count("lineitem.parquet") == 1
+    assert "Union" not in plan and "hashpartitioning(listing_id" not in plan
+
+
+@pytest.mark.parametrize("text, rows", [
+    ("x" * 701, {"direct": ("x" * 701, None), "reader": ("x" * 701, None)}),
+    ("y" * 301, {"direct": ("y" * 60, None), "reader": ("y" * 301, None)}),
+    ("z" * 151, {"direct": (None, "direct fetch failed"), "reader": ("z" * 151, None)}),
+    ("w", {"direct": (None, "direct fetch failed"), "reader": (None, "reader fetch failed")}),
+    (None, {"direct": (None, "direct fetch failed"), "reader": (None, "reader fetch failed")})])
+def test_capture_rows_equal_their_view(spark, text, rows):
+    from attestry.plans.adapters import _CAPTURE_ROWS, VIEWS
+
+    page = spark.createDataFrame([(1, "u", text), (None, None, text), (1, "u", text)],
+                                 "listing_id bigint, url string, text string")
+    got = spark.sql(_CAPTURE_ROWS, page=page)
+    assert got.exceptAll(spark.sql(VIEWS["capture"][1], page=page)).count() == 0
+    assert got.count() == 6
+    assert {r["method"]: (r["text"], r["error"]) for r in got.collect()} == rows

@@ -625,3 +625,14 @@ def test_next_open_review_passes_over_settled_and_skipped(spark):
 
 def test_weights_sum_to_one():
     assert abs(sum(K.WEIGHT.values()) - 1) < 1e-12
+
+
+def test_both_choices_come_from_one_table_of_tiers(spark):
+    df = spark.createDataFrame(
+        [(1, "direct", "a" * 250, None), (1, "reader", "b" * 300, None),
+         (2, "direct", None, "down"), (2, "reader", None, None)],
+        "id bigint, method string, text string, error string")
+    _, longest, _ = E.best_of_tiers(longest=True)
+    got = {r["id"]: r[1:] for r in E.capture_tiers(df, ["id"]).select(
+        "id", *E.best_of_tiers(), longest.alias("longest")).collect()}
+    assert got == {1: ("a" * 250, "direct", None, "reader"), 2: (None, None, "down", None)}
