@@ -627,6 +627,16 @@ def test_weights_sum_to_one():
     assert abs(sum(K.WEIGHT.values()) - 1) < 1e-12
 
 
+def test_scores_are_not_written_out_in_a_filter_on_them(spark):
+    d = directory(spark, [org(1, verified_at=AS_OF), org(2, updated_at=AS_OF, website="https://x")],
+                  phone=[(2, 0, 1, "311", None, None)])
+    told = FR.rollup(FR.field_scores(d, AS_OF)).filter("next IS NOT NULL").select("id", "next.field")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bround(") <= 4 * len(FR.FIELDS)
+    assert plan.count("try_cast(updated_at") <= 2
+    assert [(r["id"], r["field"]) for r in told.collect()] == [(2, "phone")]
+
+
 def test_both_choices_come_from_one_table_of_tiers(spark):
     df = spark.createDataFrame(
         [(1, "direct", "a" * 250, None), (1, "reader", "b" * 300, None),
