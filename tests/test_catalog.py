@@ -90,3 +90,10 @@ def test_capture_rows_equal_their_view(spark, text, rows):
     assert got.exceptAll(spark.sql(VIEWS["capture"][1], page=page)).count() == 0
     assert got.count() == 6
     assert {r["method"]: (r["text"], r["error"]) for r in got.collect()} == rows
+
+
+def test_sitemap_bodies_are_put_together_once(spark):
+    from attestry.plans.adapters import Tables
+
+    body = Tables(spark, SF).sitemap_body._jdf.queryExecution().executedPlan().toString()
+    assert plan_of(spark, "p11").count("lineitem.parquet") == body.count("lineitem.parquet")
