@@ -97,3 +97,9 @@ def test_sitemap_bodies_are_put_together_once(spark):
 
     body = Tables(spark, SF).sitemap_body._jdf.queryExecution().executedPlan().toString()
     assert plan_of(spark, "p11").count("lineitem.parquet") == body.count("lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ("w03", "x04"))
+def test_pages_are_ranked_once(spark, name):
+    # The pattern of noise words stands where pages are scored: in the stored ranking only.
+    assert "annual-report" not in plan_of(spark, name)
