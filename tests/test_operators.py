@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -339,6 +340,118 @@ def test_pages_to_read_are_fetched_once(spark, monkeypatch):
     assert "Join" not in asked._jdf.queryExecution().optimizedPlan().toString()
 
 
+def small_tables(spark):
+    """Tables of a few rows; a part, an order and a line come twice, some keys are null."""
+    import datetime
+
+    from attestry.plans.adapters import Tables
+
+    t, day = Tables(spark, "/nowhere"), datetime.datetime(2000, 1, 2)
+    t.__dict__["directory"] = None
+
+    def keep(name, rows, schema):
+        t._cache[name] = spark.createDataFrame(rows, schema)
+
+    keep("region", [(0, "AFRICA")], "r_regionkey int, r_name string")
+    keep("nation", [(3, "ALGERIA", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    keep("customer", [(10, 3), (11, 3), (None, 3)], "c_custkey long, c_nationkey int")
+    keep("part", [(7, "soup"), (7, "soup"), (8, "bread"), (None, "none")],
+         "p_partkey long, p_name string")
+    keep("orders", [(1, 10, "O", 5.0, "1-URGENT"), (2, 11, "F", 6.0, "5-LOW"),
+                    (3, 11, "O", 7.0, "1-URGENT"), (3, 10, "O", 7.0, "1-URGENT"),
+                    (None, 10, "F", 8.0, "1-URGENT")],
+         "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+         "o_orderpriority string")
+    keep("lineitem", [(o, p, 5, n, 2.0, 0.0 if n == 4 else 0.05, 0.02, "N", s, day)
+                      for o in (1, 2, 3, None) for p in (7, 8, None)
+                      for n, s in ((2, "O"), (4, "F"), (7, "O"), (7, "O"))],
+         "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+         "l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+         "l_shipdate timestamp")
+    return t
+
+
+def test_lines_are_moved_by_part_and_order_only(spark):
+    """Lines were shuffled by order, customer, part, website and listing, wider each time."""
+    from collections import Counter
+
+    from attestry.plans.adapters import VIEWS
+    from attestry.plans.pipeline import DirectoryRun
+
+    tables = small_tables(spark)
+    deps, sql = VIEWS["page_row"]
+    plain = spark.sql(sql, **{d: tables._cache[d] for d in deps})
+    assert plain.count() > 20
+    assert Counter(tables.page_row.select(*plain.columns).collect()) == Counter(plain.collect())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = DirectoryRun(tables).site_rows
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = Counter((r["listing_id"], r["url"]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"hashpartitioning\((\w+)#", plan)
+    assert "listing_id" not in moved, plan
+    assert moved.count("l_partkey") == moved.count("l_orderkey") == 1, plan
+    # Order 1 bars /news and order 2 all paths; a partner's pages are not the site's own.
+    want = Counter()
+    for r in tables.page.collect():
+        barred = r["listing_id"] == 2 or "/news" in r["url"]
+        if "partner" not in r["url"] and not barred:
+            want[r["listing_id"], r["url"]] += 1
+    assert got == want and len(want) > 2
+
+
+def test_captures_meet_their_pages_by_listing(spark):
+    """All pages were shuffled again by listing and URL."""
+    tables = small_tables(spark)
+    pages = [(r["listing_id"], r["url"]) for r in tables.page.collect()]
+    wanted = [pages[0], pages[0], pages[-1], (1, "https://www.org1.org/none"), (1, None)]
+    found = tables.captures(spark.createDataFrame(wanted, "listing_id long, url string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(listing_id#\d+L?, url", plan), plan
+    want = sorted(2 * [p for p in pages if p in wanted])
+    assert sorted((r["listing_id"], r["url"]) for r in found.collect()) == want
+
+
+def test_ranked_pages_keep_their_columns(spark):
+    rows = [(1, f"https://x.test/{p}", None, n) for n, p in enumerate(("contact", "a/b/c", "b"))]
+    pages = spark.createDataFrame(rows, "listing_id long, url string, lastmod string, n int")
+    got = I.rank_pages(pages, ("phone",), "2002-01-01T00:00:00Z", None, key="listing_id",
+                       keep=["n"]).collect()
+    assert sorted((r["rank"], r["n"]) for r in got) == [(1, 0), (2, 2), (3, 1)]
+
+
+def test_closure_phrases_are_searched_once_and_where_they_can_be(spark):
+    """The phrases were looked for in the whole text, once to filter and once to keep."""
+    from attestry.functions.text import closure_span
+
+    long = "soup and bread, " * 40
+    rows = [(long + "We are permanently closed. " + long, "permanently closed"),
+            (long + "\u0130\u0130 Our shop has closed" + long, "has closed"),
+            ("We\u2019ve moved. We've moved" + long, "We've moved"), (long, None), ("", None)]
+    pages = spark.createDataFrame([(i, 1, "u", None, s) for i, (s, _) in enumerate(rows)], PAGES)
+    found = E.closure_findings(pages)
+    assert {r["listing_id"]: r["live"] for r in found.collect()} == {
+        i: live for i, (_, live) in enumerate(rows) if live}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1, plan
+    spans = [r["s"] for r in pages.orderBy("listing_id").select(
+        closure_span(F.col("text")).alias("s")).collect()]
+    assert spans[0] == "permanently closed" and spans[3:] == ["", ""]
+
+
+def test_hours_are_searched_where_a_word_is(spark):
+    from attestry.functions.text import shows_hours
+
+    rows = [("OPEN daily", True), ("Mon-Fri", True), ("common", False), ("opened", False),
+            ("", False), (None, None)]
+    got = spark.createDataFrame(rows, "text string, shown boolean").select(
+        "shown", shows_hours(F.col("text")).alias("got")).collect()
+    assert all(r["shown"] == r["got"] for r in got)
+
+
 def test_pages_without_closure_words_are_not_searched(spark):
     rows = [("A shop.", 0), ("We HAVE moved away.", 1), ("It is Permanently Closed now.", 1),
             ("We've moved. Out of business.", 2), (None, None)]
