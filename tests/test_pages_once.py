@@ -157,3 +157,62 @@ def test_sitemap_bodies_are_made_once(spark):
                                   "website string, body string")
     assert [r.url for r in I.crawl_sitemaps(I.site_rules(sites), bodies).collect()] == ["https://a.org/p"]
     assert made.value == 2
+
+
+def moved_rows(df):
+    """How many shuffles a plan holds, made without broadcasts."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_dealt_where_they_lie_are_not_moved_again(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(300).selectExpr("id % 40 AS listing_id", "'t' || id AS text").repartition(
+        n, "listing_id")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dealt(rows, "listing_id", "kept", moved=False)
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+        few = spark.range(5).withColumnRenamed("id", "listing_id")
+        met = kept.join(few, "listing_id")
+        assert moved_rows(met) == 1 and met.count() == 40
+        assert moved_rows(kept.groupBy("listing_id").count()) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_halves_are_made_from_counts_of_organisations(spark):
+    """j16 read its scored rows, and so the tables below them, three times."""
+    from types import SimpleNamespace
+
+    from attestry.plans import queries_measure as Q
+
+    rows = [("s1" if i % 3 else "s2", f"o{i % 7}" if i % 10 else None, 0.5 if i % 4 else None,
+             i % 2 == 0) for i in range(200)]
+    scored = spark.createDataFrame(rows, "scorer string, org_id string, support double, truth boolean")
+    out = Q.j16(SimpleNamespace(scored=scored))
+    assert out.inputFiles() and all("/per-" in f for f in out.inputFiles())
+    got = {(r.scorer, r.half): (r.n, r.orgs) for r in out.collect()}
+    used = [r for r in rows if r[2] is not None]
+    for s in ("s1", "s2"):
+        assert got[s, "calibration"][0] + got[s, "test"][0] == sum(r[0] == s for r in used)
+        assert got[s, "calibration"][1] + got[s, "test"][1] == len({r[1] for r in used if r[0] == s})
+
+
+def test_wanted_pages_are_found_where_their_listing_lies(spark):
+    from attestry.plans.pipeline import DirectoryRun
+
+    wanted = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "x"), (None, 1, "n")],
+                                   "listing_id bigint, pos int, url string")
+    pages = dealt(spark.createDataFrame([(1, "a", "A"), (1, "a", "A2"), (2, "z", "Z")],
+                                        "listing_id bigint, url string, made string"), "listing_id")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = DirectoryRun.found(None, wanted, pages)
+        assert moved_rows(out) == 0
+        assert sorted(out.select("listing_id", "pos", "url", "made").collect(), key=str) == sorted([
+            (1, 1, "a", "A"), (1, 1, "a", "A2"), (1, 2, "b", None), (2, 1, "x", None),
+            (None, 1, "n", None)], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
