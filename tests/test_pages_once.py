@@ -216,3 +216,26 @@ def test_wanted_pages_are_found_where_their_listing_lies(spark):
             (None, 1, "n", None)], key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_picks_and_tops_leave_ranked_pages_where_they_lie(spark):
+    ranked = dealt(spark.createDataFrame(
+        [(i, f, r, f"{f}{r}", None) for i in (1, 2) for f in ("phone", "address")
+         for r in range(1, 6)], "listing_id bigint, field string, rank int, url string, "
+        "lastmod string"), "listing_id")
+    answers = spark.createDataFrame([(1, "phone", "u4"), (1, "address", "none"), (2, "phone", "u9")],
+                                    "listing_id bigint, field string, choice string")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        picks = X.picked_pages(ranked, answers)
+        assert moved_rows(picks) == 1
+        assert [tuple(r) for r in picks.collect()] == [(1, "phone", "phone5", None)]
+        fields = spark.createDataFrame([(1, "address", (0, 0)), (1, "phone", (1, 0))],
+                                       "listing_id bigint, field string, field_pos struct<t:int,p:int>")
+        listed = spark.createDataFrame([(1, "http://a")], "listing_id bigint, origin string")
+        got = I.select_pages(listed, fields, ranked, budget=6, picks=picks).orderBy("pos").collect()
+        assert [r.url for r in got] == ["http://a/", "phone5", "address1", "address2", "address3",
+                                        "phone1"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
